@@ -6,24 +6,35 @@ The Okapi weighting with a floor for negative idf values (Robertson & Zaragoza 2
     idf(t)  = raw(t), or epsilon * mean(raw over the vocabulary) where raw(t) < 0
     score   = sum over query tokens of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
-All statistics are per namespace. The only shuffles over corpus-sized data are the document
-frequencies (combined before they move) and the matched (query, document) sums.
+All statistics are per namespace. Two ways to score, with equal results:
+
+* blocks: tasks score whole documents in place and pass on partial top-k rows. No corpus-sized
+  data is shuffled. Used when the query weights, counted first, are few enough to ship.
+* join: postings joined with query weights, sums per (query, document). Used above that bound and
+  for a written, inverted index, where pruning leaves only the postings of the query terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, get_settings
 from corpusloom.functions.text import term_counts, tokenize
-from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, hint_small
+from corpusloom.operators.blocks import PartialTopK, by_namespace, id_array
+from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, fits, hint_small
 from corpusloom.operators.ranking import by_score, top_k
 
 TERM_BUCKETS = 64
+MAX_BLOCK_WEIGHTS = 200_000
+MAX_BLOCK_QUERIES = 4096
+_TOTALS = ""
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
@@ -36,22 +47,43 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
-    """(doc_id, namespace, dl, term, tf), counted row by row without a shuffle."""
+    """(doc_id, namespace, dl, term, tf), counted row by row without a shuffle.
+
+    The outer form of ``inline`` keeps the optimizer from copying the counting into a filter.
+    """
     counted = tokens.select("doc_id", "namespace", "dl", term_counts(F.col("tokens")).alias("_terms"))
-    return counted.select("doc_id", "namespace", "dl", F.inline("_terms"))
+    return counted.select("doc_id", "namespace", "dl", F.inline_outer("_terms")).where(
+        F.col("term").isNotNull()
+    )
+
+
+def term_statistics(tokens: DataFrame) -> DataFrame:
+    """(namespace, term, n, total_dl) in one pass and one shuffle.
+
+    ``n`` counts the chunks with the term. The empty term stands for the whole namespace: its
+    ``n`` is the number of chunks and only its ``total_dl``, their token count, is not null.
+    """
+    terms = F.concat(F.array(F.lit(_TOTALS)), F.array_distinct("tokens"))
+    return (
+        tokens.select("namespace", "dl", F.explode_outer(terms).alias("term"))
+        .groupBy("namespace", "term")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.when(F.col("term") == _TOTALS, F.col("dl"))).alias("total_dl"),
+        )
+    )
 
 
-def namespace_stats(tokens: DataFrame) -> DataFrame:
+def namespace_stats(statistics: DataFrame) -> DataFrame:
     """(namespace, n_docs, avgdl); documents without any token count too."""
-    return tokens.groupBy("namespace").agg(
-        F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl")
+    return statistics.where(F.col("total_dl").isNotNull()).select(
+        "namespace", F.col("n").alias("n_docs"), (F.col("total_dl") / F.col("n")).alias("avgdl")
     )
 
 
-def document_frequencies(tokens: DataFrame) -> DataFrame:
+def document_frequencies(statistics: DataFrame) -> DataFrame:
     """(namespace, term, n): in how many chunks a term occurs."""
-    distinct = tokens.select("namespace", F.explode(F.array_distinct("tokens")).alias("term"))
-    return distinct.groupBy("namespace", "term").agg(F.count("*").alias("n"))
+    return statistics.where(F.col("total_dl").isNull()).select("namespace", "term", "n")
 
 
 def _raw_idf():
@@ -59,7 +91,7 @@ def _raw_idf():
 
 
 def mean_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
-    """(namespace, mean_idf): raw idf averaged over the vocabulary.
+    """(namespace, n_docs, avgdl, mean_idf): raw idf averaged over the vocabulary.
 
     Terms with equal frequency share their idf, so the vocabulary is first folded to a histogram
     of frequencies; a namespace with most of the terms leaves few rows to add up.
@@ -68,25 +100,22 @@ def mean_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     return (
         histogram.join(stats, "namespace")
         .groupBy("namespace")
-        .agg((F.sum(_raw_idf() * F.col("_terms")) / F.sum("_terms")).alias("mean_idf"))
+        .agg(
+            F.first("n_docs").alias("n_docs"),
+            F.first("avgdl").alias("avgdl"),
+            (F.sum(_raw_idf() * F.col("_terms")) / F.sum("_terms")).alias("mean_idf"),
+        )
     )
 
 
-def idf_table(
-    frequencies: DataFrame, stats: DataFrame, means: DataFrame, epsilon: float = 0.25
-) -> DataFrame:
-    """(namespace, term, n, idf, avgdl) with the floor applied."""
-    raw = _raw_idf()
-    return (
-        frequencies.join(stats, "namespace")
-        .join(means, "namespace")
-        .select(
-            "namespace",
-            "term",
-            "n",
-            F.when(raw < 0, epsilon * F.col("mean_idf")).otherwise(raw).alias("idf"),
-            "avgdl",
-        )
+def _floored_idf(epsilon: float):
+    return F.when(_raw_idf() < 0, epsilon * F.col("mean_idf")).otherwise(_raw_idf())
+
+
+def idf_table(frequencies: DataFrame, means: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(namespace, term, n, idf) with the floor applied."""
+    return frequencies.join(means, "namespace").select(
+        "namespace", "term", "n", _floored_idf(epsilon).alias("idf")
     )
 
 
@@ -97,42 +126,53 @@ def query_terms(queries: DataFrame) -> DataFrame:
         F.array_distinct("namespaces").alias("_namespaces"),
         term_counts(tokenize(F.col("question"))).alias("_terms"),
     )
-    return counted.select(
-        "query_id", F.explode("_namespaces").alias("namespace"), "_terms"
-    ).select("query_id", "namespace", F.inline("_terms")).withColumnRenamed("tf", "qtf")
+    return (
+        counted.select("query_id", F.explode("_namespaces").alias("namespace"), "_terms")
+        .select("query_id", "namespace", F.inline_outer("_terms"))
+        .where(F.col("term").isNotNull())
+        .withColumnRenamed("tf", "qtf")
+    )
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """Postings and statistics; either lazy plans over a chunk table or a written index."""
+    """Tokens or postings, document frequencies and per-namespace figures."""
 
-    postings: DataFrame
     frequencies: DataFrame
-    stats: DataFrame
     means: DataFrame
+    tokens: DataFrame | None = None
+    postings: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame) -> Bm25Index:
+        """A lazy index over a chunk table (doc_id, namespace, text)."""
+        few = fits(chunks.select("namespace").distinct())
         tokens = tokenised(chunks)
-        frequencies, stats = document_frequencies(tokens), namespace_stats(tokens)
-        return cls(term_frequencies(tokens), frequencies, stats, mean_idf(frequencies, stats))
+        statistics = term_statistics(tokens)
+        frequencies = document_frequencies(statistics)
+        means = mean_idf(frequencies, hint_small(namespace_stats(statistics), few))
+        return cls(frequencies, hint_small(means, few), tokens=tokens)
 
-    def persist(self) -> Bm25Index:
-        """Keep the index with the executors; a lost block is computed again from the chunks.
+    def term_rows(self) -> DataFrame:
+        return self.postings if self.postings is not None else term_frequencies(self.tokens)
 
-        Postings are clustered by document, so searches over them add up scores in place.
-        """
+    def persist(self) -> Bm25Index:
+        """Keep the index with the executors; a lost block is computed again from the chunks."""
         level = StorageLevel.MEMORY_AND_DISK
-        return Bm25Index(
-            self.postings.repartition("doc_id").persist(level),
-            self.frequencies.persist(level),
-            self.stats.persist(level),
-            self.means.persist(level),
-        )
+        kept = {
+            name: part.persist(level) if part is not None else None
+            for name, part in vars(self).items()
+        }
+        return Bm25Index(**kept)
 
     def unpersist(self) -> None:
-        for part in (self.postings, self.frequencies, self.stats, self.means):
-            part.unpersist()
+        for part in vars(self).values():
+            if part is not None:
+                part.unpersist()
 
     def write(self, path: str, salts: int = 8) -> None:
         """Store the index inverted: partitions by namespace and term bucket, files by term.
@@ -140,34 +180,142 @@ class Bm25Index:
         A search joins on all three columns, so dynamic pruning opens only the buckets of its own
         terms. The salt spreads the postings of a frequent term over several files.
         """
-        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("term_bucket")
-        spread = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
         (
-            self.postings.select("*", bucket)
-            .repartition("namespace", "term_bucket", spread)
+            _bucketed(self.term_rows())
+            .repartition("namespace", "term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
             .sortWithinPartitions("namespace", "term_bucket", "term")
             .write.partitionBy("namespace", "term_bucket")
             .mode("overwrite")
             .parquet(f"{path}/postings")
         )
-        self.frequencies.select("*", bucket).write.partitionBy("term_bucket").mode(
-            "overwrite"
-        ).parquet(f"{path}/frequencies")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        (
+            _bucketed(self.frequencies)
+            .repartition("term_bucket")
+            .write.partitionBy("term_bucket")
+            .mode("overwrite")
+            .parquet(f"{path}/frequencies")
+        )
         self.means.write.mode("overwrite").parquet(f"{path}/means")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Bm25Index:
-        def table(name: str) -> DataFrame:
-            return spark.read.parquet(f"{path}/{name}")
-
-        return cls(*(table(name) for name in ("postings", "frequencies", "stats", "means")))
+        parts = {
+            name: spark.read.parquet(f"{path}/{name}")
+            for name in ("frequencies", "means", "postings")
+        }
+        return cls(**parts)
 
     def size(self, namespace: str) -> int:
-        row = self.stats.where(F.col("namespace") == namespace).select("n_docs").first()
+        row = self.means.where(F.col("namespace") == namespace).select("n_docs").first()
         return row[0] if row else 0
 
 
+def query_weights(
+    index: Bm25Index, queries: DataFrame, settings: Settings
+) -> tuple[DataFrame, int]:
+    """(query_id, namespace, term, weight, avgdl) and an upper bound of its rows."""
+    terms = query_terms(queries)
+    rows = count_up_to(terms, MAX_BROADCAST_ROWS)
+    keys = ["namespace", "term"]
+    if "term_bucket" in index.frequencies.columns:
+        terms, keys = _bucketed(terms), [*keys, "term_bucket"]
+    weight = F.col("qtf") * _floored_idf(settings.bm25_epsilon) * (settings.bm25_k1 + 1)
+    weights = (
+        index.frequencies.join(hint_small(terms, rows <= MAX_BROADCAST_ROWS), keys)
+        .join(index.means, "namespace")
+        .select("query_id", *keys, weight.alias("weight"), "avgdl")
+    )
+    return weights.where(F.col("weight") != 0), rows
+
+
+def _block_scorer(query_ids: pa.Array, weights: dict[str, tuple], k: int, k1: float, b: float):
+    """Arrow batches of (doc_id, namespace, dl, tokens) to partial top-k rows.
+
+    ``weights`` holds per namespace: the query terms, avgdl, the query slots, and for each term
+    code the run of (slot column, weight) entries that mention it.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = PartialTopK(query_ids, k)
+        for batch in batches:
+            for namespace, part in by_namespace(batch, weights, len(query_ids)):
+                vocabulary, avgdl, slots, first, length, columns, values = weights[namespace]
+                tokens = part.column("tokens").combine_chunks()
+                codes = pa.compute.index_in(tokens.flatten(), vocabulary)
+                codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
+                dl = part.column("dl").to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), dl)
+                known = codes >= 0
+                pairs, tf = np.unique(
+                    owner[known] * len(vocabulary) + codes[known], return_counts=True
+                )
+                doc, code = np.divmod(pairs, len(vocabulary))
+                saturation = tf / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
+
+                repeats = length[code]
+                entry = np.repeat(first[code] - np.cumsum(repeats) + repeats, repeats)
+                entry += np.arange(len(entry))
+                cells = np.repeat(doc, repeats) * len(slots) + columns[entry]
+                scores = np.bincount(
+                    cells,
+                    np.repeat(saturation, repeats) * values[entry],
+                    minlength=part.num_rows * len(slots),
+                ).reshape(part.num_rows, len(slots))
+                doc_ids = part.column("doc_id").combine_chunks()
+                yield best.rows(namespace, slots, doc_ids, scores, positive_only=True)
+
+    return score
+
+
+def _weights_by_namespace(rows: list, slot_of: dict) -> dict[str, tuple]:
+    grouped: dict[str, list] = {}
+    for query_id, namespace, term, weight, avgdl in rows:
+        grouped.setdefault(namespace, []).append((term, slot_of[query_id], weight, avgdl))
+    packed = {}
+    for namespace, entries in grouped.items():
+        entries.sort()
+        terms, slot, weight, avgdl = (list(column) for column in zip(*entries, strict=True))
+        vocabulary, first, length = np.unique(terms, return_index=True, return_counts=True)
+        slots, columns = np.unique(slot, return_inverse=True)
+        packed[namespace] = (
+            pa.array(vocabulary.tolist(), pa.string()),
+            avgdl[0],
+            slots,
+            first,
+            length,
+            columns,
+            np.array(weight),
+        )
+    return packed
+
+
+def _score_blocks(tokens: DataFrame, weights: DataFrame, k: int, settings: Settings) -> DataFrame:
+    rows = weights.select("query_id", "namespace", "term", "weight", "avgdl").collect()
+    ids = sorted({row[0] for row in rows})
+    query_type = weights.schema["query_id"].dataType
+    packed = _weights_by_namespace(rows, {query_id: i for i, query_id in enumerate(ids)})
+    if len(packed) <= 1000:
+        tokens = tokens.where(F.col("namespace").isin(*packed)) if packed else tokens.limit(0)
+    doc_type = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "namespace", "dl", "tokens").mapInArrow(
+        _block_scorer(id_array(ids, query_type), packed, k, settings.bm25_k1, settings.bm25_b),
+        f"query_id {query_type.simpleString()}, namespace string, doc_id {doc_type}, score double",
+    )
+
+
+def _score_join(index: Bm25Index, weights: DataFrame, small: bool, settings: Settings) -> DataFrame:
+    k1, b = settings.bm25_k1, settings.bm25_b
+    keys = [c for c in ("namespace", "term", "term_bucket") if c in weights.columns]
+    saturation = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return (
+        index.term_rows()
+        .join(hint_small(weights, small), keys)
+        .groupBy("query_id", "namespace", "doc_id")
+        .agg(F.sum(F.col("weight") * saturation).alias("score"))
+        .where(F.col("score") > 0)
+    )
+
+
 def bm25_search(
     index: Bm25Index, queries: DataFrame, k: int | None = None, settings: Settings | None = None
 ) -> DataFrame:
@@ -178,29 +326,14 @@ def bm25_search(
     """
     settings = settings or get_settings()
     k = settings.retriever_top_k if k is None else k
-    k1, b = settings.bm25_k1, settings.bm25_b
-
-    terms = query_terms(queries)
-    small = count_up_to(terms, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
-    keys = ["namespace", "term"]
-    if "term_bucket" in index.postings.columns:
-        keys.append("term_bucket")
-        terms = terms.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)))
-    known = index.frequencies.join(hint_small(terms, small), keys)
-    idf = F.when(_raw_idf() < 0, settings.bm25_epsilon * F.col("mean_idf")).otherwise(_raw_idf())
-    weights = (
-        known.join(index.stats, "namespace")
-        .join(index.means, "namespace")
-        .select("query_id", *keys, (F.col("qtf") * idf * (k1 + 1)).alias("weight"), "avgdl")
-        .where(F.col("weight") != 0)
-    )
-    saturation = F.col("tf") / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    )
-    scored = (
-        index.postings.join(hint_small(weights, small), keys)
-        .groupBy("query_id", "namespace", "doc_id")
-        .agg(F.sum(F.col("weight") * saturation).alias("score"))
-        .where(F.col("score") > 0)
+    weights, rows = query_weights(index, queries, settings)
+    in_blocks = (
+        index.tokens is not None
+        and rows <= MAX_BLOCK_WEIGHTS
+        and count_up_to(queries, MAX_BLOCK_QUERIES) <= MAX_BLOCK_QUERIES
     )
+    if in_blocks:
+        scored = _score_blocks(index.tokens, weights, k, settings)
+    else:
+        scored = _score_join(index, weights, rows <= MAX_BROADCAST_ROWS, settings)
     return top_k(scored, ["query_id", "namespace"], [by_score("score"), F.col("doc_id")], k)

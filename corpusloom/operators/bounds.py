@@ -29,3 +29,9 @@ def hint_small(df: DataFrame, small: bool) -> DataFrame:
 def broadcast_checked(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` when a count proves it small, else ``df`` for a shuffled join."""
     return hint_small(df, fits(df, limit))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table with fewer input splits than cores; leave larger tables alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

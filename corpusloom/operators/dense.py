@@ -1,9 +1,8 @@
 """Exact cosine retrieval for a batch of queries.
 
-Each executor multiplies its Arrow batches of corpus vectors with the query matrix and keeps only
-the best ``k`` per query and namespace, so no (query, document) pair table ever exists. The query
-matrix is shipped to the workers; larger batches of queries are cut by hash into passes of a
-checked size.
+Each task multiplies its Arrow batches of corpus vectors with the query matrix and keeps the best
+``k`` per query and namespace, so no (query, document) pair table ever exists. The query matrix is
+shipped with the task; a larger batch of queries is cut by hash into passes of a checked size.
 """
 
 from __future__ import annotations
@@ -14,13 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from corpusloom.operators.blocks import PartialTopK, by_namespace, id_array
 from corpusloom.operators.bounds import count_up_to
-from corpusloom.operators.ranking import ORDER_DIGITS, by_score, top_k
+from corpusloom.operators.ranking import by_score, top_k
 
 MAX_QUERIES_PER_PASS = 4096
-_MAX_CELLS = 4_000_000
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -28,52 +26,17 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(rows, -1)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the first ``k`` by (score desc, id asc), ties at the cut included."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= cut)
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
-
-
 def _scorer(query_ids: pa.Array, unit_queries: np.ndarray, wanted: dict[str, np.ndarray], k: int):
-    """Arrow batches of (doc_id, namespace, embedding) to partial top-k rows."""
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = PartialTopK(query_ids, k)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for namespace in table.column("namespace").unique().to_pylist():
-                asked = wanted.get(namespace)
-                if asked is None:
-                    continue
-                mask = pa.compute.equal(table.column("namespace"), namespace)
-                part = table.filter(mask).combine_chunks()
-                ids = part.column("doc_id").to_numpy()
-                order_ids = ids.astype(str) if ids.dtype == object else ids
-                corpus = _unit(_matrix(part.column("embedding").combine_chunks(), part.num_rows))
-                step = max(1, _MAX_CELLS // max(1, part.num_rows))
-                for start in range(0, len(asked), step):
-                    slots = asked[start : start + step]
-                    cosines = np.round(corpus @ unit_queries[slots].T, ORDER_DIGITS)
-                    for column, slot in enumerate(slots):
-                        best = _best(cosines[:, column], order_ids, k)
-                        count = len(best)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                query_ids.take(pa.array(np.full(count, slot))),
-                                pa.array([namespace] * count, pa.string()),
-                                part.column("doc_id").combine_chunks().take(pa.array(best)),
-                                pa.array(cosines[best, column]),
-                            ],
-                            names=["query_id", "namespace", "doc_id", "score"],
-                        )
+            for namespace, part in by_namespace(batch, wanted, len(query_ids)):
+                flat = part.column("embedding").combine_chunks().flatten()
+                corpus = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+                corpus = _unit(corpus.reshape(part.num_rows, -1))
+                slots = wanted[namespace]
+                doc_ids = part.column("doc_id").combine_chunks()
+                yield best.rows(namespace, slots, doc_ids, corpus @ unit_queries[slots].T)
 
     return score
 
@@ -83,28 +46,26 @@ def _one_pass(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | Non
     rows = queries.select("query_id", F.array_distinct("namespaces"), "vector").collect()
     if not rows:
         return None
-    id_field = queries.schema["query_id"]
-    query_ids = pa.array(
-        [row[0] for row in rows],
-        pa.string() if isinstance(id_field.dataType, T.StringType) else pa.int64(),
-    )
+    query_ids = id_array([row[0] for row in rows], queries.schema["query_id"].dataType)
     unit_queries = _unit(np.array([row[2] for row in rows], dtype=np.float64))
-    wanted: dict[str, list[int]] = {}
+    asked: dict[str, list[int]] = {}
     for slot, row in enumerate(rows):
         for namespace in row[1]:
-            wanted.setdefault(namespace, []).append(slot)
-    slots = {namespace: np.array(asked) for namespace, asked in wanted.items()}
-    corpus = vectors
-    if len(slots) <= 1000:
-        corpus = corpus.where(F.col("namespace").isin(*slots))
-    id_type = "string" if pa.types.is_string(query_ids.type) else "bigint"
-    doc_type = vectors.schema["doc_id"].dataType.simpleString()
-    return corpus.mapInArrow(
-        _scorer(query_ids, unit_queries, slots, k),
-        f"query_id {id_type}, namespace string, doc_id {doc_type}, score double",
+            asked.setdefault(namespace, []).append(slot)
+    wanted = {namespace: np.array(slots) for namespace, slots in asked.items()}
+    if len(wanted) <= 1000:
+        vectors = vectors.where(F.col("namespace").isin(*wanted))
+    return vectors.mapInArrow(
+        _scorer(query_ids, unit_queries, wanted, k), _hit_schema(vectors, queries)
     )
 
 
+def _hit_schema(chunks: DataFrame, queries: DataFrame) -> str:
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    doc_type = chunks.schema["doc_id"].dataType.simpleString()
+    return f"query_id {query_type}, namespace string, doc_id {doc_type}, score double"
+
+
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """(query_id, namespace, doc_id, score, rank): the ``k`` nearest chunks per namespace.
 
@@ -116,20 +77,12 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFram
     if count_up_to(asked, MAX_QUERIES_PER_PASS) <= MAX_QUERIES_PER_PASS:
         passes = [asked]
     else:
-        total = asked.count()
-        slices = -(-2 * total // MAX_QUERIES_PER_PASS)
+        slices = -(-2 * asked.count() // MAX_QUERIES_PER_PASS)
         slot = F.pmod(F.xxhash64("query_id"), F.lit(slices))
         passes = [asked.where(slot == number) for number in range(slices)]
 
-    partial = None
+    partial = chunks.sparkSession.createDataFrame([], _hit_schema(chunks, queries))
     for one in passes:
         found = _one_pass(vectors, one, k)
-        if found is not None:
-            partial = found if partial is None else partial.unionByName(found)
-    if partial is None:
-        id_type = queries.schema["query_id"].dataType.simpleString()
-        doc_type = vectors.schema["doc_id"].dataType.simpleString()
-        partial = chunks.sparkSession.createDataFrame(
-            [], f"query_id {id_type}, namespace string, doc_id {doc_type}, score double"
-        )
+        partial = partial if found is None else partial.unionByName(found)
     return top_k(partial, ["query_id", "namespace"], [by_score("score"), F.col("doc_id")], k)

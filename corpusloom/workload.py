@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokenize
 from corpusloom.operators import bm25 as bm
+from corpusloom.operators.bounds import spread
 from corpusloom.operators.dense import dense_search
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse
 
@@ -20,7 +21,7 @@ POOL = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, namespace: str = "lang") -> DataFrame:
@@ -81,19 +82,22 @@ def term_frequency(spark, sf_dir):
     return bm.term_frequencies(tokens).select("doc_id", "term", _int("tf"), _int("dl"))
 
 
+def _statistics(spark, sf_dir, namespace="lang"):
+    return bm.term_statistics(bm.tokenised(chunks(spark, sf_dir, namespace)))
+
+
 def document_frequency(spark, sf_dir):
-    return bm.document_frequencies(bm.tokenised(chunks(spark, sf_dir)))
+    return bm.document_frequencies(_statistics(spark, sf_dir))
 
 
 def namespace_stats(spark, sf_dir):
-    stats = bm.namespace_stats(bm.tokenised(chunks(spark, sf_dir, "source")))
+    stats = bm.namespace_stats(_statistics(spark, sf_dir, "source"))
     return stats.select("namespace", "n_docs", _six("avgdl"))
 
 
 def bm25_idf(spark, sf_dir):
     index = bm.Bm25Index.build(chunks(spark, sf_dir))
-    table_ = bm.idf_table(index.frequencies, index.stats, index.means)
-    return table_.select("namespace", "term", "n", _six("idf"))
+    return bm.idf_table(index.frequencies, index.means).select("namespace", "term", "n", _six("idf"))
 
 
 def bm25_topk(spark, sf_dir):
