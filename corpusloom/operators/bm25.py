@@ -40,7 +40,7 @@ _TOTALS = ""
 def tokenised(chunks: DataFrame) -> DataFrame:
     """(doc_id, namespace, tokens, dl) of every chunk that has text."""
     return (
-        chunks.where(F.col("text") != "")
+        chunks.where((F.col("text") != "") & F.col("namespace").isNotNull())
         .select("doc_id", "namespace", tokenize(F.col("text")).alias("tokens"))
         .withColumn("dl", F.size("tokens"))
     )
@@ -62,10 +62,13 @@ def term_statistics(tokens: DataFrame) -> DataFrame:
 
     ``n`` counts the chunks with the term. The empty term stands for the whole namespace: its
     ``n`` is the number of chunks and only its ``total_dl``, their token count, is not null.
+    Both uses filter on the aggregated column, and nulls go before it: so no filter is pushed
+    below the aggregation and every consumer reuses the same exchange.
     """
     terms = F.concat(F.array(F.lit(_TOTALS)), F.array_distinct("tokens"))
     return (
         tokens.select("namespace", "dl", F.explode_outer(terms).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("namespace", "term")
         .agg(
             F.count("*").alias("n"),
