@@ -263,7 +263,8 @@ def _block_scorer(query_ids: pa.Array, weights: dict[str, tuple], k: int, k1: fl
                     cells,
                     np.repeat(saturation, repeats) * values[entry],
                     minlength=part.num_rows * len(slots),
-                ).reshape(part.num_rows, len(slots))
+                )
+                scores = scores.astype(np.float64).reshape(part.num_rows, len(slots))
                 doc_ids = part.column("doc_id").combine_chunks()
                 yield best.rows(namespace, slots, doc_ids, scores, positive_only=True)
 

@@ -1,9 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+HERE = Path(__file__).parent
+sys.path.insert(0, str(HERE.parent))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")])
 
 from corpusloom.session import local_session  # noqa: E402
 

@@ -171,7 +171,6 @@ def test_uncommitted_generation_is_invisible(spark, tmp_path):
 
 def test_embedding_cache(spark, tmp_path):
     cache = EmbeddingCache(spark, str(tmp_path), "org/model-x")
-    seen = spark.sparkContext.accumulator(0)
 
     def embed(column):
         return mock_embedding(column, 8)
@@ -185,4 +184,3 @@ def test_embedding_cache(spark, tmp_path):
     assert cache.read().count() == 3
     keys = {r[0] for r in more.select(cache_key(F.col("text"), "org/model-x")).collect()}
     assert keys <= {r[0] for r in cache.read().select("cache_key").collect()}
-    assert seen.value == 0
