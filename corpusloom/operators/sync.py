@@ -27,9 +27,9 @@ def sync_diff(current: DataFrame, existing: DataFrame, force: bool = False) -> D
     )
 
 
-def restrict_to(diff: DataFrame, paths: list[str]) -> DataFrame:
-    """Keep the given files only; filtering the diff equals filtering both of its sides."""
-    return diff.where(F.col("file_path").isin(*paths)) if paths else diff.limit(0)
+def restrict_to(diff: DataFrame, paths: DataFrame) -> DataFrame:
+    """Keep the given files (file_path) only; filtering the diff equals filtering both its sides."""
+    return diff.join(paths, "file_path", "left_semi")
 
 
 def sync_counts(diff: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from corpusloom.config import CODE_SUFFIXES, DOC_SUFFIXES, Settings, get_setting
 from corpusloom.functions.ids import point_id
 from corpusloom.functions.vectors import get_embedder
 from corpusloom.operators.chunking import chunk_files
-from corpusloom.operators.sync import ADD, DELETE, UPDATE, restrict_to, sync_counts, sync_diff
+from corpusloom.operators.sync import ADD, DELETE, UPDATE, sync_counts, sync_diff
 from corpusloom.sources.chunk_store import ChunkStore
 from corpusloom.sources.embedding_cache import EmbeddingCache
 from corpusloom.sources.files import git_shas, list_files, read_files, relative_files, source_exists
@@ -140,7 +140,7 @@ def ingest(
     state = current.select(F.col("path").alias("file_path"), "commit_sha")
     diff = sync_diff(state, store.file_shas(namespace), force_reindex)
     if smoke_file is not None:
-        diff = restrict_to(diff, [smoke_file])
+        diff = diff.where(F.col("file_path") == smoke_file)
     diff = diff.persist()
 
     counts = sync_counts(diff).first()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "corpusloom", **conf: str) -> SparkSession:
@@ -26,21 +27,18 @@ def local_session(cpus: int | str = "*", app: str = "corpusloom", **conf: str) -
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so lost executors can be replaced.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediate tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    one (local tests) gets a fresh temporary folder.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``; only a local
+    session without that setting uses the machine's temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        if named is None and not sc.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        shared = tempfile.mkdtemp(prefix="scratch-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _shipped: set[str] = set()

@@ -31,6 +31,22 @@ _STORED = T.StructType(
 )
 
 
+def as_stored(chunks: DataFrame) -> DataFrame:
+    """All stored columns; those a chunk table lacks are null."""
+    return chunks.select(
+        *[
+            F.col(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in _STORED
+            if f.name != "gen"
+        ]
+    )
+
+
+def first_shas(chunks: DataFrame) -> DataFrame:
+    """(file_path, commit_sha): the chunk with the smallest id speaks for its file."""
+    return chunks.groupBy("file_path").agg(F.min_by("commit_sha", "doc_id").alias("commit_sha"))
+
+
 @dataclass(frozen=True)
 class Commit:
     gen: int
@@ -126,7 +142,7 @@ class ChunkStore:
         written = None
         if has_chunks:
             (
-                chunks.select(*[f.name for f in _STORED if f.name != "gen"])
+                as_stored(chunks)
                 .sortWithinPartitions("namespace", "file_path")
                 .write.mode("overwrite")
                 .partitionBy("namespace")
@@ -160,35 +176,26 @@ class ChunkStore:
         """Insert chunks or replace those with the same id; an empty input commits nothing."""
         if points.isEmpty():
             return None
-        points = points.select(
-            *[
-                F.col(f.name) if f.name in points.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                for f in _STORED
-                if f.name != "gen"
-            ]
-        )
-        return self.apply(points, removed_ids=points.select("namespace", "doc_id"))
+        return self.apply(as_stored(points), removed_ids=points.select("namespace", "doc_id"))
 
     def delete_files(self, files: DataFrame) -> Commit:
         return self.apply(removed_files=files)
 
     def compact(self) -> Commit:
         """Rewrite the live rows as one generation that later reads start from."""
-        live = self.read().withColumn("error", F.lit(None).cast("string"))
         gen = self.commits()[-1].gen + 1
-        live.select(*[f.name for f in _STORED if f.name != "gen"]).write.mode(
-            "overwrite"
-        ).partitionBy("namespace").parquet(f"{self.path}/chunks/gen={gen}")
+        live = as_stored(self.read()).write.mode("overwrite").partitionBy("namespace")
+        live.parquet(f"{self.path}/chunks/gen={gen}")
         commit = Commit(gen, gen, 0, 0, True)
         self._commit(commit)
         return commit
 
     def file_shas(self, namespace: str) -> DataFrame:
-        """(file_path, commit_sha) already indexed; the chunk with the smallest id speaks."""
+        """(file_path, commit_sha) already indexed."""
         rows = self.read(namespace).where(
             F.col("file_path").isNotNull() & F.col("commit_sha").isNotNull()
         )
-        return rows.groupBy("file_path").agg(F.min_by("commit_sha", "doc_id").alias("commit_sha"))
+        return first_shas(rows)
 
     def texts(self, *namespaces: str) -> DataFrame:
         """(doc_id, namespace, text) for indexing; chunks without text are skipped."""
