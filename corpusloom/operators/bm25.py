@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, get_settings
 from corpusloom.functions.text import term_counts, tokenize
+from corpusloom.operators.batches import QueryBatch, as_batch
 from corpusloom.operators.blocks import PartialTopK, by_namespace, id_array
-from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, fits, hint_small
+from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, hint_small
 from corpusloom.operators.ranking import by_score, top_k
 
 TERM_BUCKETS = 64
 MAX_BLOCK_WEIGHTS = 200_000
-MAX_BLOCK_QUERIES = 4096
 _TOTALS = ""
 
 
@@ -153,12 +153,11 @@ class Bm25Index:
     @classmethod
     def build(cls, chunks: DataFrame) -> Bm25Index:
         """A lazy index over a chunk table (doc_id, namespace, text)."""
-        few = fits(chunks.select("namespace").distinct())
         tokens = tokenised(chunks)
         statistics = term_statistics(tokens)
         frequencies = document_frequencies(statistics)
-        means = mean_idf(frequencies, hint_small(namespace_stats(statistics), few))
-        return cls(frequencies, hint_small(means, few), tokens=tokens)
+        means = mean_idf(frequencies, namespace_stats(statistics))
+        return cls(frequencies, means, tokens=tokens)
 
     def term_rows(self) -> DataFrame:
         return self.postings if self.postings is not None else term_frequencies(self.tokens)
@@ -216,17 +215,21 @@ class Bm25Index:
 def query_weights(
     index: Bm25Index, queries: DataFrame, settings: Settings
 ) -> tuple[DataFrame, int]:
-    """(query_id, namespace, term, weight, avgdl) and an upper bound of its rows."""
+    """(query_id, namespace, term, weight, avgdl) and an upper bound of its rows.
+
+    Each query term meets at most one frequency row and one namespace row, so the counted query
+    terms bound both joins.
+    """
     terms = query_terms(queries)
     rows = count_up_to(terms, MAX_BROADCAST_ROWS)
     keys = ["namespace", "term"]
     if "term_bucket" in index.frequencies.columns:
         terms, keys = _bucketed(terms), [*keys, "term_bucket"]
     weight = F.col("qtf") * _floored_idf(settings.bm25_epsilon) * (settings.bm25_k1 + 1)
-    weights = (
-        index.frequencies.join(hint_small(terms, rows <= MAX_BROADCAST_ROWS), keys)
-        .join(index.means, "namespace")
-        .select("query_id", *keys, weight.alias("weight"), "avgdl")
+    small = rows <= MAX_BROADCAST_ROWS
+    known = index.frequencies.join(hint_small(terms, small), keys)
+    weights = index.means.join(hint_small(known, small), "namespace").select(
+        "query_id", *keys, weight.alias("weight"), "avgdl"
     )
     return weights.where(F.col("weight") != 0), rows
 
@@ -321,7 +324,10 @@ def _score_join(index: Bm25Index, weights: DataFrame, small: bool, settings: Set
 
 
 def bm25_search(
-    index: Bm25Index, queries: DataFrame, k: int | None = None, settings: Settings | None = None
+    index: Bm25Index,
+    queries: DataFrame | QueryBatch,
+    k: int | None = None,
+    settings: Settings | None = None,
 ) -> DataFrame:
     """(query_id, namespace, doc_id, score, rank): the best ``k`` positive scores per namespace.
 
@@ -330,13 +336,9 @@ def bm25_search(
     """
     settings = settings or get_settings()
     k = settings.retriever_top_k if k is None else k
-    weights, rows = query_weights(index, queries, settings)
-    in_blocks = (
-        index.tokens is not None
-        and rows <= MAX_BLOCK_WEIGHTS
-        and count_up_to(queries, MAX_BLOCK_QUERIES) <= MAX_BLOCK_QUERIES
-    )
-    if in_blocks:
+    batch = as_batch(queries)
+    weights, rows = query_weights(index, batch.df, settings)
+    if index.tokens is not None and batch.bounded and rows <= MAX_BLOCK_WEIGHTS:
         scored = _score_blocks(index.tokens, weights, k, settings)
     else:
         scored = _score_join(index, weights, rows <= MAX_BROADCAST_ROWS, settings)

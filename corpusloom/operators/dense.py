@@ -14,12 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.batches import MAX_BATCH_QUERIES, QueryBatch, as_batch
 from corpusloom.operators.blocks import PartialTopK, by_namespace, id_array
-from corpusloom.operators.bounds import count_up_to
 from corpusloom.operators.ranking import by_score, top_k
 
-MAX_QUERIES_PER_PASS = 4096
-
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -41,12 +39,19 @@ def _scorer(query_ids: pa.Array, unit_queries: np.ndarray, wanted: dict[str, np.
     return score
 
 
-def _one_pass(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
+def _one_pass(vectors: DataFrame, batch: QueryBatch, k: int) -> DataFrame | None:
     """Partial top-k rows for a bounded batch of queries."""
-    rows = queries.select("query_id", F.array_distinct("namespaces"), "vector").collect()
+    rows = [
+        (query_id, set(namespaces), vector)
+        for query_id, namespaces, vector in zip(
+            *(batch.rows.column(c).to_pylist() for c in ("query_id", "namespaces", "vector")),
+            strict=True,
+        )
+        if namespaces and vector
+    ]
     if not rows:
         return None
-    query_ids = id_array([row[0] for row in rows], queries.schema["query_id"].dataType)
+    query_ids = id_array([row[0] for row in rows], batch.df.schema["query_id"].dataType)
     unit_queries = _unit(np.array([row[2] for row in rows], dtype=np.float64))
     asked: dict[str, list[int]] = {}
     for slot, row in enumerate(rows):
@@ -56,7 +61,7 @@ def _one_pass(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | Non
     if len(wanted) <= 1000:
         vectors = vectors.where(F.col("namespace").isin(*wanted))
     return vectors.mapInArrow(
-        _scorer(query_ids, unit_queries, wanted, k), _hit_schema(vectors, queries)
+        _scorer(query_ids, unit_queries, wanted, k), _hit_schema(vectors, batch.df)
     )
 
 
@@ -66,23 +71,30 @@ def _hit_schema(chunks: DataFrame, queries: DataFrame) -> str:
     return f"query_id {query_type}, namespace string, doc_id {doc_type}, score double"
 
 
-def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+def _passes(queries: DataFrame) -> Iterator[QueryBatch]:
+    """Slices of an oversized batch, cut by hash to about half the bound."""
+    slices = -(-2 * queries.count() // MAX_BATCH_QUERIES)
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    for number in range(slices):
+        batch = as_batch(queries.where(slot == number))
+        if not batch.bounded:
+            raise ValueError("query_id has to be unique within a batch of queries")
+        yield batch
+
+
+def dense_search(chunks: DataFrame, queries: DataFrame | QueryBatch, k: int = 50) -> DataFrame:
     """(query_id, namespace, doc_id, score, rank): the ``k`` nearest chunks per namespace.
 
     ``queries`` holds query_id, namespaces and vector; ``chunks`` doc_id, namespace and embedding.
     Ties go to the smaller id.
     """
     vectors = chunks.where(F.col("embedding").isNotNull()).select("doc_id", "namespace", "embedding")
-    asked = queries.where(F.col("vector").isNotNull() & (F.size("namespaces") > 0))
-    if count_up_to(asked, MAX_QUERIES_PER_PASS) <= MAX_QUERIES_PER_PASS:
-        passes = [asked]
-    else:
-        slices = -(-2 * asked.count() // MAX_QUERIES_PER_PASS)
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(slices))
-        passes = [asked.where(slot == number) for number in range(slices)]
-
-    partial = chunks.sparkSession.createDataFrame([], _hit_schema(chunks, queries))
-    for one in passes:
+    batch = as_batch(queries)
+    partial = None
+    for one in [batch] if batch.bounded else _passes(batch.df):
         found = _one_pass(vectors, one, k)
-        partial = partial if found is None else partial.unionByName(found)
+        if found is not None:
+            partial = found if partial is None else partial.unionByName(found)
+    if partial is None:
+        partial = chunks.sparkSession.createDataFrame([], _hit_schema(chunks, batch.df))
     return top_k(partial, ["query_id", "namespace"], [by_score("score"), F.col("doc_id")], k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings, get_settings
 from corpusloom.functions.vectors import get_embedder
 from corpusloom.operators.answers import event_stream, get_answerer
+from corpusloom.operators.batches import as_batch
 from corpusloom.operators.bm25 import Bm25Index
 from corpusloom.operators.hydrate import chunk_summary
 from corpusloom.operators.requests import split_valid, with_defaults
@@ -60,6 +61,7 @@ def answer(
     valid, rejected = split_valid(with_defaults(requests, defaults))
     if "vector" not in valid.columns:
         valid = valid.withColumn("vector", (embed or get_embedder(settings))(F.col("question")))
+    valid = as_batch(valid).df
 
     pool = settings.retriever_top_k
     found = hybrid_search(chunks, index, valid, pool, settings, vectors)

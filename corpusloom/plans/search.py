@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, get_settings
+from corpusloom.operators.batches import as_batch
 from corpusloom.operators.bm25 import Bm25Index, bm25_search
-from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to
+from corpusloom.operators.bounds import MAX_BROADCAST_ROWS
 from corpusloom.operators.dense import dense_search
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse
 from corpusloom.operators.hydrate import hydrate
@@ -42,13 +43,12 @@ def hybrid_search(
     """
     settings = settings or get_settings()
     pool = settings.retriever_top_k
-    asked = answerable(queries)
-    bm25 = bm25_search(index, asked, pool, settings)
-    dense = dense_search(chunks if vectors is None else vectors, asked, pool)
+    batch = as_batch(answerable(queries))
+    bm25 = bm25_search(index, batch, pool, settings)
+    dense = dense_search(chunks if vectors is None else vectors, batch, pool)
     fused = hybrid_fuse(bm25, dense)
-    ranked = cross_namespace_fuse(fused, asked, top_k)
-    bound = MAX_BROADCAST_ROWS // max(1, top_k)
-    small = count_up_to(asked, bound) <= bound
+    ranked = cross_namespace_fuse(fused, batch.df, top_k)
+    small = batch.bounded and batch.rows.num_rows * top_k <= MAX_BROADCAST_ROWS
     return SearchResult(bm25, dense, fused, ranked, hydrate(ranked, chunks, small))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
+from corpusloom.operators import batches as ba
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators import dense as dn
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
@@ -119,9 +120,10 @@ def vectors(seed=2, n=90, dim=8):
     return [(f"v{i:03d}", "ab"[i % 2], [float(x) for x in v]) for i, v in enumerate(made) if v.any()]
 
 
-@pytest.mark.parametrize("per_pass", [4096, 2])
+@pytest.mark.parametrize("per_pass", [4096, 5])
 def test_dense_equals_slow_scoring(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(dn, "MAX_QUERIES_PER_PASS", per_pass)
+    monkeypatch.setattr(ba, "MAX_BATCH_QUERIES", per_pass)
+    monkeypatch.setattr(dn, "MAX_BATCH_QUERIES", per_pass)
     rows = vectors()
     asked = [(i, ["a", "b"][: 1 + i % 2], rows[i * 7][2]) for i in range(6)] + [(99, [], rows[0][2])]
     chunks = spark.createDataFrame(rows, "doc_id string, namespace string, embedding array<float>").repartition(5)
