@@ -1,8 +1,8 @@
 """Partial top-k over score blocks inside Arrow tasks, shared by the two retrievers.
 
-A task scores one Arrow batch against all its queries as a matrix and passes on only the rows that
-can still be among the best ``k`` of the task. What leaves the task is bounded by queries x k, plus
-ties, so the following shuffle does not grow with the corpus.
+A task scores one Arrow batch against all its queries as a matrix and passes on, per batch and
+query, at most ``k`` rows, and none below the task's running cut. What leaves a task therefore does
+not grow with its documents, however many of them are copies of each other.
 """
 
 from __future__ import annotations
@@ -22,6 +22,21 @@ def id_array(values: Sequence, data_type: T.DataType) -> pa.Array:
     return pa.array(values, pa.string() if isinstance(data_type, T.StringType) else pa.int64())
 
 
+def by_namespace(batch: pa.RecordBatch, known, width: int) -> Iterator[tuple[str, pa.Table]]:
+    """Parts of a batch with one namespace each, in id order, with rows x width in bounds."""
+    keys = [("namespace", "ascending"), ("doc_id", "ascending")]
+    table = pa.Table.from_batches([batch])
+    table = table.take(pa.compute.sort_indices(table, sort_keys=keys))
+    runs = pa.compute.run_end_encode(table.column("namespace").combine_chunks())
+    step = max(1, MAX_CELLS // max(1, width))
+    start = 0
+    for namespace, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+        if namespace in known:
+            for at in range(start, end, step):
+                yield namespace, table.slice(at, min(step, end - at)).combine_chunks()
+        start = end
+
+
 class PartialTopK:
     """Running cut-offs of one task: a score below the current k-th best is not passed on."""
 
@@ -30,6 +45,21 @@ class PartialTopK:
         self._k = k
         self._floors: dict[str, np.ndarray] = {}
 
+    def _first_k(self, rounded: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """Mask of at most ``k`` rows per column: highest scores, then first rows (smallest ids)."""
+        if len(rounded) <= self._k:
+            return rounded >= floors
+        cut = np.partition(rounded, len(rounded) - self._k, axis=0)[len(rounded) - self._k]
+        kept = rounded >= np.maximum(cut, floors)
+        crowded = np.flatnonzero(kept.sum(axis=0) > self._k)
+        if len(crowded):
+            above = rounded[:, crowded] > cut[crowded]
+            tied = rounded[:, crowded] == cut[crowded]
+            room = self._k - above.sum(axis=0)
+            kept[:, crowded] = above | (tied & (np.cumsum(tied, axis=0) <= room))
+        np.maximum(floors, cut, out=floors)
+        return kept
+
     def rows(
         self,
         namespace: str,
@@ -38,16 +68,12 @@ class PartialTopK:
         scores: np.ndarray,
         positive_only: bool = False,
     ) -> pa.RecordBatch:
-        """Surviving cells of a (documents x slots) block; ties at the cut all survive."""
-        floors = self._floors.setdefault(namespace, np.full(len(self._query_ids), -np.inf))
-        rounded = np.round(scores, ORDER_DIGITS)
-        if len(rounded) >= self._k:
-            cut = np.partition(rounded, len(rounded) - self._k, axis=0)[len(rounded) - self._k]
-            floors[slots] = np.maximum(floors[slots], cut)
-        alive = rounded >= floors[slots]
+        """Surviving cells of a (documents in id order x slots) block."""
+        floors = self._floors.setdefault(namespace, np.full(len(slots), -np.inf))
+        kept = self._first_k(np.round(scores, ORDER_DIGITS), floors)
         if positive_only:
-            alive &= scores > 0
-        docs, columns = np.nonzero(alive)
+            kept &= scores > 0
+        docs, columns = np.nonzero(kept)
         return pa.RecordBatch.from_arrays(
             [
                 self._query_ids.take(pa.array(slots[columns])),
@@ -57,15 +83,3 @@ class PartialTopK:
             ],
             names=["query_id", "namespace", "doc_id", "score"],
         )
-
-
-def by_namespace(batch: pa.RecordBatch, known, width: int) -> Iterator[tuple[str, pa.Table]]:
-    """Parts of a batch with one namespace each, cut so that rows x width stays in bounds."""
-    table = pa.Table.from_batches([batch])
-    for namespace in table.column("namespace").unique().to_pylist():
-        if namespace not in known:
-            continue
-        part = table.filter(pa.compute.equal(table.column("namespace"), namespace))
-        step = max(1, MAX_CELLS // max(1, width))
-        for start in range(0, part.num_rows, step):
-            yield namespace, part.slice(start, step).combine_chunks()

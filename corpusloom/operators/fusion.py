@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.config import RRF_K
+from corpusloom.operators.ranking import top_k as first
 
 
 def _term(k: int) -> Column:
@@ -79,5 +80,5 @@ def cross_namespace_fuse(
         F.min("rank").alias("min_rank"),
     )
     order = [F.col("score").desc(), F.col("min_rank"), F.col("doc_id")]
-    ranked = _ranked(merged, ["query_id"], order).where(F.col("rank") < top_k)
+    ranked = first(merged, ["query_id"], order, top_k)
     return ranked.select("query_id", "namespace", "doc_id", "score", "rank")

@@ -21,14 +21,15 @@ def by_score(score: str | Column) -> Column:
 def top_k(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
-    """First ``k`` rows of each group.
+    """First ``k`` rows of each group, with their 0-based rank.
 
-    ``row_number() <= constant`` becomes a WindowGroupLimit, which cuts every input partition to
-    ``k`` rows per group before the shuffle: a group holding a third of all rows still reaches its
-    task as at most ``k`` rows per input partition.
+    ``row_number() <= constant``, written exactly so, becomes a WindowGroupLimit. It cuts every
+    input partition to ``k`` rows per group before the shuffle: a group holding a third of all rows
+    still reaches its task as at most ``k`` rows per input partition.
     """
     window = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window) - 1).where(F.col(rank) < k)
+    first = df.withColumn("_number", F.row_number().over(window)).where(F.col("_number") <= k)
+    return first.withColumn(rank, F.col("_number") - 1).drop("_number")
 
 
 def _split_points(df: DataFrame, key: str, buckets: int, sample: int) -> list:

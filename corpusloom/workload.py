@@ -18,7 +18,8 @@ from corpusloom.functions.text import clean_roles, tokenize
 from corpusloom.functions.vectors import mock_embedding
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_cost, token_fragments
-from corpusloom.operators.bounds import broadcast_checked, spread
+from corpusloom.operators.batches import as_batch, pinned
+from corpusloom.operators.bounds import hint_small, spread
 from corpusloom.operators.chunking import code_chunks, doc_chunks
 from corpusloom.operators.dense import dense_search
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
@@ -254,33 +255,38 @@ def request_validation(spark, sf_dir):
 def relevant_chunks(spark, sf_dir):
     """Documents that contain a passage are relevant to it.
 
-    Candidates come from an equi-join: a document that holds a passage also holds the passage's
-    longest inner word as a whole token. Only candidates are compared in full.
+    A document that holds a passage also holds the passage's longest inner word as a whole token.
+    Words of the text are looked up in the passages' words row by row; only documents with a match
+    go on, once per match, to the comparison in full. Nothing is shuffled.
     """
-    corpus = chunks(spark, sf_dir)
     words = F.slice(tokenize(F.col("text")), F.lit(2), F.size(tokenize(F.col("text"))) - 2)
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    passages = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest["w"].alias("word")
+    passages = as_batch(
+        table(spark, sf_dir, "benchmark").select(
+            F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest["w"].alias("word")
+        )
     )
-    held = corpus.select(
-        "doc_id", F.explode_outer(F.array_distinct(tokenize(F.col("text")))).alias("word")
+    corpus = chunks(spark, sf_dir).select("namespace", "file_path", "symbol", "text")
+    found = F.array_distinct(tokenize(F.col("text")))
+    if passages.bounded:
+        wanted = set(passages.rows.column("word").to_pylist())
+        found = F.filter(found, lambda word: word.isin(wanted))
+    held = corpus.select("*", F.explode_outer(found).alias("word"))
+    pairs = held.join(hint_small(passages.df, passages.bounded), "word")
+    return pairs.where(F.contains("text", "passage")).select(
+        "query_id", "namespace", F.col("file_path").alias("path"), "symbol"
     )
-    pairs = held.join(broadcast_checked(passages), "word").select("doc_id", "query_id", "passage")
-    texts = corpus.select("doc_id", "namespace", "file_path", "symbol", "text")
-    full = texts.join(pairs, "doc_id").where(F.contains("text", "passage"))
-    return full.select("query_id", "namespace", F.col("file_path").alias("path"), "symbol")
 
 
 def retrieval_metrics(spark, sf_dir):
     found = _search(spark, sf_dir, 10).hydrated
-    scored = query_metrics(requests(spark, sf_dir), found, relevant_chunks(spark, sf_dir))
+    scored = query_metrics(requests(spark, sf_dir), found, pinned(relevant_chunks(spark, sf_dir)))
     return scored.select("query_id", _int("retrieved_count"), *[_six(c) for c in METRICS])
 
 
 def evaluation_means(spark, sf_dir):
     found = _search(spark, sf_dir, 10).hydrated
-    scored = query_metrics(requests(spark, sf_dir), found, relevant_chunks(spark, sf_dir))
+    scored = query_metrics(requests(spark, sf_dir), found, pinned(relevant_chunks(spark, sf_dir)))
     return aggregate_metrics(scored).select(
         "items", "evaluated", "skipped", *[_six(c) for c in METRICS]
     )
@@ -291,7 +297,7 @@ def dense_evaluation(spark, sf_dir):
         vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id"
     )
     ranking = dense_ranking(corpus, vector_requests(spark, sf_dir), None, 10)
-    relevant = relevant_chunks(spark, sf_dir)
+    relevant = pinned(relevant_chunks(spark, sf_dir))
     return mean_recall(requests(spark, sf_dir), ranking, relevant, 10).select(
         "evaluated", _six("recall")
     )
@@ -508,17 +514,19 @@ def holdout(spark, sf_dir):
     return holdout_ids(with_stratum(items), QUOTAS)
 
 
-def _negatives(spark, sf_dir):
-    return hard_negatives(_search(spark, sf_dir, 20).hydrated, relevant_chunks(spark, sf_dir), 3)
+def _negatives(spark, sf_dir, relevant):
+    return hard_negatives(_search(spark, sf_dir, 20).hydrated, relevant, 3)
 
 
 def hard_negative_chunks(spark, sf_dir):
-    return _negatives(spark, sf_dir).select("query_id", "text", _int("rank"))
+    relevant = pinned(relevant_chunks(spark, sf_dir))
+    return _negatives(spark, sf_dir, relevant).select("query_id", "text", _int("rank"))
 
 
 def contrastive_triples(spark, sf_dir):
-    found = positives(relevant_chunks(spark, sf_dir), chunks(spark, sf_dir))
-    return training_triples(requests(spark, sf_dir), found, _negatives(spark, sf_dir))
+    relevant = pinned(relevant_chunks(spark, sf_dir))
+    found = positives(relevant, chunks(spark, sf_dir))
+    return training_triples(requests(spark, sf_dir), found, _negatives(spark, sf_dir, relevant))
 
 
 QUERIES = {
