@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 from corpusloom.operators.ranking import ORDER_DIGITS
@@ -26,8 +27,8 @@ def by_namespace(batch: pa.RecordBatch, known, width: int) -> Iterator[tuple[str
     """Parts of a batch with one namespace each, in id order, with rows x width in bounds."""
     keys = [("namespace", "ascending"), ("doc_id", "ascending")]
     table = pa.Table.from_batches([batch])
-    table = table.take(pa.compute.sort_indices(table, sort_keys=keys))
-    runs = pa.compute.run_end_encode(table.column("namespace").combine_chunks())
+    table = table.take(pc.sort_indices(table, sort_keys=keys))
+    runs = pc.run_end_encode(table.column("namespace").combine_chunks())
     step = max(1, MAX_CELLS // max(1, width))
     start = 0
     for namespace, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, hint_sm
 from corpusloom.operators.ranking import by_score, top_k
 
 TERM_BUCKETS = 64
-MAX_BLOCK_WEIGHTS = 200_000
+MAX_BLOCK_WEIGHTS = 500_000
 _TOTALS = ""
 
 
@@ -212,16 +213,29 @@ class Bm25Index:
         return row[0] if row else 0
 
 
+def _most_terms(batch: QueryBatch) -> int:
+    """An upper bound of the (query, namespace, term) rows, from lengths where that suffices.
+
+    A text of n characters has at most (n + 1) / 2 words, so a bounded batch needs no job.
+    """
+    if batch.bounded:
+        columns = (batch.rows.column(name).to_pylist() for name in ("question", "namespaces"))
+        pairs = zip(*columns, strict=True)
+        most = sum((len(question or "") + 1) // 2 * len(names or ()) for question, names in pairs)
+        if most <= MAX_BLOCK_WEIGHTS:
+            return most
+    return count_up_to(query_terms(batch.df), MAX_BROADCAST_ROWS)
+
+
 def query_weights(
-    index: Bm25Index, queries: DataFrame, settings: Settings
+    index: Bm25Index, batch: QueryBatch, settings: Settings
 ) -> tuple[DataFrame, int]:
     """(query_id, namespace, term, weight, avgdl) and an upper bound of its rows.
 
-    Each query term meets at most one frequency row and one namespace row, so the counted query
-    terms bound both joins.
+    Each query term meets at most one frequency row and one namespace row, so the number of query
+    terms bounds both joins.
     """
-    terms = query_terms(queries)
-    rows = count_up_to(terms, MAX_BROADCAST_ROWS)
+    terms, rows = query_terms(batch.df), _most_terms(batch)
     keys = ["namespace", "term"]
     if "term_bucket" in index.frequencies.columns:
         terms, keys = _bucketed(terms), [*keys, "term_bucket"]
@@ -247,7 +261,7 @@ def _block_scorer(query_ids: pa.Array, weights: dict[str, tuple], k: int, k1: fl
             for namespace, part in by_namespace(batch, weights, len(query_ids)):
                 vocabulary, avgdl, slots, first, length, columns, values = weights[namespace]
                 tokens = part.column("tokens").combine_chunks()
-                codes = pa.compute.index_in(tokens.flatten(), vocabulary)
+                codes = pc.index_in(tokens.flatten(), vocabulary)
                 codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
                 dl = part.column("dl").to_numpy()
                 owner = np.repeat(np.arange(part.num_rows), dl)
@@ -337,7 +351,7 @@ def bm25_search(
     settings = settings or get_settings()
     k = settings.retriever_top_k if k is None else k
     batch = as_batch(queries)
-    weights, rows = query_weights(index, batch.df, settings)
+    weights, rows = query_weights(index, batch, settings)
     if index.tokens is not None and batch.bounded and rows <= MAX_BLOCK_WEIGHTS:
         scored = _score_blocks(index.tokens, weights, k, settings)
     else:
