@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
@@ -288,38 +289,37 @@ def _block_scorer(query_ids: pa.Array, weights: dict[str, tuple], k: int, k1: fl
     return score
 
 
-def _weights_by_namespace(rows: list, slot_of: dict) -> dict[str, tuple]:
-    grouped: dict[str, list] = {}
-    for query_id, namespace, term, weight, avgdl in rows:
-        grouped.setdefault(namespace, []).append((term, slot_of[query_id], weight, avgdl))
+def _packed_weights(weights: pd.DataFrame, slot_of: pd.Series) -> dict[str, tuple]:
+    """Per namespace what ``_block_scorer`` needs, from (query_id, namespace, term, weight, avgdl)."""
+    weights = weights.assign(slot=weights["query_id"].map(slot_of)).sort_values(["namespace", "term"])
     packed = {}
-    for namespace, entries in grouped.items():
-        entries.sort()
-        terms, slot, weight, avgdl = (list(column) for column in zip(*entries, strict=True))
-        vocabulary, first, length = np.unique(terms, return_index=True, return_counts=True)
-        slots, columns = np.unique(slot, return_inverse=True)
+    for namespace, part in weights.groupby("namespace", sort=False):
+        new_term = part["term"].ne(part["term"].shift()).to_numpy()
+        first = np.flatnonzero(new_term)
+        slots, columns = np.unique(part["slot"].to_numpy(), return_inverse=True)
         packed[namespace] = (
-            pa.array(vocabulary.tolist(), pa.string()),
-            avgdl[0],
+            pa.array(part["term"].to_numpy()[first], pa.string()),
+            float(part["avgdl"].iloc[0]),
             slots,
             first,
-            length,
+            np.diff(np.append(first, len(part))),
             columns,
-            np.array(weight),
+            part["weight"].to_numpy(),
         )
     return packed
 
 
 def _score_blocks(tokens: DataFrame, weights: DataFrame, k: int, settings: Settings) -> DataFrame:
-    rows = weights.select("query_id", "namespace", "term", "weight", "avgdl").collect()
-    ids = sorted({row[0] for row in rows})
+    rows = weights.select("query_id", "namespace", "term", "weight", "avgdl").toArrow().to_pandas()
+    ids = rows["query_id"].drop_duplicates()
     query_type = weights.schema["query_id"].dataType
-    packed = _weights_by_namespace(rows, {query_id: i for i, query_id in enumerate(ids)})
+    packed = _packed_weights(rows, pd.Series(range(len(ids)), index=ids.array))
     if len(packed) <= 1000:
         tokens = tokens.where(F.col("namespace").isin(*packed)) if packed else tokens.limit(0)
     doc_type = tokens.schema["doc_id"].dataType.simpleString()
+    query_ids = id_array(ids.to_list(), query_type)
     return tokens.select("doc_id", "namespace", "dl", "tokens").mapInArrow(
-        _block_scorer(id_array(ids, query_type), packed, k, settings.bm25_k1, settings.bm25_b),
+        _block_scorer(query_ids, packed, k, settings.bm25_k1, settings.bm25_b),
         f"query_id {query_type.simpleString()}, namespace string, doc_id {doc_type}, score double",
     )
 

@@ -18,19 +18,10 @@ def count_up_to(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
-def fits(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
-    return count_up_to(df, limit) <= limit
-
-
 def hint_small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def broadcast_checked(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when a count proves it small, else ``df`` for a shuffled join."""
-    return hint_small(df, fits(df, limit))
-
-
 def spread(df: DataFrame, bytes_per_task: int = 1 << 19) -> DataFrame:
     """Use the cores on a table that is large enough but has fewer input splits than cores.
 

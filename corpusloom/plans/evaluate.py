@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
+from corpusloom.operators.batches import as_batch
 from corpusloom.operators.bm25 import Bm25Index
-from corpusloom.operators.bounds import broadcast_checked
+from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, hint_small
 from corpusloom.operators.dense import dense_search
 from corpusloom.operators.metrics import aggregate_metrics, mean_recall, query_metrics
 from corpusloom.operators.ranking import by_score
@@ -83,10 +84,12 @@ def dense_ranking(
     if embed is not None:
         chunks = chunks.withColumn("embedding", embed(F.col("text")))
         queries = queries.withColumn("vector", embed(F.col("question")))
-    hits = dense_search(chunks, queries, top_k).drop("rank")
+    batch = as_batch(queries)
+    hits = dense_search(chunks, batch, top_k).drop("rank")
     best = first(hits, ["query_id"], [by_score("score"), F.col("doc_id")], top_k)
     named = chunks.select("namespace", "doc_id", F.col("file_path").alias("path"), "symbol")
-    return named.join(broadcast_checked(best), ["namespace", "doc_id"]).select(
+    small = batch.bounded and batch.rows.num_rows * top_k <= MAX_BROADCAST_ROWS
+    return named.join(hint_small(best, small), ["namespace", "doc_id"]).select(
         "query_id", "namespace", "path", "symbol", "rank"
     )
 
