@@ -17,7 +17,7 @@ All statistics are per namespace. Two ways to score, with equal results:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.config import Settings, get_settings
 from corpusloom.functions.text import term_counts, tokenize
@@ -35,6 +36,7 @@ from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, hint_sm
 from corpusloom.operators.ranking import by_score, top_k
 
 TERM_BUCKETS = 64
+MAX_PUSHED_VALUES = 1000
 MAX_BLOCK_WEIGHTS = 500_000
 _TOTALS = ""
 
@@ -181,8 +183,7 @@ class Bm25Index:
     def write(self, path: str, salts: int = 8) -> None:
         """Store the index inverted: partitions by namespace and term bucket, files by term.
 
-        A search joins on all three columns, so dynamic pruning opens only the buckets of its own
-        terms. The salt spreads the postings of a frequent term over several files.
+        A search opens only the buckets of its own terms (``pruned``). The salt spreads the postings of a frequent term over several files.
         """
         (
             _bucketed(self.term_rows())
@@ -203,11 +204,31 @@ class Bm25Index:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Bm25Index:
-        parts = {
-            name: spark.read.parquet(f"{path}/{name}")
-            for name in ("frequencies", "means", "postings")
-        }
-        return cls(**parts)
+        """Namespaces are partition folders and stay strings, whatever they look like."""
+
+        def table(name: str) -> DataFrame:
+            schema = spark.read.parquet(f"{path}/{name}").schema
+            schema["namespace"].dataType = T.StringType()
+            return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+        return cls(**{name: table(name) for name in ("frequencies", "means", "postings")})
+
+    def pruned(self, terms: DataFrame) -> Bm25Index:
+        """A written index cut to the partitions and terms that a bounded batch asks for.
+
+        Literal filters prune the file listing and, files being sorted by term, row groups too; a
+        join alone would open every partition.
+        """
+        asked = terms.select("namespace", "term", "term_bucket").distinct().collect()
+        wanted = {name: {row[name] for row in asked} for name in ("namespace", "term_bucket", "term")}
+
+        def cut(table: DataFrame) -> DataFrame:
+            for name, values in wanted.items():
+                if len(values) <= MAX_PUSHED_VALUES:
+                    table = table.where(F.col(name).isin(*values)) if values else table.limit(0)
+            return table
+
+        return replace(self, frequencies=cut(self.frequencies), postings=cut(self.postings))
 
     def size(self, namespace: str) -> int:
         row = self.means.where(F.col("namespace") == namespace).select("n_docs").first()
@@ -351,6 +372,8 @@ def bm25_search(
     settings = settings or get_settings()
     k = settings.retriever_top_k if k is None else k
     batch = as_batch(queries)
+    if index.postings is not None and batch.bounded:
+        index = index.pruned(_bucketed(query_terms(batch.df)))
     weights, rows = query_weights(index, batch, settings)
     if index.tokens is not None and batch.bounded and rows <= MAX_BLOCK_WEIGHTS:
         scored = _score_blocks(index.tokens, weights, k, settings)

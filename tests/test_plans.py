@@ -36,6 +36,16 @@ def test_bm25_scoring_shuffles_hits_only(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
 
 
+def test_written_index_opens_only_the_buckets_of_its_terms(spark, tmp_path):
+    bm.Bm25Index.build(w.chunks(spark, SF)).write(str(tmp_path))
+    index = bm.Bm25Index.read(spark, str(tmp_path))
+    query = spark.createDataFrame([(1, "the of", ["en"])], "query_id long, question string, namespaces array<string>")
+    text = plan(bm.bm25_search(index, query, 5))
+    scan = next(line for line in text.splitlines() if "FileScan" in line and "tf#" in line)
+    assert re.search(r"PartitionFilters: \[[^\]]*term_bucket", scan) and re.search(r"PartitionFilters: .*namespace", scan)
+    assert re.search(r"PushedFilters: .*(In|EqualTo)\(term", scan)
+
+
 def test_statistics_are_computed_once(spark):
     index = bm.Bm25Index.build(w.chunks(spark, SF))
     means = index.means

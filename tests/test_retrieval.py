@@ -101,6 +101,15 @@ def test_bm25_equals_slow_scoring(spark, tables, way, monkeypatch, tmp_path):
             assert got[key][1] == pytest.approx(want[key][1], abs=1e-9)
 
 
+def test_written_index_keeps_namespace_strings(spark, tmp_path):
+    rows = [("1", "007", "alpha beta"), ("2", "007", "gamma"), ("3", "007", "delta"), ("4", "8", "alpha")]
+    chunks = spark.createDataFrame(rows, "doc_id string, namespace string, text string")
+    bm.Bm25Index.build(chunks).write(str(tmp_path))
+    asked = spark.createDataFrame([("q", "alpha", ["007"])], "query_id string, question string, namespaces array<string>")
+    hits = bm.bm25_search(bm.Bm25Index.read(spark, str(tmp_path)), asked).collect()
+    assert [(r["namespace"], r["doc_id"]) for r in hits] == [("007", "1")]
+
+
 def test_bm25_empty_corpus(spark, tables):
     _, chunks, queries = tables
     assert bm.bm25_search(bm.Bm25Index.build(chunks.limit(0)), queries).count() == 0
