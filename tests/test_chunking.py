@@ -86,3 +86,11 @@ def test_failing_file_gives_an_error_row(spark):
     kinds = {r["path"]: (r["error"] is not None, r["symbol"]) for r in rows}
     assert kinds["b.py"] == (False, "f")
     assert set(kinds) == {"a.py", "b.py"}
+
+
+def test_file_with_very_many_headings(spark):
+    rng = random.Random(8)
+    body = "\n".join("#" * rng.randint(1, 6) + f" h{i}" for i in range(5000))
+    rows = cut(spark, [("big.md", body)])
+    got = sorted((tuple(r[f] for f in FIELDS) for r in rows), key=lambda c: c[3])
+    assert got == sections("big.md", body)
