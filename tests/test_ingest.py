@@ -84,6 +84,30 @@ def test_sync_life_cycle(spark, tree, tmp_path):
     assert run(spark, tree, store).chunks_written == 0
 
 
+def test_deletion_only_and_subtree(spark, tree, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    part = ingest(spark, "ns", str(tree / "docs"), store, repo_root=str(tree), settings=SETTINGS)
+    assert (part.files_seen, part.files_indexed) == (1, 1)
+    assert {f for (f,) in live(store, "file_path")} == {"docs/guide.rst"}
+    (tree / "docs" / "guide.rst").unlink()
+    commit_all(tree)
+    gone = ingest(spark, "ns", str(tree / "docs"), store, repo_root=str(tree), settings=SETTINGS)
+    assert (gone.files_seen, gone.files_deleted, gone.chunks_written) == (0, 1, 0)
+    assert live(store, "file_path") == [] and store.file_shas("ns").count() == 0
+    whole = run(spark, tree, store)
+    assert (whole.files_indexed, whole.files_deleted) == (2, 0)
+    assert {f for (f,) in live(store, "file_path")} == {"pkg/__init__.py", "readme.md"}
+
+
+def test_links_resolve_and_stay_inside(spark, tree, tmp_path):
+    outside = tmp_path / "outside.md"
+    outside.write_text("# Out\n")
+    (tree / "link.md").symlink_to(outside)
+    (tree / "same.md").symlink_to(tree / "readme.md")
+    files = source_files.relative_files(spark, str(tree), str(tree), (".md",))
+    assert sorted(r["path"] for r in files.collect()) == ["docs/skip.md", "readme.md"]
+
+
 def test_smoke_file_touches_nothing_else(spark, tree, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     report = run(spark, tree, store, smoke_file="readme.md")
