@@ -372,7 +372,7 @@ def bm25_search(
     settings = settings or get_settings()
     k = settings.retriever_top_k if k is None else k
     batch = as_batch(queries)
-    if index.postings is not None and batch.bounded:
+    if index.postings is not None and batch.bounded and _most_terms(batch) <= MAX_BLOCK_WEIGHTS:
         index = index.pruned(_bucketed(query_terms(batch.df)))
     weights, rows = query_weights(index, batch, settings)
     if index.tokens is not None and batch.bounded and rows <= MAX_BLOCK_WEIGHTS:

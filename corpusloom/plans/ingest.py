@@ -120,7 +120,7 @@ def ingest(
     if dry_run:
         listed = list_files(spark, source, SUFFIXES)
         files = listed.select(F.col("listed").alias("path"), "absolute")
-        rows = _cut(files.repartition("path")).persist()
+        rows = _cut(files.repartition("path")).select("path", "error").persist()
         report.files_seen = rows.select("path").distinct().count()
         _summarise(report, rows, "path")
         rows.unpersist()

@@ -148,6 +148,16 @@ def bm25_topk(spark, sf_dir):
     return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
 
 
+def bm25_topk_by_source(spark, sf_dir):
+    """Every passage against every source as a namespace of its own."""
+    names = table(spark, sf_dir, "documents").select("source").distinct()
+    sources = sorted(as_batch(names).rows.column("source").to_pylist())
+    asked = requests(spark, sf_dir).withColumn("namespaces", F.array(*[F.lit(n) for n in sources]))
+    index = bm.Bm25Index.build(chunks(spark, sf_dir, "source"))
+    hits = bm.bm25_search(index, asked, 10)
+    return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
+
+
 def dense_topk(spark, sf_dir):
     hits = dense_search(vectors(spark, sf_dir), vector_requests(spark, sf_dir), POOL)
     return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
@@ -303,6 +313,24 @@ def dense_evaluation(spark, sf_dir):
     )
 
 
+def model_comparison(spark, sf_dir):
+    """Dense recall@10 of two models: the given vectors, and mock vectors of texts and questions."""
+    relevant, asked = pinned(relevant_chunks(spark, sf_dir)), vector_requests(spark, sf_dir)
+    corpus = chunks(spark, sf_dir)
+    given = corpus.join(vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
+    rankings = {
+        "given": dense_ranking(given, asked, None, 10),
+        "mock": dense_ranking(corpus, asked, lambda text: mock_embedding(text, 16), 10),
+    }
+    rows = [
+        mean_recall(requests(spark, sf_dir), ranking, relevant, 10).select(
+            F.lit(label).alias("model"), "evaluated", _six("recall")
+        )
+        for label, ranking in rankings.items()
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 def _current_state(spark, sf_dir):
     return chunks(spark, sf_dir).select("file_path", "commit_sha")
 
@@ -538,6 +566,7 @@ QUERIES = {
         namespace_stats,
         bm25_idf,
         bm25_topk,
+        bm25_topk_by_source,
         dense_topk,
         hybrid_fusion,
         cross_namespace_fusion,
@@ -553,6 +582,7 @@ QUERIES = {
         retrieval_metrics,
         evaluation_means,
         dense_evaluation,
+        model_comparison,
         sync_plain,
         sync_forced,
         sync_restricted,

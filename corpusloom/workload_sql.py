@@ -223,6 +223,25 @@ def _marked_roles() -> str:
     return text
 
 
+_RECALL = """best_{m} AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM {scores}),
+top_{m} AS (
+  SELECT b.query_id, c.namespace, c.file_path AS path, c.symbol
+  FROM best_{m} b JOIN chunks c USING (namespace, doc_id) WHERE rn <= 10),
+recalls_{m} AS (
+  SELECT t.query_id, CASE WHEN any_value(w.n) IS NULL THEN 1 ELSE count(r.query_id) / any_value(w.n) END AS recall
+  FROM top_{m} t LEFT JOIN (SELECT DISTINCT * FROM relevant) r USING (query_id, namespace, path, symbol)
+  LEFT JOIN (SELECT query_id, count(DISTINCT (namespace, path, symbol)) AS n FROM relevant GROUP BY query_id) w
+    USING (query_id)
+  GROUP BY t.query_id)"""
+_MOCK_SCORES = f"""mock_scores AS (
+  SELECT q.query_id, c.namespace, c.doc_id, list_cosine_similarity(c.v, q.v) AS score
+  FROM (SELECT doc_id, namespace, {_mock_vector("h", 16)}::DOUBLE[] AS v
+        FROM (SELECT doc_id, namespace, sha256(text) AS h FROM chunks)) c
+  JOIN (SELECT query_id, namespace, {_mock_vector("h", 16)}::DOUBLE[] AS v
+        FROM (SELECT r.query_id, unnest(r.namespaces) AS namespace, sha256(r.question) AS h
+              FROM requests r JOIN embeddings e ON e.vec_id = r.query_id)) q USING (namespace))"""
+
 _UUID = """lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
   || substr('89ab', ((('0x' || substr(h, 17, 1))::INT) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12))"""
 
@@ -239,6 +258,13 @@ SQL = {
     "bm25_idf": _with(CHUNKS, TOKENISED, STATS, TF, DF, IDF)
     + "SELECT namespace, term, n, round(idf, 6) AS idf FROM idf",
     "bm25_topk": _with(*LEXICAL) + f"SELECT {_HIT} FROM bm25_hits",
+    "bm25_topk_by_source": _with(
+        CHUNKS.replace("lang AS namespace", "source AS namespace"),
+        """requests AS (SELECT item_id AS query_id, text AS question,
+                               (SELECT list(DISTINCT source) FROM documents) AS namespaces FROM benchmark)""",
+        *LEXICAL[2:],
+    )
+    + f"SELECT {_HIT} FROM bm25_hits WHERE rank < 10",
     "dense_topk": _with(REQUESTS, DENSE) + f"SELECT {_HIT} FROM dense_hits",
     "hybrid_fusion": _with(*HYBRID) + f"SELECT {_HIT} FROM fused",
     "cross_namespace_fusion": _with(*HYBRID, CROSS) + f"SELECT {_HIT} FROM crossed",
@@ -300,18 +326,14 @@ SQL = {
     + """SELECT count(*) AS items, count(*) AS evaluated, 0::BIGINT AS skipped, round(avg(recall_at_5), 6) AS recall_at_5,
              round(avg(recall_at_10), 6) AS recall_at_10, round(avg(mrr_at_10), 6) AS mrr_at_10,
              round(avg(precision_at_5), 6) AS precision_at_5 FROM metrics""",
-    "dense_evaluation": _with(CHUNKS, REQUESTS, DENSE, RELEVANT)
-    + """, best AS (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM dense_scores),
-      top AS (SELECT b.query_id, c.namespace, c.file_path AS path, c.symbol
-              FROM best b JOIN chunks c USING (namespace, doc_id) WHERE rn <= 10),
-      per_query AS (
-        SELECT t.query_id, CASE WHEN any_value(w.n) IS NULL THEN 1 ELSE count(r.query_id) / any_value(w.n) END AS recall
-        FROM top t LEFT JOIN (SELECT DISTINCT * FROM relevant) r USING (query_id, namespace, path, symbol)
-        LEFT JOIN (SELECT query_id, count(DISTINCT (namespace, path, symbol)) AS n FROM relevant GROUP BY query_id) w
-          USING (query_id)
-        GROUP BY t.query_id)
-      SELECT count(*) AS evaluated, round(coalesce(avg(recall), 0), 6) AS recall FROM per_query""",
+    "dense_evaluation": _with(CHUNKS, REQUESTS, DENSE, RELEVANT, _RECALL.format(m="given", scores="dense_scores"))
+    + "SELECT count(*) AS evaluated, round(coalesce(avg(recall), 0), 6) AS recall FROM recalls_given",
+    "model_comparison": _with(
+        CHUNKS, REQUESTS, DENSE, RELEVANT, _RECALL.format(m="given", scores="dense_scores"),
+        _MOCK_SCORES, _RECALL.format(m="mock", scores="mock_scores"),
+    )
+    + """SELECT 'given' AS model, count(*) AS evaluated, round(coalesce(avg(recall), 0), 6) AS recall FROM recalls_given
+      UNION ALL SELECT 'mock', count(*), round(coalesce(avg(recall), 0), 6) FROM recalls_mock""",
     "sync_plain": _with(CHUNKS, EARLIER, _CHANGED) + "SELECT * FROM diff",
     "sync_forced": _with(CHUNKS, EARLIER, DIFF.format(changed="true")) + "SELECT * FROM diff",
     "sync_restricted": _with(CHUNKS, EARLIER, _CHANGED)
