@@ -62,9 +62,9 @@ def token_pieces(
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each item, in the order given.
 
-    An item goes where the sum of the squared counts of open bins per residual gap becomes smallest: of
-    the gaps that hold it, and a new bin, the one with the largest (bins at that gap) - (bins at the
-    gap it would leave). Full bins are closed and count nowhere. Ties take the smallest gap.
+    An item goes where the sum of the squared counts of open bins per residual gap becomes smallest;
+    ``gain`` is what the sum falls by, for each gap that holds the item and for a new bin. Full bins
+    are closed and count nowhere. Ties take the smallest gap.
     """
     open_bins = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -74,8 +74,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     made = 0
     for i, size in enumerate(lengths.tolist()):
         holds = open_bins[size:]
-        gain = np.where(holds > 0, holds - open_bins[: capacity + 1 - size], none)
-        gain[-1] = -open_bins[capacity - size]  # a new bin
+        gain = np.where(holds > 0, 2 * (holds - open_bins[: capacity + 1 - size]) - 2, none)
+        if holds[0]:
+            gain[0] = 2 * holds[0] - 1  # the bin is closed
+        gain[-1] = -2 * open_bins[capacity - size] - 1  # a new bin
         gap = size + int(gain.argmax())
         if gap == capacity:
             number = made
