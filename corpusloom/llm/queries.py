@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
 from corpusloom.llm.packing import pack_documents
 
 
@@ -11,10 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
 }
