@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import language
 from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
 from corpusloom.llm.packing import pack_documents
 
@@ -16,11 +17,17 @@ def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
+    "op7_byte_network_language": op7_byte_network_language,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
 }
