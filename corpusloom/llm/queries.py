@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language
+from corpusloom.llm import language, toxicity
 from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
 from corpusloom.llm.packing import pack_documents
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -27,6 +32,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_subword_toxicity": op3_subword_toxicity,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op7_byte_network_language": op7_byte_network_language,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
