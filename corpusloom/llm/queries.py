@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import language, toxicity
 from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.repetition import repetition_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -34,6 +39,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
+    "op5_suffix_repetition": op5_suffix_repetition,
     "op7_byte_network_language": op7_byte_network_language,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
 }
