@@ -8,6 +8,7 @@ from corpusloom.llm import language, toxicity
 from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repetition import repetition_rules
+from corpusloom.llm.secrets import secret_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +37,15 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op5_suffix_repetition": op5_suffix_repetition,
     "op7_byte_network_language": op7_byte_network_language,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+    "op10_secret_tests": op10_secret_tests,
 }

@@ -1,0 +1,119 @@
+import hashlib
+import math
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from corpusloom.llm import secrets
+from corpusloom.llm.secrets import mask_secrets, rejection_bins, secret_digest
+
+SCHEMA = "doc_id long, text string, spans int, _base string"
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+def written(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def p_value(token, alphabet):
+    """The battery, step by step."""
+    values, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    upper = lambda z: max(math.erfc(z / 2**0.5) / 2, 1e-100)
+    chi = sum((values.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    spread = 2 / (9 * (k - 1))
+    tests = [upper(((chi / (k - 1)) ** (1 / 3) - 1 + spread) / spread**0.5)]
+    high = [2 * v >= k for v in values]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    both = 2 * ones * (n - ones)
+    tests.append(min(1, 2 * upper(abs(runs - both / n - 1) / (both * (both - n) / (n * n * (n - 1))) ** 0.5)) if both > n else 1e-100)
+    mean = sum(values) / n
+    variance = sum((v - mean) ** 2 for v in values)
+    if variance:
+        around = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:] + values[:1])) / variance
+        tests.append(min(1, 2 * upper(abs(around + 1 / (n - 1)) * n**0.5)))
+    else:
+        tests.append(1e-100)
+    return min(1, 3 * min(tests))
+
+
+def texts():
+    rng = random.Random(4)
+    piece = ["password", "ToKen", "api_key", "apikey", '"', "'", " ", "=", ":", "  ", "AKIA", "Z9", "é", "😀", "\n"]
+    piece += ["abc", "0123456789abcdef", "secret", "x.y-z", "AKIA0123456789AB", "f" * 31, "passwd=1234567", "ſecret:abcdefghij"]
+    rows = ["".join(rng.choice(piece) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    rows += [None, "", " ", 'secret:token="abcdefghijk"', "é" * 40 + "a" * 40, "token=😀token: 'ABCDEFGH'", "w " * 30_000 + "a1" * 20]
+    return rows + rows[-2:]
+
+
+def test_base_equals_plain_matching(spark):
+    rows = texts()
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in secret_digest(docs).collect()}
+    assert len(got) == len(rows)
+    for i, text in enumerate(rows):
+        want = base(text or "")
+        counts = [sum(k == kind for _, k, _ in want) for kind in range(3)]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts, text
+        assert got[i].base_sha256 == hashlib.sha256(written(want).encode()).hexdigest()
+        assert {w for w in written(want).split(",") if w} <= set(got[i].spans.split(","))
+
+
+def test_battery_and_step_up(spark):
+    rng = random.Random(2)
+    alphabet = dict((a, p) for p, a in secrets._ENCODINGS)
+    tokens = []
+    for letters, pattern in alphabet.items():
+        while sum(a == letters for _, a in tokens) < 25:
+            weights = [1 + 30 * (len(tokens) % 3 == 0) * (i % 5 == 0) for i in range(len(letters))]
+            token = "".join(rng.choices(letters, weights, k=rng.randint(20, 60)))
+            first = next((a for p, a in secrets._ENCODINGS if re.search(p, token)), None)
+            if first == letters:
+                tokens.append((token, letters))
+    tokens += [("ab" * 9 + "a1", secrets._ENCODINGS[0][1]), ("1" * 20 + "a", secrets._ENCODINGS[0][1])]
+    text = " ".join(t for t, _ in tokens)
+    df = spark.createDataFrame([(text,), ("",)], "text string")
+    tested = df.select(secrets._candidates(F.col("text")).alias("candidates"))
+    got = [c for r in tested.collect() for c in r.candidates]
+    assert [text[c.start : c.end] for c in got] == [t for t, _ in tokens]
+    values = [p_value(*t) for t in tokens]
+    for c, p in zip(got, values):
+        assert abs(c.bin - min(2000, -20 * math.log10(p))) <= 1.001, (c, p)
+    limits = rejection_bins(tested, 0.05)
+    for class_ in {c["class"] for c in got}:
+        ps = sorted(10 ** (-c.bin / 20) for c in got if c["class"] == class_)
+        cut = max((p for i, p in enumerate(ps, 1) if p <= 0.05 * i / len(ps)), default=0)
+        for c in got:
+            if c["class"] == class_:
+                assert (c.bin >= limits.get(class_, 2001)) == (10 ** (-c.bin / 20) <= cut)
+
+
+def test_random_tokens_are_found_and_text_is_not(spark):
+    rng = random.Random(8)
+    letters = secrets._ENCODINGS[5][1]
+    token = lambda: "Aa1" + "".join(rng.choices(letters, k=33))
+    rows = [(i, f"the key is {token()} for now", 1, "") for i in range(60)]
+    rows += [(100 + i, "page AAAA1111bbbb2222AAAA1111bbbb2222 of thelongestwordonearthwithoutend", 1, "") for i in range(60)]
+    got = {r.doc_id: r.n_random for r in secret_digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[i] for i in range(60)) >= 55
+    assert not any(got[100 + i] for i in range(60))
+
+
+def test_masking(spark):
+    docs = spark.createDataFrame([(1, "é😀 token = 'abcdefgh12' end", 1, ""), (2, "clean", 1, ""), (3, None, 1, ""), (4, "token=" + "a0" * 20, 1, "")], SCHEMA)
+    got = {r.doc_id: r.text for r in mask_secrets(docs.drop("_base")).collect()}
+    assert got == {1: "é😀 [SECRET]' end", 2: "clean", 3: None, 4: "[SECRET]"}
+
+
+def test_empty_table_and_native_plan(spark):
+    found = secret_digest(spark.createDataFrame([], SCHEMA))
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
