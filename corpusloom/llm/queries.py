@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import language, toxicity
 from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
+from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repetition import repetition_rules
 from corpusloom.llm.secrets import secret_digest
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -42,6 +47,7 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bayesian_minhash": op1_bayesian_minhash,
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op5_suffix_repetition": op5_suffix_repetition,
