@@ -10,6 +10,7 @@ from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repetition import repetition_rules
 from corpusloom.llm.secrets import secret_digest
+from corpusloom.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op7_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op5_suffix_repetition": op5_suffix_repetition,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_byte_network_language": op7_byte_network_language,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_secret_tests": op10_secret_tests,
