@@ -11,6 +11,7 @@ from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repetition import repetition_rules
 from corpusloom.llm.secrets import secret_digest
 from corpusloom.llm.substrings import remove_repeats
+from corpusloom.llm.wrappers import main_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op1_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -53,6 +58,7 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bayesian_minhash": op1_bayesian_minhash,
+    "op2_host_wrappers": op2_host_wrappers,
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op5_suffix_repetition": op5_suffix_repetition,
