@@ -11,6 +11,7 @@ from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repetition import repetition_rules
 from corpusloom.llm.secrets import secret_digest
 from corpusloom.llm.substrings import remove_repeats
+from corpusloom.llm.toolcalls import EXCHANGE_SCHEMAS, exchanges, link_tool_calls
 from corpusloom.llm.wrappers import main_text
 
 
@@ -52,6 +53,10 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(exchanges(_table(spark, sf_dir, "conversations")), EXCHANGE_SCHEMAS)
+
+
 def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -65,5 +70,6 @@ QUERIES = {
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_byte_network_language": op7_byte_network_language,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+    "op9_tool_call_linking": op9_tool_call_linking,
     "op10_secret_tests": op10_secret_tests,
 }
