@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.batches import TextBlock, text_blocks, two_columns
+from corpusloom.llm.batches import TextBlock, text_blocks
 from corpusloom.llm.suffix import suffix_array
 
 WINDOW_WORDS = 10
@@ -175,63 +177,68 @@ def _hits(block: TextBlock, phrases: Phrases) -> tuple[list[int], list[list[tupl
     return counts, spans, [list(i) for i in items]
 
 
-_FOUND = "doc_id {id}, text string, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+_ADDED = T.StructType(
+    [
+        T.StructField("_n_words", T.LongType()),
+        T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("_items", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def benchmark_hits(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
-    id_column: str = "doc_id",
     text_column: str = "text",
     item_column: str = "item_id",
+    item_text_column: str = "text",
     window: int = WINDOW_WORDS,
     phrase_bytes: int = PHRASE_BYTES,
 ) -> DataFrame:
-    """One row per text: doc_id, text, n_words, spans (word positions, end exclusive, merged), items (ids as text).
+    """``docs`` with all its columns, and _n_words, _spans (word positions, end exclusive, merged), _items (ids as text).
 
     Words are runs of ASCII letters, lowered, digits and non-ASCII characters. A benchmark item gives its
     windows of ``window`` words, or all its words as one if it has fewer. The benchmark is read in
-    blocks of at most ``phrase_bytes`` of text (one item at least), each sent to the tasks for a further
+    blocks of about ``phrase_bytes`` of text (one item at least), each sent to the tasks for a further
     pass over the same rows; no row is shuffled. Nulls and texts without words have no hits, items without
     words no windows; repeated rows are each reported; empty tables give no rows or no hits.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     blocks = max(1, -(-total // phrase_bytes))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    found = two_columns(docs, id_column, text_column).select(
-        "doc_id",
-        "text",
-        F.lit(None).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start: long, end: long>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
+    kept = len(docs.columns)
+    schema = T.StructType([*docs.schema.fields, *_ADDED.fields])
+    found = docs.select(
+        "*",
+        F.lit(None).cast("long").alias("_n_words"),
+        F.array().cast(_ADDED["_spans"].dataType).alias("_spans"),
+        F.array().cast("array<string>").alias("_items"),
     )
-    schema = _FOUND.format(id=found.schema["doc_id"].dataType.simpleString())
     for block in range(blocks):
-        rows: list[Row] = dealt.filter(F.col("block") == block).select("item", "text").collect()
+        rows = dealt.filter(F.col("block") == block).select("item", "text").collect()
         sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
 
         def scan(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value, window)
             for batch in batches:
                 at = 0
-                for shard in text_blocks([batch], "doc_id", "text", SHARD_BYTES):
+                for shard in text_blocks([batch], text_column, text_column, SHARD_BYTES):
                     rows = batch.slice(at, len(shard))
                     at += len(shard)
                     counts, spans, items = _hits(shard, phrases)
-                    earlier = list(zip(rows.column(3).to_pylist(), rows.column(4).to_pylist()))
+                    earlier = list(zip(rows.column(kept + 1).to_pylist(), rows.column(kept + 2).to_pylist()))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            rows.column(0),
-                            rows.column(1),
+                            *rows.columns[:kept],
                             pa.array(counts, pa.int64()),
                             pa.array([_merged(s, e) for s, (e, _) in zip(spans, earlier)], _SPANS),
                             pa.array([sorted({*i, *e}) for i, (_, e) in zip(items, earlier)], pa.list_(pa.string())),
                         ],
-                        names=["doc_id", "text", "n_words", "spans", "items"],
+                        names=batch.schema.names,
                     )
 
         found = found.mapInArrow(scan, schema)
@@ -252,14 +259,40 @@ def _merged(spans: list[tuple[int, int]], earlier: list[dict]) -> list[dict]:
     return out
 
 
-def contamination_digest(found: DataFrame) -> DataFrame:
+def cut_words(text: str, spans: list[dict]) -> str:
+    """The text without spans of words, each from the start of its first word to the end of its last."""
+    body = text.encode()
+    words = [m.span() for m in re.finditer(rb"[^ ]+", body.translate(_WORD_BYTES))]
+    kept, at = [], 0
+    for span in spans:
+        kept.append(body[at : words[span["start"]][0]])
+        at = words[span["end"] - 1][1]
+    return b"".join([*kept, body[at:]]).decode()
+
+
+def remove_hits(found: DataFrame, *, text_column: str = "text") -> DataFrame:
+    """The documents of ``benchmark_hits`` without the spans that are hit; its three columns go again."""
+    kept = len(found.columns) - len(_ADDED)
+    where = found.columns.index(text_column)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(where).to_pylist(), batch.column(kept + 1).to_pylist())
+            columns = batch.columns[:kept]
+            columns[where] = pa.array([cut_words(t, s) if s else t for t, s in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:kept])
+
+    return found.mapInArrow(scan, T.StructType(found.schema.fields[:kept]))
+
+
+def contamination_digest(found: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of the rows of ``benchmark_hits``."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return found.select(
-        "doc_id",
-        "n_words",
+        F.col(id_column).alias("doc_id"),
+        F.col("_n_words").alias("n_words"),
         hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )

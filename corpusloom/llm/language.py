@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.batches import text_blocks, two_columns
 
@@ -164,46 +165,51 @@ def fit(
     return train(windows[even], labels[even], languages)
 
 
-def identify(
-    docs: DataFrame, net: ByteNetwork | None, *, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score.
-
-    Every window of a text is classified; the text takes the language of the largest mean log
-    probability, and the score is that language's share. A null text, one without a letter, and every
-    text when nothing could be learned, is ``und`` with score 0. Repeated rows are each answered;
-    an empty table gives no rows; further columns are not read.
-    """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(net)
-    rows = two_columns(docs, id_column, text_column).withColumn(
-        "letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
-    )
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "text") -> DataFrame:
+    """``docs`` with all its columns, and ``_lang_pred`` and ``_lang_score``; see ``identify``."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+    letters = F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
+    kept = len(docs.columns)
+    rows = docs.withColumn("_text", F.col(text_column).cast("string")).withColumn("_letters", letters)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         tables = net.tables() if net else None
         for batch in batches:
-            letters = np.asarray(batch.column(2).to_pylist(), bool)
+            has_letters = np.asarray(batch.column(kept + 1).to_pylist(), bool)
             at = 0
-            for block in text_blocks([batch], "doc_id", "text"):
-                own = letters[at : at + len(block)]
-                at += len(block)
+            for block in text_blocks([batch], "_text", "_text"):
+                own = has_letters[at : at + len(block)]
                 names, score = np.full(len(block), UNKNOWN, object), np.zeros(len(block))
                 if net and own.any():
                     windows, row = cut_windows(block.data, block.offsets)
                     logs = np.log(net.probabilities(windows, tables) + 1e-9)
                     starts = np.searchsorted(row, np.arange(len(block)))
-                    mean = np.add.reduceat(logs, starts) / np.bincount(row)[:, None]
-                    share = _softmax(mean)
-                    best = share.argmax(axis=1)
-                    names[own] = np.array(net.languages, object)[best[own]]
+                    share = _softmax(np.add.reduceat(logs, starts) / np.bincount(row)[:, None])
+                    names[own] = np.array(net.languages, object)[share.argmax(axis=1)[own]]
                     score[own] = share.max(axis=1)[own]
+                columns = batch.slice(at, len(block)).columns[:kept]
+                at += len(block)
                 yield pa.RecordBatch.from_arrays(
-                    [block.ids, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
+                    names=[*batch.schema.names[:kept], "_lang_pred", "_lang_score"],
                 )
 
-    found = rows.mapInArrow(scan, f"doc_id {kind}, lang_pred string, score double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    return rows.mapInArrow(scan, schema)
+
+
+def identify(
+    docs: DataFrame, net: ByteNetwork | None, *, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    Every window of a text is classified; the text takes the language of the largest mean log
+    probability, and the score is that language's share. A null text, one without a letter, and every
+    text when nothing could be learned, is ``und`` with score 0. Repeated rows are each answered;
+    an empty table gives no rows; further columns are not read.
+    """
+    found = classify(two_columns(docs, id_column, text_column), net)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score")
+    )

@@ -12,6 +12,7 @@ with; every node with its most similar candidate; then all candidates that are l
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 from math import lgamma
 
 import numpy as np
@@ -70,6 +71,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix((parts * weights[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * weights[ROWS])
 
 
+@cache
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     """For each number of compared hashes the fewest matches with which a pair stays.
 

@@ -33,7 +33,8 @@ def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(benchmark_hits(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
