@@ -24,7 +24,9 @@ from corpusloom.llm.words import _multipliers, mix
 WIDTH = 400
 ANCHOR = 32
 #: Bytes of one shard's suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+#: Texts that are hashed at a time; a longer one is a block of its own.
+BLOCK_BYTES = 1 << 20
 #: An anchor with more different segments is dealt out window by window.
 MAX_SEGMENTS = 256
 
@@ -106,7 +108,7 @@ def _all_segments(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for block in text_blocks([batch], "doc_id", "text"):
+            for block in text_blocks([batch], "doc_id", "text", BLOCK_BYTES):
                 rows = batch.slice(at, len(block))
                 at += len(block)
                 found = segments(block, width, anchor)
