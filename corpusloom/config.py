@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
@@ -20,7 +21,10 @@ MAX_TOP_K = 50
 
 @dataclass(frozen=True)
 class Settings:
-    """Every knob of the library; field names double as environment names."""
+    """Every knob of the library; field names double as environment names.
+
+    Fixed values: the names and defaults of models, sizes and weights are those users of such systems have set.
+    """
 
     store_path: str = ""
     default_namespaces: tuple[str, ...] = ()
@@ -42,6 +46,11 @@ class Settings:
     answer_model: str = ""
     answer_temperature: float = 0.2
     answer_max_tokens: int = 1024
+    system_prompt: str = (
+        "Below are excerpts of documents and code, each headed by its source in brackets. Base the answer on these "
+        "excerpts alone and name the source of each statement as it stands in the brackets. Where they do not "
+        "settle the question, reply that they do not; never guess names of functions or options."
+    )
 
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
@@ -82,6 +91,8 @@ def load_settings(env: Mapping[str, str] | None = None, dotenv: str = ".env") ->
         for f in fields(Settings)
         if f.name in merged and f.name != "ignore_globs"
     }
+    if "ignore_globs" in merged:  # JSON: namespace to list of globs
+        overrides["ignore_globs"] = {k: tuple(v) for k, v in json.loads(merged["ignore_globs"]).items()}
     return replace(base, **overrides)
 
 

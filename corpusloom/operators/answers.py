@@ -11,15 +11,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, get_settings
 
-# The text formats of prompts and of the stand-in answer.
+# Fixed value: what stands between two chunks of a prompt.
 CHUNK_SEPARATOR = "\n\n---\n\n"
-EMPTY_CONTEXT = "(No retrieved context.)"
-SYSTEM_PROMPT = (
-    "You are a code-aware retrieval assistant for a private knowledge base. Answer using only the "
-    "supplied context. Cite sources by `namespace:path:symbol`. If the context is insufficient, "
-    "say so explicitly and do not invent symbols or APIs."
-)
-NO_CHUNKS_ANSWER = "[mock] No chunks retrieved."
+EMPTY_CONTEXT = "Context: none was found."
+NO_CHUNKS_ANSWER = "Nothing was found."
 
 # Price per million tokens, in CNY; unknown models cost nothing.
 PRICES = {"doubao-seed-2.0-pro": (3.20, 16.00)}
@@ -48,8 +43,12 @@ def chunk_text(namespace: Column, path: Column, symbol: Column, text: Column) ->
     return F.concat(header, F.lit("\n"), text)
 
 
-def prompts(queries: DataFrame, hydrated: DataFrame) -> DataFrame:
-    """(query_id, context, user_message, messages) for every query, hits or not."""
+def prompts(queries: DataFrame, hydrated: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(query_id, context, user_message, messages) for every query, hits or not.
+
+    The first message is the settings' ``system_prompt``.
+    """
+    system = (settings or get_settings()).system_prompt
     part = chunk_text(F.col("namespace"), F.col("path"), F.col("symbol"), F.col("text"))
     contexts = hydrated.groupBy("query_id").agg(
         F.array_join(_collect_ranked(part), CHUNK_SEPARATOR).alias("context")
@@ -67,7 +66,7 @@ def prompts(queries: DataFrame, hydrated: DataFrame) -> DataFrame:
         "query_id",
         "context",
         user.alias("user_message"),
-        F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", user)).alias("messages"),
+        F.array(message("system", F.lit(system)), message("user", user)).alias("messages"),
     )
 
 
@@ -86,7 +85,7 @@ def mock_answers(queries: DataFrame, hydrated: DataFrame) -> DataFrame:
         F.concat_ws(
             "\n",
             F.concat(
-                F.lit("[mock] Multi-namespace search across "), F.count("*"), F.lit(" namespaces:")
+                F.lit("Hits by namespace ("), F.count("*"), F.lit("):")
             ),
             F.transform(lines, lambda row: row["line"]),
         ).alias("answer")

@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_BATCH_QUERIES = 4096
-MAX_PINNED_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -34,11 +33,3 @@ def as_batch(queries: DataFrame | QueryBatch) -> QueryBatch:
         return QueryBatch(queries)
     return QueryBatch(queries.sparkSession.createDataFrame(rows, queries.schema), rows)
 
-
-def pinned(df: DataFrame, limit: int = MAX_PINNED_ROWS) -> DataFrame:
-    """A small derived table of narrow rows as a local relation, or the table itself if larger.
-
-    For tables that several joins read and that are costly to derive, such as relevance judgments.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.operators.ranking import ORDER_DIGITS
 
@@ -20,7 +21,7 @@ MAX_CELLS = 4_000_000
 
 
 def id_array(values: Sequence, data_type: T.DataType) -> pa.Array:
-    return pa.array(values, pa.string() if isinstance(data_type, T.StringType) else pa.int64())
+    return pa.array(values, to_arrow_type(data_type))
 
 
 def by_namespace(batch: pa.RecordBatch, known, width: int) -> Iterator[tuple[str, pa.Table]]:
@@ -71,7 +72,7 @@ class PartialTopK:
     ) -> pa.RecordBatch:
         """Surviving cells of a (documents in id order x slots) block."""
         floors = self._floors.setdefault(namespace, np.full(len(slots), -np.inf))
-        kept = self._first_k(np.round(scores, ORDER_DIGITS), floors)
+        kept = self._first_k(np.floor(scores * float(10**ORDER_DIGITS) + 0.5), floors)
         if positive_only:
             kept &= scores > 0
         docs, columns = np.nonzero(kept)

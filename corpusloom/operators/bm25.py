@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,9 +119,20 @@ def _floored_idf(epsilon: float):
     return F.when(_raw_idf() < 0, epsilon * F.col("mean_idf")).otherwise(_raw_idf())
 
 
+def with_means(terms: DataFrame, means: DataFrame) -> DataFrame:
+    """Rows of (namespace, term, …) with the figures of their namespace.
+
+    A few namespaces may hold all terms, so each row of figures is repeated for every salt and the terms are
+    dealt by their hash; the side of the figures is the one that is hashed, never the vocabulary.
+    """
+    salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_BUCKETS - 1)))).hint("shuffle_hash")
+    dealt = terms.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
+    return dealt.join(salted, ["namespace", "_salt"]).drop("_salt")
+
+
 def idf_table(frequencies: DataFrame, means: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(namespace, term, n, idf) with the floor applied."""
-    return frequencies.join(means, "namespace").select(
+    return with_means(frequencies, means).select(
         "namespace", "term", "n", _floored_idf(epsilon).alias("idf")
     )
 
@@ -264,20 +275,21 @@ def query_weights(
     weight = F.col("qtf") * _floored_idf(settings.bm25_epsilon) * (settings.bm25_k1 + 1)
     small = rows <= MAX_BROADCAST_ROWS
     known = index.frequencies.join(hint_small(terms, small), keys)
-    weights = index.means.join(hint_small(known, small), "namespace").select(
+    weights = (index.means.join(hint_small(known, small), "namespace") if small else with_means(known, index.means)).select(
         "query_id", *keys, weight.alias("weight"), "avgdl"
     )
     return weights.where(F.col("weight") != 0), rows
 
 
-def _block_scorer(query_ids: pa.Array, weights: dict[str, tuple], k: int, k1: float, b: float):
+def _block_scorer(sent: Broadcast, k: int, k1: float, b: float):
     """Arrow batches of (doc_id, namespace, dl, tokens) to partial top-k rows.
 
-    ``weights`` holds per namespace: the query terms, avgdl, the query slots, and for each term
+    ``sent`` holds the query ids and per namespace: the query terms, avgdl, the query slots, and for each term
     code the run of (slot column, weight) entries that mention it.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, weights = sent.value
         best = PartialTopK(query_ids, k)
         for batch in batches:
             for namespace, part in by_namespace(batch, weights, len(query_ids)):
@@ -340,7 +352,7 @@ def _score_blocks(tokens: DataFrame, weights: DataFrame, k: int, settings: Setti
     doc_type = tokens.schema["doc_id"].dataType.simpleString()
     query_ids = id_array(ids.to_list(), query_type)
     return tokens.select("doc_id", "namespace", "dl", "tokens").mapInArrow(
-        _block_scorer(query_ids, packed, k, settings.bm25_k1, settings.bm25_b),
+        _block_scorer(tokens.sparkSession.sparkContext.broadcast((query_ids, packed)), k, settings.bm25_k1, settings.bm25_b),
         f"query_id {query_type.simpleString()}, namespace string, doc_id {doc_type}, score double",
     )
 

@@ -21,13 +21,3 @@ def count_up_to(df: DataFrame, limit: int) -> int:
 def hint_small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
-
-def spread(df: DataFrame, bytes_per_task: int = 1 << 19) -> DataFrame:
-    """Use the cores on a table that is large enough but has fewer input splits than cores.
-
-    A table read in more splits than there are cores, as any big one is, comes back unchanged; so
-    does one too small to be worth a shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // bytes_per_task)
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

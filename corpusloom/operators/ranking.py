@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 ORDER_DIGITS = 9
 
 
+def order_units(score: Column) -> Column:
+    """A score in whole units of the last compared digit; ``PartialTopK`` does the same arithmetic, bit for bit."""
+    return F.floor(score * float(10**ORDER_DIGITS) + 0.5)
+
+
 def by_score(score: str | Column) -> Column:
     score = F.col(score) if isinstance(score, str) else score
-    return F.round(score, ORDER_DIGITS).desc()
+    return order_units(score).desc()
 
 
 def top_k(

@@ -8,11 +8,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.config import Settings, get_settings
+from corpusloom.config import MAX_TOP_K, Settings, get_settings
 from corpusloom.functions.text import tokenize
+from corpusloom.operators.ranking import top_k as best_first
 
 Reranker = Callable[[DataFrame], DataFrame]
 
@@ -35,16 +35,15 @@ def rerank_identity(candidates: DataFrame, top_k: str | int) -> DataFrame:
 
 
 def rerank_by(candidates: DataFrame, score: Column, top_k: str | int) -> DataFrame:
-    """Order by a new score, which replaces the old one; equal scores keep their order."""
-    window = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_before"))
-    ranked = (
-        candidates.withColumnRenamed("rank", "_before")
-        .withColumn("score", score.cast("double"))
-        .withColumn("rank", F.row_number().over(window) - 1)
-        .withColumn("score_kind", F.lit("relevance"))
-        .drop("_before")
-    )
-    return _cut(ranked, top_k)
+    """Order by a new score, which replaces the old one; equal scores keep their order.
+
+    The window compares with a constant, the largest ``top_k`` a request may have, so that every input
+    partition sends at most that many candidates of a query; a smaller limit is applied behind it.
+    """
+    most = top_k if isinstance(top_k, int) else MAX_TOP_K
+    scored = candidates.withColumnRenamed("rank", "_before").withColumn("score", score.cast("double"))
+    ranked = best_first(scored, ["query_id"], [F.col("score").desc(), F.col("_before")], most)
+    return _cut(ranked.withColumn("score_kind", F.lit("relevance")).drop("_before"), top_k)
 
 
 def pair_score(

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ADD, UPDATE, DELETE, SKIP = "add", "update", "delete", "skip"
+ADD, UPDATE, DELETE, SKIP, ERROR = "add", "update", "delete", "skip", "error"
 
 
 def sync_diff(current: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
     """(file_path, commit_sha, action) from two (file_path, commit_sha) tables.
 
-    One full outer join on the unique path. ``force`` turns every unchanged file into an update.
+    One full outer join on the unique path. Whether a side has a file is told by its row, not by its key: a
+    current file with a null key could not be read and is an error, which leaves what is indexed alone; an
+    indexed file with a null key is indexed anew. ``force`` turns every unchanged file into an update.
     """
-    old = existing.select("file_path", F.col("commit_sha").alias("_old"))
-    new = current.select("file_path", F.col("commit_sha").alias("_new"))
-    changed = F.lit(True) if force else F.col("_new") != F.col("_old")
+    old = existing.select("file_path", F.col("commit_sha").alias("_old"), F.lit(True).alias("_had"))
+    new = current.select("file_path", F.col("commit_sha").alias("_new"), F.lit(True).alias("_has"))
+    changed = F.lit(True) if force else ~F.col("_new").eqNullSafe(F.col("_old"))
     action = (
-        F.when(F.col("_old").isNull(), ADD)
-        .when(F.col("_new").isNull(), DELETE)
+        F.when(F.col("_has").isNull(), DELETE)
+        .when(F.col("_new").isNull(), ERROR)
+        .when(F.col("_had").isNull(), ADD)
         .when(changed, UPDATE)
         .otherwise(SKIP)
     )

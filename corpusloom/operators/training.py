@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import NON_SPACE, strip
-from corpusloom.operators.batches import pinned
 from corpusloom.operators.metrics import TRIPLE
 from corpusloom.operators.ranking import spread_row_number, top_k
 
@@ -55,7 +54,7 @@ def positives(relevant: DataFrame, chunks: DataFrame) -> DataFrame:
     Several chunks may share a triple; the one with the smallest id speaks. Judgments that fit are
     pinned, so the chunk table is filtered where it lies before anything moves.
     """
-    relevant = pinned(relevant.select("query_id", *TRIPLE))
+    relevant = relevant.select("query_id", *TRIPLE)
     texts = (
         chunks.withColumnRenamed("file_path", "path")
         .join(relevant.select(*TRIPLE).distinct(), TRIPLE, "left_semi")

@@ -13,7 +13,7 @@ from corpusloom.config import CODE_SUFFIXES, DOC_SUFFIXES, Settings, get_setting
 from corpusloom.functions.ids import point_id
 from corpusloom.functions.vectors import get_embedder
 from corpusloom.operators.chunking import chunk_files
-from corpusloom.operators.sync import ADD, DELETE, UPDATE, sync_counts, sync_diff
+from corpusloom.operators.sync import ADD, DELETE, ERROR, UPDATE, sync_counts, sync_diff
 from corpusloom.sources.chunk_store import ChunkStore
 from corpusloom.sources.embedding_cache import EmbeddingCache
 from corpusloom.sources.files import git_shas, list_files, read_files, relative_files, source_exists
@@ -67,7 +67,7 @@ def payload_rows(
 
 def _cut(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Chunks and error rows of files (path, absolute, ``carry`` columns)."""
-    loaded = read_files(files.select("path", "absolute", *carry))
+    loaded = read_files(files.select("path", "absolute", *carry)).drop("digest")
     unread = loaded.where(F.col("text").isNull()).select("path", *carry, "error")
     return chunk_files(loaded.where(F.col("text").isNotNull()), carry).unionByName(
         unread, allowMissingColumns=True
@@ -98,6 +98,7 @@ def ingest(
     dry_run: bool = False,
     force_reindex: bool = False,
     change_key: str = "git",
+    allow_empty: bool = False,
     settings: Settings | None = None,
     embed: Callable[[Column], Column] | None = None,
     cache: EmbeddingCache | None = None,
@@ -107,7 +108,8 @@ def ingest(
     Only added and changed files are read. ``change_key`` is ``git`` (newest commit of each file,
     untracked files are skipped) or ``content`` (hash of the bytes, for trees without history).
     Files of the namespace that the source no longer has are removed, and a changed file that
-    cannot be loaded keeps its old chunks. A dry run reads and chunks every file with a known
+    cannot be loaded keeps its old chunks. A source in which no file is left, while the store has some, is
+    refused unless ``allow_empty``: a wrong path or an unmounted folder looks the same. A dry run reads and chunks every file with a known
     suffix, ignoring globs and history, and writes nothing.
     """
     settings = settings or get_settings()
@@ -134,8 +136,7 @@ def ingest(
     if change_key == "git":
         current = files.join(git_shas(spark, repo_root), "path")
     else:
-        hashed = read_files(files)
-        current = hashed.select("path", "absolute", F.sha2("text", 256).alias("commit_sha"))
+        current = read_files(files).select("path", "absolute", F.col("digest").alias("commit_sha"), "error")
     current = current.persist()
     state = current.select(F.col("path").alias("file_path"), "commit_sha")
     diff = sync_diff(state, store.file_shas(namespace), force_reindex)
@@ -144,6 +145,10 @@ def ingest(
     diff = diff.persist()
 
     counts = sync_counts(diff).first()
+    if counts["files_deleted"] and not counts["files_seen"] and smoke_file is None and not allow_empty:
+        diff.unpersist()
+        current.unpersist()
+        raise ValueError(f"{source} has no files left, but the store has {counts['files_deleted']} of them")
     report.files_seen = counts["files_seen"]
     report.files_skipped_unchanged = counts["files_skipped_unchanged"]
     report.files_deleted = counts["files_deleted"]
@@ -170,6 +175,13 @@ def ingest(
         commit = store.apply(rows, after_write=removals)
         _summarise(report, store.rows_of([commit]), "file_path")
 
+    unread = diff.where(F.col("action") == ERROR)
+    if not unread.isEmpty():
+        told = F.col("error") if "error" in current.columns else F.lit("no change key")
+        told = current.select(F.col("path").alias("file_path"), told.alias("error"))
+        told = unread.join(told, "file_path", "left").orderBy("file_path")
+        report.error_count += unread.count()
+        report.errors += [row["error"] for row in told.limit(_SHOWN_ERRORS).collect()]
     diff.unpersist()
     current.unpersist()
     report.duration_s = time.monotonic() - started

@@ -7,7 +7,9 @@ HDFS, object stores); only directory names of the top level pass through the dri
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -97,7 +99,8 @@ def _git_log(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     command = ["git", "log", "-c", "--no-renames", "--name-only", "-z", "--format=%x01%H"]
     for frame in frames:
         for root in frame["repo_root"]:
-            log = subprocess.Popen(command, cwd=root, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+            said = tempfile.TemporaryFile()
+            log = subprocess.Popen(command, cwd=root, stdout=subprocess.PIPE, stderr=said)
             sha, order, rest, rows = "", 0, b"", []
             while block := log.stdout.read(1 << 16):
                 *entries, rest = (rest + block).split(b"\0")
@@ -112,14 +115,18 @@ def _git_log(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "commit_sha", "order"])
                     rows = []
-            log.wait()
+            if log.wait():
+                said.seek(0)
+                reason = said.read().decode("utf-8", "replace").strip()
+                raise RuntimeError(f"git log in {root} ended with {log.returncode}: {reason[-500:]}")
 
 
 def git_shas(spark: SparkSession, repo_root: str) -> DataFrame:
     """(path, commit_sha): the newest commit that touched each tracked path.
 
     One streamed ``git log`` instead of one process per file; picking the newest row is an
-    ordinary aggregation.
+    ordinary aggregation. A log that fails, such as that of a folder without history, fails the job: an
+    empty history would look like a tree whose files are all gone.
     """
     roots = spark.createDataFrame([(_open(repo_root)[1],)], "repo_root string")
     touched = roots.mapInPandas(_git_log, "path string, commit_sha string, order long")
@@ -130,21 +137,25 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for start in range(0, len(frame), _READ_ROWS):
             part = frame.iloc[start : start + _READ_ROWS].copy()
-            texts, errors = [], []
+            texts, errors, digests = [], [], []
             for path, uri in zip(part["path"], part["absolute"], strict=True):
                 try:
                     system, location = _open(uri)
                     with system.open_input_stream(location) as stream:
-                        text = stream.readall().decode("utf-8", "replace")
+                        content = stream.readall()
+                    text = content.decode("utf-8", "replace")
+                    digests.append(hashlib.sha256(content).hexdigest())
                     texts.append(text.replace("\r\n", "\n").replace("\r", "\n"))
                     errors.append(None)
                 except OSError as problem:
                     texts.append(None)
+                    digests.append(None)
                     errors.append(f"{path}: {problem}")
-            yield part.assign(text=texts, error=errors)
+            yield part.assign(text=texts, error=errors, digest=digests)
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """Add ``text`` (UTF-8, bad bytes replaced, ``\\n`` line ends) or ``error`` to each file row."""
+    """Add ``text`` (UTF-8, bad bytes replaced, ``\\n`` line ends) or ``error`` to each file row, and the
+    ``digest`` of its bytes."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInPandas(_read, f"{schema}, text string, error string")
+    return files.mapInPandas(_read, f"{schema}, text string, error string, digest string")

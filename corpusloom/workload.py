@@ -18,9 +18,8 @@ from corpusloom.functions.text import clean_roles, tokenize
 from corpusloom.functions.vectors import mock_embedding
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_cost, token_fragments
-from corpusloom.operators.batches import as_batch, pinned
-from corpusloom.operators.bounds import hint_small, spread
 from corpusloom.operators.chunking import code_chunks, doc_chunks
+from corpusloom.operators.contains import containing
 from corpusloom.operators.dense import dense_search
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
 from corpusloom.operators.hydrate import chunk_summary, display_rows
@@ -63,7 +62,7 @@ RST_STYLES = [("A-H", "", "\n" + "=" * 40 + "\n"), ("I-P", "", "\n" + "-" * 40 +
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, sf_dir: str, namespace: str = "lang") -> DataFrame:
@@ -151,7 +150,7 @@ def bm25_topk(spark, sf_dir):
 def bm25_topk_by_source(spark, sf_dir):
     """Every passage against every source as a namespace of its own."""
     names = table(spark, sf_dir, "documents").select("source").distinct()
-    sources = sorted(as_batch(names).rows.column("source").to_pylist())
+    sources = sorted(row["source"] for row in names.collect())
     asked = requests(spark, sf_dir).withColumn("namespaces", F.array(*[F.lit(n) for n in sources]))
     index = bm.Bm25Index.build(chunks(spark, sf_dir, "source"))
     hits = bm.bm25_search(index, asked, 10)
@@ -263,40 +262,21 @@ def request_validation(spark, sf_dir):
 
 
 def relevant_chunks(spark, sf_dir):
-    """Documents that contain a passage are relevant to it.
-
-    A document that holds a passage also holds the passage's longest inner word as a whole token.
-    Words of the text are looked up in the passages' words row by row; only documents with a match
-    go on, once per match, to the comparison in full. Nothing is shuffled.
-    """
-    words = F.slice(tokenize(F.col("text")), F.lit(2), F.size(tokenize(F.col("text"))) - 2)
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    passages = as_batch(
-        table(spark, sf_dir, "benchmark").select(
-            F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest["w"].alias("word")
-        )
-    )
+    """Documents that contain a passage are relevant to it."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     corpus = chunks(spark, sf_dir).select("namespace", "file_path", "symbol", "text")
-    found = F.array_distinct(tokenize(F.col("text")))
-    if passages.bounded:
-        wanted = set(passages.rows.column("word").to_pylist())
-        found = F.filter(found, lambda word: word.isin(wanted))
-    held = corpus.select("*", F.explode_outer(found).alias("word"))
-    pairs = held.join(hint_small(passages.df, passages.bounded), "word")
-    return pairs.where(F.contains("text", "passage")).select(
-        "query_id", "namespace", F.col("file_path").alias("path"), "symbol"
-    )
+    return containing(corpus, passages).select("query_id", "namespace", F.col("file_path").alias("path"), "symbol")
 
 
 def retrieval_metrics(spark, sf_dir):
     found = _search(spark, sf_dir, 10).hydrated
-    scored = query_metrics(requests(spark, sf_dir), found, pinned(relevant_chunks(spark, sf_dir)))
+    scored = query_metrics(requests(spark, sf_dir), found, relevant_chunks(spark, sf_dir))
     return scored.select("query_id", _int("retrieved_count"), *[_six(c) for c in METRICS])
 
 
 def evaluation_means(spark, sf_dir):
     found = _search(spark, sf_dir, 10).hydrated
-    scored = query_metrics(requests(spark, sf_dir), found, pinned(relevant_chunks(spark, sf_dir)))
+    scored = query_metrics(requests(spark, sf_dir), found, relevant_chunks(spark, sf_dir))
     return aggregate_metrics(scored).select(
         "items", "evaluated", "skipped", *[_six(c) for c in METRICS]
     )
@@ -307,7 +287,7 @@ def dense_evaluation(spark, sf_dir):
         vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id"
     )
     ranking = dense_ranking(corpus, vector_requests(spark, sf_dir), None, 10)
-    relevant = pinned(relevant_chunks(spark, sf_dir))
+    relevant = relevant_chunks(spark, sf_dir)
     return mean_recall(requests(spark, sf_dir), ranking, relevant, 10).select(
         "evaluated", _six("recall")
     )
@@ -315,7 +295,7 @@ def dense_evaluation(spark, sf_dir):
 
 def model_comparison(spark, sf_dir):
     """Dense recall@10 of two models: the given vectors, and mock vectors of texts and questions."""
-    relevant, asked = pinned(relevant_chunks(spark, sf_dir)), vector_requests(spark, sf_dir)
+    relevant, asked = relevant_chunks(spark, sf_dir), vector_requests(spark, sf_dir)
     corpus = chunks(spark, sf_dir)
     given = corpus.join(vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
     rankings = {
@@ -547,12 +527,12 @@ def _negatives(spark, sf_dir, relevant):
 
 
 def hard_negative_chunks(spark, sf_dir):
-    relevant = pinned(relevant_chunks(spark, sf_dir))
+    relevant = relevant_chunks(spark, sf_dir)
     return _negatives(spark, sf_dir, relevant).select("query_id", "text", _int("rank"))
 
 
 def contrastive_triples(spark, sf_dir):
-    relevant = pinned(relevant_chunks(spark, sf_dir))
+    relevant = relevant_chunks(spark, sf_dir)
     found = positives(relevant, chunks(spark, sf_dir))
     return training_triples(requests(spark, sf_dir), found, _negatives(spark, sf_dir, relevant))
 

@@ -133,8 +133,8 @@ PROMPTS = """contexts AS (
   FROM hydrated WHERE rank < 10 GROUP BY query_id)"""
 ANSWERS = """answers AS (
   SELECT q.query_id,
-         CASE WHEN s.n IS NULL THEN '[mock] No chunks retrieved.'
-              ELSE '[mock] Multi-namespace search across ' || s.n || ' namespaces:' || chr(10) || s.lines END AS answer
+         CASE WHEN s.n IS NULL THEN 'Nothing was found.'
+              ELSE 'Hits by namespace (' || s.n || '):' || chr(10) || s.lines END AS answer
   FROM requests q LEFT JOIN (
     SELECT query_id, count(*) AS n,
            string_agg('  ' || namespace || ': ' || hits || ' chunks', chr(10) ORDER BY hits DESC, first) AS lines
@@ -382,7 +382,7 @@ SQL = {
          OR path LIKE '%.html' OR regexp_matches(path, '^d[^/]/[0-4][^/]*$')""",
     "prompt_context": _with(*SEARCH, PROMPTS)
     + """SELECT q.query_id, c.context,
-             CASE WHEN c.context IS NULL THEN '(No retrieved context.)' ELSE 'Context:' || chr(10) || chr(10) || c.context END
+             CASE WHEN c.context IS NULL THEN 'Context: none was found.' ELSE 'Context:' || chr(10) || chr(10) || c.context END
              || chr(10) || chr(10) || 'Question: ' || q.question AS user_message
       FROM requests q LEFT JOIN contexts c USING (query_id)""",
     "namespace_summary": _with(*SEARCH, ANSWERS) + "SELECT * FROM answers",

@@ -92,10 +92,10 @@ def test_prompts_and_mock_answers(spark):
     rows = {r["query_id"]: r for r in an.prompts(queries, found).collect()}
     parts = [f"[{ns}:p{i}.py:s{i}]\nbody" for i, ns in enumerate("nmmz")]
     assert rows["q"]["user_message"] == "Context:\n\n" + "\n\n---\n\n".join(parts) + "\n\nQuestion: why?"
-    assert rows["none"]["user_message"] == "(No retrieved context.)\n\nQuestion: what?"
+    assert rows["none"]["user_message"] == an.EMPTY_CONTEXT + "\n\nQuestion: what?"
     assert [m["role"] for m in rows["none"]["messages"]] == ["system", "user"]
     texts = {r[0]: r[1] for r in an.mock_answers(queries, found).collect()}
-    assert texts["q"] == "[mock] Multi-namespace search across 3 namespaces:\n  m: 2 chunks\n  n: 1 chunks\n  z: 1 chunks"
+    assert texts["q"] == "Hits by namespace (3):\n  m: 2 chunks\n  n: 1 chunks\n  z: 1 chunks"
     assert texts["none"] == an.NO_CHUNKS_ANSWER
 
 
@@ -157,7 +157,7 @@ def test_answer_events(spark, store):
     assert sorted(c["namespace"] for c in payload) == ["m", "n"]
     assert all(isinstance(c["start_line"], int) for c in payload)
     said = "".join(d for e, d in events["r1"] if e == "token")
-    assert said.startswith("[mock] Multi-namespace search across 2 namespaces:")
+    assert said.startswith("Hits by namespace (2):")
     assert "".join(d for e, d in events["r3"] if e == "token") == an.NO_CHUNKS_ANSWER
     assert [r["query_id"] for r in result.rejected.collect()] == ["r4"]
 

@@ -11,7 +11,7 @@ from corpusloom.sources.embedding_cache import EmbeddingCache
 from corpusloom.functions.vectors import mock_embedding
 from corpusloom.functions.ids import cache_key
 
-SETTINGS = Settings(dense_dim=8, ignore_globs={"ns": ("docs/_static/**", "**/skip.md")})
+SETTINGS = Settings(dense_dim=8, ignore_globs={"ns": ("manual/drafts/**", "**/old.md")})
 
 
 def git(root, *args):
@@ -27,11 +27,11 @@ def commit_all(root, message="c"):
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "repo"
-    (root / "docs" / "_static").mkdir(parents=True)
+    (root / "manual" / "drafts").mkdir(parents=True)
     (root / "pkg").mkdir()
-    (root / "docs" / "guide.rst").write_text("Guide\n=====\nbody\n\nMore\n----\nrest\n")
-    (root / "docs" / "_static" / "logo.txt").write_text("logo\n")
-    (root / "docs" / "skip.md").write_text("# no\n")
+    (root / "manual" / "intro.rst").write_text("Intro\n=====\nfirst\n\nDepth\n-----\nsecond\n")
+    (root / "manual" / "drafts" / "plan.txt").write_text("later\n")
+    (root / "manual" / "old.md").write_text("# no\n")
     (root / "pkg" / "__init__.py").write_text("def boot():\n    return 1\n")
     (root / "pkg" / "data.bin").write_bytes(b"\0\1")
     (root / "readme.md").write_text("# Title\ntext\n")
@@ -53,18 +53,18 @@ def test_sync_life_cycle(spark, tree, tmp_path):
     first = run(spark, tree, store)
     assert (first.files_seen, first.files_indexed, first.chunks_written) == (3, 3, 4)
     assert live(store, "file_path", "symbol", "chunk_type") == [
-        ("docs/guide.rst", "Guide", "doc"), ("docs/guide.rst", "More", "doc"),
+        ("manual/intro.rst", "Depth", "doc"), ("manual/intro.rst", "Intro", "doc"),
         ("pkg/__init__.py", "boot", "code"), ("readme.md", "Title", "doc"),
     ]
-    row = store.read("ns").where("symbol = 'More'").first()
-    assert (row["heading_path"], row["level"], row["language"], len(row["embedding"])) == ("Guide > More", 2, None, 8)
+    row = store.read("ns").where("symbol = 'Depth'").first()
+    assert (row["heading_path"], row["level"], row["language"], len(row["embedding"])) == ("Intro > Depth", 2, None, 8)
 
     again = run(spark, tree, store)
     assert (again.files_indexed, again.files_skipped_unchanged, again.chunks_written) == (0, 3, 0)
     assert len(store.commits()) == 1
 
     (tree / "readme.md").write_text("# Title\nnew text\n# Second\n")
-    (tree / "docs" / "guide.rst").unlink()
+    (tree / "manual" / "intro.rst").unlink()
     (tree / "new.txt").write_text("plain")
     commit_all(tree)
     (tree / "untracked.md").write_text("# later\n")
@@ -86,12 +86,12 @@ def test_sync_life_cycle(spark, tree, tmp_path):
 
 def test_deletion_only_and_subtree(spark, tree, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
-    part = ingest(spark, "ns", str(tree / "docs"), store, repo_root=str(tree), settings=SETTINGS)
+    part = ingest(spark, "ns", str(tree / "manual"), store, repo_root=str(tree), settings=SETTINGS)
     assert (part.files_seen, part.files_indexed) == (1, 1)
-    assert {f for (f,) in live(store, "file_path")} == {"docs/guide.rst"}
-    (tree / "docs" / "guide.rst").unlink()
+    assert {f for (f,) in live(store, "file_path")} == {"manual/intro.rst"}
+    (tree / "manual" / "intro.rst").unlink()
     commit_all(tree)
-    gone = ingest(spark, "ns", str(tree / "docs"), store, repo_root=str(tree), settings=SETTINGS)
+    gone = ingest(spark, "ns", str(tree / "manual"), store, repo_root=str(tree), settings=SETTINGS, allow_empty=True)
     assert (gone.files_seen, gone.files_deleted, gone.chunks_written) == (0, 1, 0)
     assert live(store, "file_path") == [] and store.file_shas("ns").count() == 0
     whole = run(spark, tree, store)
@@ -105,7 +105,7 @@ def test_links_resolve_and_stay_inside(spark, tree, tmp_path):
     (tree / "link.md").symlink_to(outside)
     (tree / "same.md").symlink_to(tree / "readme.md")
     files = source_files.relative_files(spark, str(tree), str(tree), (".md",))
-    assert sorted(r["path"] for r in files.collect()) == ["docs/skip.md", "readme.md"]
+    assert sorted(r["path"] for r in files.collect()) == ["manual/old.md", "readme.md"]
 
 
 def test_smoke_file_touches_nothing_else(spark, tree, tmp_path):
