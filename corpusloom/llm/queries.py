@@ -38,7 +38,7 @@ def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_rules(_table(spark, sf_dir, "documents"))
+    return repetition_rules(_table(spark, sf_dir, "documents")).drop("n_covered_words", "longest_repeat")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
