@@ -4,9 +4,10 @@ Documents with equal shingle sets are one node from the start. Nodes that share
 candidate pair is compared signature batch by signature batch and dropped as soon as the posterior chance
 that it reaches the threshold falls below ``MISS``; what is left is confirmed on the full sets.
 
-A component needs only some of its links, so pairs are looked at in three steps, each on what the
-steps before have not yet joined: every node with the first node of the band group it shares most bands
-with; every node with its most similar candidate; then all candidates that are left.
+A component needs only some of its links, so pairs are looked at in two steps. First every node meets the
+first node of the band group it shares most bands with. What that leaves in different components is
+then compared inside the band groups, where a link that is found joins two components at once, so that
+a task reports fewer links than it has members, however alike they all are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from corpusloom.llm.words import _multipliers, hash_spans, hash_windows, mix, wo
 SHINGLE_WORDS = 4
 PERCENT = 80
 #: Bands of rows: a pair at the threshold shares none with a chance of 3 in a million.
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 4
 BATCH = 32
 #: A pair is dropped when it reaches the threshold with a lower chance than this, given its matches so far.
 MISS = 1e-6
@@ -156,24 +157,33 @@ def _by_posterior(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_signature", "b_signature").mapInArrow(scan, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough. Sets are made anew, of the texts concerned only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the texts concerned, made anew."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "doc_id", "text"):
             sets = [s.tobytes() for s in shingle_sets(block.data, block.offsets)]
             yield pa.RecordBatch.from_arrays([block.ids, pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, "node long, shingles binary")
+    rows = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return rows.select("doc_id", "text").mapInArrow(scan, "node long, shingles binary").filter(F.length("shingles") > 0)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough."""
+    sets = _shingles_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [
+                _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
+                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles"))
@@ -214,20 +224,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes are not yet in one component."""
-    lifted = labels.select(F.col("node").alias("a"), F.col("component").alias("a_component"))
-    other = labels.select(F.col("node").alias("b"), F.col("component").alias("b_component"))
-    joined = pairs.join(lifted, "a", "left").join(other, "b", "left")
-    return joined.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).drop("a_component", "b_component")
+_TILE = ["key", "low", "high"]
 
 
-def _left_over(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
-    """Candidates (a, b, matches) in different components that survive the comparison of their signatures.
+def _open_members(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
+    """(key, low, high, part, node, component): members of band groups that have a candidate in another component
+    left after the comparison of their signatures.
 
-    Only band groups that hold two components or more are opened. A large group is dealt into tiles, each
-    the meeting of two parts of it; pairs are compared inside a tile and only survivors leave it. A pair
-    that shares several bands is reported in the first.
+    Only groups that hold two components or more are opened. A large one is dealt into tiles, each the
+    meeting of two parts of it; pairs are formed inside a tile and never leave it.
     """
     placed = bands.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (
@@ -241,59 +246,98 @@ def _left_over(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tile: int)
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component")
-        .join(nodes.select("node", "n", "signature"), "node")
-        .select("key", "low", "high", "part", "node", "component", "n", "signature")
+        .join(nodes, "node")
+        .select(*_TILE, "part", "node", "component", "n", "signature")
     )
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            if held and any(held[0].column(i)[0] != batch.column(i)[0] for i in range(3)):
-                yield from _tiles(pa.Table.from_batches(held))
+        for rows in _whole_tiles(batches):
+            members = Members(rows, _signatures(rows.column(7).chunk(0)), rows.column(6).to_numpy())
+            wanted = np.zeros(len(rows), bool)
+            for i, j, _ in members.candidates():
+                wanted[i] = True
+                wanted[j] = True
+            yield from rows.select([*range(6)]).filter(pa.array(wanted)).to_batches()
+
+    kinds = "key long, low int, high int, part int, node long, component long"
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node").mapInArrow(scan, kinds)
+
+
+def _links_in_tiles(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components, enough of them to join all that are linked inside a tile."""
+    sets = _shingles_of(docs, members.select("node").distinct())
+    rows = members.join(sets, "node").select(*_TILE, "part", "node", "component", "shingles")
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_tiles(batches):
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column(6).to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            members = Members(rows, np.stack([signature(s) for s in sets]), sizes)
+            links = []
+            for i, j, matches in members.candidates():
+                for k in j[np.argsort(-matches, kind="stable")].tolist():
+                    if members.component[i] != members.component[k] and _alike(sets[i], sets[k], percent):
+                        members.join(i, k)
+                        links.append(sorted((int(members.node[i]), int(members.node[k]))))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node").mapInArrow(scan, "a long, b long")
+
+
+def _whole_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one tile after the other, of batches that are sorted by tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        bounds = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[0].column(i)[0] != batch.column(i)[0] for i in range(3)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for start, end in zip(bounds[:-1], bounds[1:]):
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            if len(cuts):
-                yield from _tiles(pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))]))
-                held = [batch.slice(int(cuts[-1]))]
-            else:
-                held.append(batch)
-        if held:
-            yield from _tiles(pa.Table.from_batches(held))
-
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return dealt.mapInArrow(scan, "a long, b long, matches long")
-
-
-def _tiles(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Compare the members of each tile of a table of whole tiles, in order."""
-    rows = rows.combine_chunks()
-    key, low, high, part, node, component, n = (rows.column(i).to_numpy() for i in range(7))
-    signatures = _signatures(rows.column(7).chunk(0) if rows.column(7).num_chunks else rows.column(7))
-    keys = band_keys(signatures).view(np.int64)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]])
-    bounds = np.flatnonzero(new)
-    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        for i in range(start, end - 1):
-            j = np.arange(i + 1, end)
-            fits = (component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))
-            if low[start] != high[start]:
-                fits &= part[j] != part[i]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Members:
+    """The members of one tile, and the candidate pairs among them."""
+
+    def __init__(self, rows: pa.Table, signatures: np.ndarray, sizes: np.ndarray):
+        key, low, high, part, node, component = (rows.column(i).to_numpy() for i in range(6))
+        self.key, self.across = key[0], low[0] != high[0]
+        self.part, self.node, self.component = part, node, component.copy()
+        self.signatures, self.sizes = signatures, sizes
+        self.keys = band_keys(signatures).view(np.int64)
+
+    def join(self, i: int, j: int) -> None:
+        self.component[self.component == self.component[j]] = self.component[i]
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(i, all j behind i, matches) in other components whose signatures survive. A pair that shares several
+        bands is looked at in the group of the first."""
+        for i in range(len(self.node) - 1):
+            j = np.arange(i + 1, len(self.node))
+            small, large = np.minimum(self.sizes[j], self.sizes[i]), np.maximum(self.sizes[j], self.sizes[i])
+            fits = (self.component[j] != self.component[i]) & (100 * small >= PERCENT * large)
+            if self.across:
+                fits &= self.part[j] != self.part[i]
             j = j[fits]
             if not len(j):
                 continue
-            live, matches = posterior_keeps(np.broadcast_to(signatures[i], (len(j), _HASHES)), signatures[j])
-            if not len(live):
+            shared = self.keys[j] == self.keys[i]
+            j = j[self.keys[i][shared.argmax(axis=1)] == self.key]
+            if not len(j):
                 continue
-            first = keys[i][(keys[j[live]] == keys[i]).argmax(axis=1)]
-            live = live[first == key[start]]
+            live, matches = posterior_keeps(np.broadcast_to(self.signatures[i], (len(j), _HASHES)), self.signatures[j])
             if len(live):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(node[i], node[j[live]])), pa.array(np.maximum(node[i], node[j[live]])), pa.array(matches[live])],
-                    names=["a", "b", "matches"],
-                )
+                yield i, j[live], matches[live]
 
 
 def near_duplicates(
@@ -338,16 +382,10 @@ def near_duplicates(
     )
     labels = components(_confirmed(_by_posterior(nearest, nodes).checkpoint(), docs, percent))
 
-    left = _left_over(bands.select("key", "node"), nodes, labels, tile).checkpoint()
-    either = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "matches"))
-    best = either.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = best.distinct().checkpoint()
-    more = _confirmed(tried, docs, percent)
+    members = _open_members(bands.select("key", "node"), nodes, labels, tile).checkpoint()
+    more = _links_in_tiles(members, docs, percent)
     old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = components(old.unionAll(more))
-    rest = _apart(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels).checkpoint()
-    last = _confirmed(rest, docs, percent)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(last))
 
     named = groups.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     found = rows.join(named, ["set_a", "set_b"], "left")
