@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,32 +28,66 @@ class EvalReport:
     skipped: int = 0
     aggregate: dict[str, float] = field(default_factory=dict)
     error: str | None = None
+    reasons: dict[str, str] = field(default_factory=dict)
 
     def passes(self, min_recall: float | None) -> bool:
-        """The gate looks at recall@10 of what was evaluated; skipped items never fail it."""
-        if min_recall is None or self.evaluated == 0:
+        """The gate looks at recall@10 of what was evaluated. Items skipped by their own failure do not fail it,
+        unless nothing else is left."""
+        if min_recall is None:
             return True
+        if self.evaluated == 0:
+            return not self.reasons and self.error is None
         return self.aggregate["recall_at_10"] >= min_recall
 
 
+def _search_apart(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> tuple[list[DataFrame], dict[str, str]]:
+    """Persisted hits of the queries that can be answered, and why others cannot.
+
+    All are tried as one job; where that fails, each half by itself, down to single queries.
+    """
+    found: list[DataFrame] = []
+    reasons: dict[str, str] = {}
+
+    def attempt(ids: list) -> None:
+        try:
+            hits = search(queries.where(F.col("query_id").isin(ids))).persist()
+            hits.count()
+            found.append(hits)
+        except Exception as problem:
+            if len(ids) == 1:
+                reasons[str(ids[0])] = str(problem)
+            else:
+                attempt(ids[: len(ids) // 2])
+                attempt(ids[len(ids) // 2 :])
+
+    wanted = [row[0] for row in queries.select("query_id").distinct().orderBy("query_id").collect()]
+    attempt(wanted)
+    return found, reasons
+
+
 def evaluate(
     search: Callable[[DataFrame], DataFrame], items: DataFrame
 ) -> tuple[EvalReport, DataFrame | None]:
     """(report, per-query rows). ``search`` maps queries to hydrated chunks.
 
-    Retrieval runs as one job, so a failure skips all items and is reported as the reason.
+    Retrieval runs as one job. If that fails, the items that cause it are found and skipped, each with its reason.
     """
     total = items.count()
     if total == 0:
         return EvalReport(0, error="dataset empty or not found"), None
     queries = golden_queries(items)
-    try:
-        per_query = query_metrics(queries, search(queries), golden_relevant(items)).persist()
-        row = aggregate_metrics(per_query).first().asDict()
-    except Exception as problem:
-        return EvalReport(total, skipped=total, error=str(problem)), None
+    found, reasons = _search_apart(search, queries)
+    if not found:
+        return EvalReport(total, skipped=total, error=next(iter(reasons.values())), reasons=reasons), None
+    answered = queries.where(~F.col("query_id").cast("string").isin(*reasons)) if reasons else queries
+    hits = reduce(DataFrame.unionByName, found)
+    per_query = query_metrics(answered, hits, golden_relevant(items)).persist()
+    row = aggregate_metrics(per_query).first().asDict()
+    for part in found:
+        part.unpersist()
     means = {name: value for name, value in row.items() if "_at_" in name}
-    return EvalReport(row["items"], row["evaluated"], row["skipped"], means), per_query
+    report = EvalReport(total, row["evaluated"], row["skipped"] + len(reasons), means, reasons=reasons)
+    return report, per_query
 
 
 def hybrid_searcher(
@@ -99,8 +134,9 @@ def compare_models(
     items: DataFrame,
     models: Mapping[str, Callable[[Column], Column] | None],
     top_k: int = 10,
+    errors: dict[str, str] | None = None,
 ) -> dict[str, float | None]:
-    """Mean dense recall@k per model. A missing model is None; so is one that cannot be loaded."""
+    """Mean dense recall@k per model. A missing model is None; so is one that fails, with the reason in ``errors``."""
     queries, relevant = golden_queries(items), golden_relevant(items)
     results: dict[str, float | None] = {}
     for label, embed in models.items():
@@ -110,6 +146,8 @@ def compare_models(
         try:
             ranking = dense_ranking(chunks, queries, embed, top_k)
             results[label] = mean_recall(queries, ranking, relevant, top_k).first()["recall"]
-        except Exception:
+        except Exception as problem:
             results[label] = None
+            if errors is not None:
+                errors[label] = str(problem)
     return results

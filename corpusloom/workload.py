@@ -100,10 +100,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the vector of their number; one without is still answered by its words."""
     found = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
     )
-    return requests(spark, sf_dir).join(found, "query_id")
+    return requests(spark, sf_dir).join(found, "query_id", "left")
 
 
 def _int(name: str):

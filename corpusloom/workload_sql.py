@@ -388,7 +388,7 @@ SQL = {
     "namespace_summary": _with(*SEARCH, ANSWERS) + "SELECT * FROM answers",
     "mock_token_stream": f"SELECT conv_id, turn, {FRAGMENTS.format('text')} AS fragments FROM conversations",
     "answer_events": _with(*SEARCH, ANSWERS)
-    + f""", asked AS (SELECT q.* FROM requests q JOIN embeddings e ON e.vec_id = q.query_id),
+    + f""", asked AS (SELECT q.* FROM requests q),
       tokens AS (
         SELECT query_id, unnest(parts) AS data, generate_subscripts(parts, 1) AS seq
         FROM (SELECT a.query_id, {FRAGMENTS.format("a.answer")} AS parts

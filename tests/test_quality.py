@@ -149,10 +149,25 @@ def test_evaluate(spark, golden, chunks):
         raise RuntimeError("no store")
 
     report, _ = evaluate(failing, golden)
-    assert (report.evaluated, report.skipped, report.error) == (0, 2, "no store") and report.passes(0.9)
+    assert (report.evaluated, report.skipped, report.error) == (0, 2, "no store") and not report.passes(0.9)
+    assert report.reasons == {"g1": "no store", "g2": "no store"}
     assert evaluate(failing, golden.limit(0))[0].error == "dataset empty or not found"
 
 
+def test_one_poisoned_question_is_skipped_alone(spark, golden, chunks):
+    real = searcher(chunks, 10)
+
+    def poisoned(queries):
+        if queries.where("query_id = 'g2'").count():
+            raise RuntimeError("cannot answer g2")
+        return real(queries)
+
+    report, rows = evaluate(poisoned, golden)
+    assert (report.items, report.evaluated, report.skipped) == (2, 1, 1)
+    assert report.reasons == {"g2": "cannot answer g2"} and [r["query_id"] for r in rows.collect()] == ["g1"]
+    assert report.passes(0.1)
+
+
 def test_compare_models(spark, golden, chunks):
     def broken(_):
         raise RuntimeError("no weights")
