@@ -14,7 +14,7 @@ from corpusloom.config import Settings
 from corpusloom.functions.globs import matches_any_glob
 from corpusloom.functions.ids import cache_key, point_id
 from corpusloom.functions.sse import stream_events
-from corpusloom.functions.text import clean_roles, tokenize
+from corpusloom.functions.text import ROLES, clean_roles, tokenize
 from corpusloom.functions.vectors import mock_embedding
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_cost, token_fragments
@@ -25,12 +25,13 @@ from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
 from corpusloom.operators.hydrate import chunk_summary, display_rows
 from corpusloom.operators.metrics import aggregate_metrics, mean_recall, query_metrics
 from corpusloom.operators.ranking import top_k
-from corpusloom.operators.requests import split_valid, with_defaults
+from corpusloom.operators.requests import answerable, split_valid, with_defaults
 from corpusloom.operators.rerank import overlap_score, rerank_by, rerank_identity
 from corpusloom.operators.sync import restrict_to, sync_counts, sync_diff
 from corpusloom.operators.training import (
     hard_negatives,
     holdout_ids,
+    holdout_split,
     positives,
     training_triples,
     with_stratum,
@@ -41,6 +42,7 @@ from corpusloom.plans.search import hybrid_search, search_debug
 from corpusloom.session import scratch_path
 from corpusloom.sources.chunk_store import ChunkStore, as_stored, first_shas
 from corpusloom.sources.embedding_cache import fill_misses
+from corpusloom.sources.golden import golden_namespaces
 
 NAMESPACES = ["de", "en", "es", "fr"]
 POOL = 50
@@ -335,6 +337,17 @@ def sync_forced(spark, sf_dir):
     return sync_diff(_current_state(spark, sf_dir), _earlier_state(spark, sf_dir), force=True)
 
 
+def sync_unreadable(spark, sf_dir):
+    """Files of one source cannot be read now; indexed ones of another have no key."""
+    now = chunks(spark, sf_dir).select(
+        "file_path", F.when(F.col("heading_path") != "src1", F.col("commit_sha")).alias("commit_sha")
+    )
+    before = _earlier_state(spark, sf_dir).select(
+        "file_path", F.when(~F.startswith("file_path", F.lit("src2/")), F.col("commit_sha")).alias("commit_sha")
+    )
+    return sync_diff(now, before)
+
+
 def sync_restricted(spark, sf_dir):
     """The diff limited to a given set of files: those labelled toxic."""
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string"))
@@ -407,6 +420,19 @@ def clean_role_markup(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", clean_roles(marked).alias("text"))
 
 
+def clean_all_roles(spark, sf_dir):
+    """Every role in turn around the words of a document's first line, in three ways of writing."""
+    number = F.col("doc_id").cast("long")
+    role = F.array(*[F.lit(r) for r in ROLES])[F.pmod(number, F.lit(len(ROLES))).cast("int")]
+    prefix = F.when(number % 2 == 0, "py:").otherwise("")
+    before = F.when(number % 3 == 0, "`~").otherwise("`")
+    after = F.when(number % 3 == 1, " <some.target>`").otherwise("`")
+    word = F.concat(F.lit(":"), prefix, role, F.lit(":"), before, F.lit("$1"), after)
+    first = F.substring_index("text", "\n", 1)
+    marked = F.regexp_replace(first, F.lit(r"(?<![^ ])([\p{L}]+)(?![^ ])"), word)
+    return chunks(spark, sf_dir).select("doc_id", (F.length(marked) > F.length(first)).alias("marked"), clean_roles(marked).alias("text"))
+
+
 def _headed(spark, sf_dir, suffix: str, styles):
     """Documents whose lines open with headings: a line's first letter decides the style."""
     text = F.col("text")
@@ -523,6 +549,40 @@ def holdout(spark, sf_dir):
     return holdout_ids(with_stratum(items), QUOTAS)
 
 
+def holdout_rest(spark, sf_dir):
+    """What the hold-out leaves for training."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array("lang").alias("namespaces"))
+    train, held = holdout_split(items, QUOTAS)
+    return train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("holdout"))).select("id", "part")
+
+
+def answerable_requests(spark, sf_dir):
+    """What follows the first line of a turn, asked of a namespace for users and of none for others; blanks go."""
+    rest = F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)")
+    asked = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"),
+        rest.alias("question"),
+        F.when(F.col("role") == "system", F.array().cast("array<string>")).otherwise(F.array(F.lit("en"))).alias("namespaces"),
+    )
+    return answerable(asked).select("query_id", "question")
+
+
+def cross_namespace_same_ids(spark, sf_dir):
+    """The same ids in two namespaces: both ranks count, and the namespace asked first has the id."""
+    hits = bm.bm25_search(bm.Bm25Index.build(chunks(spark, sf_dir)), requests(spark, sf_dir), 5)
+    twice = hits.unionByName(hits.withColumn("namespace", F.concat("namespace", F.lit("-copy"))))
+    asked = requests(spark, sf_dir).withColumn(
+        "namespaces", F.flatten(F.transform("namespaces", lambda n: F.array(n, F.concat(n, F.lit("-copy")))))
+    )
+    fused = cross_namespace_fuse(twice, asked, 8)
+    return fused.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
+
+
+def golden_namespace_list(spark, sf_dir):
+    items = requests(spark, sf_dir).select("namespaces")
+    return golden_namespaces(items)
+
+
 def _negatives(spark, sf_dir, relevant):
     return hard_negatives(_search(spark, sf_dir, 20).hydrated, relevant, 3)
 
@@ -567,6 +627,12 @@ QUERIES = {
         sync_plain,
         sync_forced,
         sync_restricted,
+        sync_unreadable,
+        clean_all_roles,
+        holdout_rest,
+        answerable_requests,
+        cross_namespace_same_ids,
+        golden_namespace_list,
         ingest_counts,
         store_sync,
         state_scroll,

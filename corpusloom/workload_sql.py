@@ -413,6 +413,35 @@ SQL = {
                 FROM (VALUES {", ".join(f"('{s}', {q})" for s, q in QUOTAS.items())}) q(stratum, quota))
       SELECT n.id, n.stratum FROM numbered n JOIN picks p USING (stratum)
       WHERE n.position = floor(p.i * (n.n / p.quota) + n.n / p.quota / 2)""",
+    "holdout_rest": f"""WITH numbered AS (
+        SELECT doc_id::VARCHAR AS id, lang AS stratum, count(*) OVER (PARTITION BY lang) AS n,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id::VARCHAR) - 1 AS position
+        FROM documents),
+      picks AS (SELECT q.stratum, q.quota, unnest(range(q.quota)) AS i
+                FROM (VALUES {", ".join(f"('{s}', {q})" for s, q in QUOTAS.items())}) q(stratum, quota)),
+      held AS (SELECT n.id FROM numbered n JOIN picks p USING (stratum)
+               WHERE n.position = floor(p.i * (n.n / p.quota) + n.n / p.quota / 2))
+      SELECT id, CASE WHEN id IN (SELECT id FROM held) THEN 'holdout' ELSE 'train' END AS part FROM numbered""",
+    "answerable_requests": """SELECT conv_id || '-' || turn AS query_id, substr(text, length(split_part(text, chr(10), 1)) + 2) AS question
+      FROM conversations
+      WHERE role <> 'system' AND regexp_matches(substr(text, length(split_part(text, chr(10), 1)) + 2), '\\S')""",
+    "cross_namespace_same_ids": _with(*LEXICAL)
+    + """SELECT query_id, namespace, doc_id, round(score, 6) AS score, place::INT AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, doc_id) - 1 AS place
+        FROM (SELECT query_id, namespace, doc_id, rank, 1::DOUBLE / (61 + rank) + 1::DOUBLE / (61 + rank) AS score
+              FROM bm25_hits WHERE rank < 5))
+      WHERE place < 8""",
+    "golden_namespace_list": _with(REQUESTS) + "SELECT DISTINCT unnest(namespaces) AS namespace FROM requests",
+    "sync_unreadable": _with(CHUNKS, EARLIER)
+    + """SELECT coalesce(c.file_path, e.file_path) AS file_path, coalesce(c.commit_sha, e.commit_sha) AS commit_sha,
+             CASE WHEN c.file_path IS NULL THEN 'delete' WHEN c.commit_sha IS NULL THEN 'error'
+                  WHEN e.file_path IS NULL THEN 'add'
+                  WHEN e.commit_sha IS NULL OR c.commit_sha <> e.commit_sha THEN 'update' ELSE 'skip' END AS action
+      FROM (SELECT file_path, CASE WHEN heading_path <> 'src1' THEN commit_sha END AS commit_sha FROM chunks) c
+      FULL JOIN (SELECT file_path, CASE WHEN file_path NOT LIKE 'src2/%' THEN commit_sha END AS commit_sha FROM earlier) e
+        ON c.file_path = e.file_path""",
+    "clean_all_roles": """SELECT doc_id::VARCHAR AS doc_id, regexp_matches(split_part(text, chr(10), 1), '(^| )\\p{L}+( |$)') AS marked,
+             split_part(text, chr(10), 1) AS text FROM documents""",
     "hard_negative_chunks": _with(*SEARCH, RELEVANT, NEGATIVES) + "SELECT * FROM negatives",
     "contrastive_triples": _with(*SEARCH, RELEVANT, NEGATIVES)
     + """SELECT q.query_id, q.question AS query, trim(c.text, ' ' || chr(9) || chr(10) || chr(13)) AS positive, n.text AS hard_negative
