@@ -16,7 +16,7 @@ from corpusloom.llm.suffix import suffix_array
 
 WINDOW_WORDS = 10
 #: Texts of one index, and benchmark text sent to every task at a time.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 PHRASE_BYTES = 16 << 20
 _SAMPLE = 8
 

@@ -22,6 +22,8 @@ SAMPLE_PER_LANGUAGE = 3000
 STEPS = 400
 BATCH = 128
 UNKNOWN = "und"
+#: Texts whose windows are cut at a time.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass
@@ -178,7 +180,7 @@ def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "te
         for batch in batches:
             has_letters = np.asarray(batch.column(kept + 1).to_pylist(), bool)
             at = 0
-            for block in text_blocks([batch], "_text", "_text"):
+            for block in text_blocks([batch], "_text", "_text", BLOCK_BYTES):
                 own = has_letters[at : at + len(block)]
                 names, score = np.full(len(block), UNKNOWN, object), np.zeros(len(block))
                 if net and own.any():

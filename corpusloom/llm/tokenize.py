@@ -13,7 +13,7 @@ import numpy as np
 from corpusloom.llm.batches import one_thread
 
 #: Bounds the memory of a worker: beyond it the word table starts anew.
-MAX_WORDS = 700_000
+MAX_WORDS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 

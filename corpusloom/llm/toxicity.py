@@ -93,6 +93,19 @@ def subword_bags(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW_WOR
     return Bags(grams, np.searchsorted(at[order], window_at), owner[opening])
 
 
+def _bags_in_parts(data: np.ndarray, offsets: np.ndarray, texts: int = 250) -> Bags:
+    """The same for a whole sample, a few texts at a time: the steps in between take many times the memory of the result."""
+    grams, starts, owners, size = [], [], [], 0
+    for first in range(0, len(offsets) - 1, texts):
+        cut = offsets[first : first + texts + 1]
+        part = subword_bags(data[cut[0] : cut[-1]], cut - cut[0])
+        grams.append(part.grams)
+        starts.append(part.starts + size)
+        owners.append(part.texts + first)
+        size += len(part.grams)
+    return Bags(*(np.concatenate(x) for x in (grams, starts, owners)))
+
+
 @dataclass
 class SubwordSoftmax:
     embedding: np.ndarray  # bucket, dimension
@@ -122,7 +135,7 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int
     the evidence is found at all.
     """
     rng = np.random.default_rng(seed)
-    bags = subword_bags(data, offsets)
+    bags = _bags_in_parts(data, offsets)
     net = SubwordSoftmax(
         rng.normal(0, 0.1, (1 << BUCKET_BITS, EMBEDDING)).astype(np.float32), rng.normal(0, 0.3, (EMBEDDING, 2)), np.zeros(2)
     )
