@@ -150,6 +150,14 @@ def bm25_topk(spark, sf_dir):
     return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
 
 
+def bm25_topk_postings(spark, sf_dir):
+    """The same over a written index, pruned to the buckets of the questions' words."""
+    path = scratch_path(spark, "postings")
+    bm.Bm25Index.build(chunks(spark, sf_dir)).write(path)
+    hits = bm.bm25_search(bm.Bm25Index.read(spark, path), requests(spark, sf_dir), POOL)
+    return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
+
+
 def bm25_topk_by_source(spark, sf_dir):
     """Every passage against every source as a namespace of its own."""
     names = table(spark, sf_dir, "documents").select("source").distinct()
@@ -608,6 +616,7 @@ QUERIES = {
         bm25_idf,
         bm25_topk,
         bm25_topk_by_source,
+        bm25_topk_postings,
         dense_topk,
         hybrid_fusion,
         cross_namespace_fusion,

@@ -49,6 +49,11 @@ def test_ingest_search_evaluate(spark, tmp_path, capsys, monkeypatch):
     lines = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
     assert len(lines) == 2 and lines[0]["namespace"] == "docs" and isinstance(lines[0]["start_line"], int)
 
+    index = str(tmp_path / "index")
+    assert main(["index", "--store", store, "--index", index]) == 0
+    assert main(["search", "hooks registered", "--namespaces", "docs", "--store", store, "--top-k", "2", "--index", index]) == 0
+    assert [json.loads(line) for line in capsys.readouterr().out.splitlines()] == lines
+
     golden = tmp_path / "golden.jsonl"
     golden.write_text(json.dumps({
         "id": "q", "query": "hooks registered", "namespaces": ["docs"],
@@ -60,6 +65,12 @@ def test_ingest_search_evaluate(spark, tmp_path, capsys, monkeypatch):
     told = json.loads(capsys.readouterr().out)
     assert told["metrics"]["recall_at_10"] == 1.0 and told["passed"]
     assert main([*evaluate, "--min-recall", "1.1"]) == 1
+    capsys.readouterr()
+    mined, train, held = (str(tmp_path / name) for name in ("mined", "train", "held"))
+    assert main(["mine", "--dataset", str(golden), "--store", store, "--output", mined]) == 0
+    assert {r["query"] for r in spark.read.json(mined).collect()} == {"hooks registered"}
+    assert main(["holdout", "--dataset", str(golden), "--quota", "docs=1", "--train", train, "--holdout", held]) == 0
+    assert spark.read.schema("id string").json(held).count() == 1 and spark.read.schema("id string").json(train).count() == 0
     assert [r[0] for r in golden_namespaces(load_golden(spark, str(golden))).collect()] == ["docs"]
 
 
