@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -80,6 +81,13 @@ def use_shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Give back the disk of steps whose tables are checkpointed by now. Spark deletes their shuffle files once the
+    driver's garbage is collected, which a driver with little to do may put off for the whole run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def one_thread() -> None:
     """Native libraries of a Python worker keep to the core of their task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

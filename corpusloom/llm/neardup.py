@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import text_blocks, two_columns, use_shared_folder
+from corpusloom.llm.batches import release, text_blocks, two_columns, use_shared_folder
 from corpusloom.llm.words import _multipliers, hash_spans, hash_windows, mix, word_spans
 
 SHINGLE_WORDS = 4
@@ -357,7 +357,8 @@ def near_duplicates(
     """
     if percent < PERCENT:
         raise ValueError(f"the bands are laid out for {PERCENT} percent or more")
-    use_shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
+    use_shared_folder(spark)
     docs = two_columns(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     sketched = sketches(docs).checkpoint()
     rows = sketched.select("doc_id", "n", "set_a", "set_b")
@@ -371,6 +372,7 @@ def near_duplicates(
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
     bands = bands.join(shared, "key").select("key", "node", "first").checkpoint()
+    release(spark)
 
     nearest = (
         bands.filter("first != node")
@@ -382,10 +384,13 @@ def near_duplicates(
     )
     labels = components(_confirmed(_by_posterior(nearest, nodes).checkpoint(), docs, percent))
 
+    release(spark)
     members = _open_members(bands.select("key", "node"), nodes, labels, tile).checkpoint()
+    release(spark)
     more = _links_in_tiles(members, docs, percent)
     old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = components(old.unionAll(more))
+    release(spark)
 
     named = groups.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     found = rows.join(named, ["set_a", "set_b"], "left")

@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +101,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     are unique across groups, not consecutive.
     """
 
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def place(key, rows):
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], na_position="last")
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         rows["sequence_id"] = bins * groups + key[0]
