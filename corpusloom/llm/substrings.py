@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import TextBlock, byte_column, text_blocks, use_shared_folder
+from corpusloom.llm.batches import TextBlock, byte_column, release, text_blocks, use_shared_folder
 from corpusloom.llm.suffix import permuted_common_prefixes, suffix_array
 from corpusloom.llm.words import _multipliers, mix
 
@@ -27,8 +27,8 @@ ANCHOR = 32
 SHARD_BYTES = 1 << 20
 #: Texts that are hashed at a time; a longer one is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: An anchor with more different segments is dealt out window by window.
-MAX_SEGMENTS = 256
+#: An anchor with more different segments is settled by halves instead of in one shard.
+MAX_SEGMENTS = 1024
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,9 +73,10 @@ def _prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(block: TextBlock, width: int, anchor: int) -> dict[str, np.ndarray]:
-    """All segments of a block: row, anchor and segment hashes, first and last window start in the text."""
+    """All segments of a block: row, anchor and segment hashes, first and last window start in the text, and the place
+    of the anchor behind the first."""
     hashes = string_hashes(block.data, anchor)
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "anchor", "segment", "first", "last")}
+    empty = {k: np.zeros(0, np.int64) for k in ("row", "anchor", "segment", "first", "last", "place")}
     if len(block.data) < width:
         return empty
     bits = np.uint64(max(1, len(hashes).bit_length()))
@@ -101,6 +102,7 @@ def segments(block: TextBlock, width: int, anchor: int) -> dict[str, np.ndarray]
         "segment": content.view(np.int64),
         "first": first - begins,
         "last": last - begins,
+        "place": at[new] - first,
     }
 
 
@@ -115,16 +117,16 @@ def _all_segments(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                 which = pa.array(found["row"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found["anchor"]), pa.array(found["segment"]), rows.column(0).take(which), rows.column(2).take(which)]
-                    + [pa.array(found[c].astype(np.int32)) for c in ("first", "last")],
-                    names=["anchor", "segment", "doc_id", "text_key", "first", "last"],
+                    + [pa.array(found[c].astype(np.int32)) for c in ("first", "last", "place")],
+                    names=["anchor", "segment", "doc_id", "text_key", "first", "last", "place"],
                 )
 
-    return docs.mapInArrow(scan, "anchor long, segment long, doc_id long, text_key long, first int, last int")
+    return docs.mapInArrow(scan, "anchor long, segment long, doc_id long, text_key long, first int, last int, place int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The bytes of wanted segments, or of those of crowded anchors one hash for each window."""
-    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "last", "crowded")).alias("wanted"))
+    """The bytes of wanted segments."""
+    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "last", "place", "crowded")).alias("wanted"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,26 +137,21 @@ def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 text = data[offsets[row] : offsets[row + 1]]
                 for s in items:
                     part = text[s["first"] : s["last"] + width]
-                    if s["crowded"]:
-                        for k in range(s["last"] - s["first"] + 1):
-                            key = hashlib.blake2b(part[k : k + width].tobytes(), digest_size=16).digest()
-                            out.append((s["anchor"], s["segment"], s["copies"], k, key, True))
-                    else:
-                        out.append((s["anchor"], s["segment"], s["copies"], s["last"] - s["first"], part.tobytes(), False))
+                    out.append((s["anchor"], s["segment"], s["copies"], s["last"] - s["first"], s["place"], part.tobytes(), s["crowded"]))
                     size += len(part)
-                if size > 4 << 20:
-                    yield _content_batch(out)
-                    out, size = [], 0
+                    if size > SHARD_BYTES:
+                        yield _content_batch(out)
+                        out, size = [], 0
             if out:
                 yield _content_batch(out)
 
     joined = docs.join(lists, ["doc_id", "text_key"]).select("text", "wanted")
-    return joined.mapInArrow(scan, "anchor long, segment long, copies long, windows int, content binary, crowded boolean")
+    return joined.mapInArrow(scan, "anchor long, segment long, copies long, windows int, place int, content binary, crowded boolean")
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-    names = ["anchor", "segment", "copies", "windows", "content", "crowded"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+    names = ["anchor", "segment", "copies", "windows", "place", "content", "crowded"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
@@ -213,11 +210,42 @@ def _by_suffix_arrays(contents: DataFrame, width: int) -> DataFrame:
     return plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(scan, _FOUND)
 
 
-def _window_by_window(contents: DataFrame) -> DataFrame:
-    """The same for crowded anchors: equal windows are counted, however many segments hold them."""
-    single = contents.filter("crowded").select("anchor", "segment", "copies", F.col("windows").alias("low"), "content")
-    often = single.groupBy("content").agg(F.sum("copies").alias("times")).filter("times > 1")
-    return single.filter("copies = 1").join(often, "content", "left_semi").select("anchor", "segment", "low", F.col("low").alias("high"))
+def _by_halves(contents: DataFrame, width: int, anchor: int) -> DataFrame:
+    """The same for crowded anchors, however many segments one has.
+
+    Windows are told by their distance from the anchor. Those of a range of distances share a core, the bytes that all
+    of them have; equal windows have equal cores. Segments are grouped by core: alone, a segment's windows in the
+    range occur nowhere else; where all members are equal and there are two, they all occur elsewhere; what is
+    mixed goes on with the halves of the range, in the end with single windows, which are their own core.
+    """
+    first, last = F.col("place") - F.col("windows"), F.col("place")  # nearest and farthest distance
+    rows = contents.filter("crowded").select(
+        "anchor", "segment", "copies", "place", "content", first.alias("near"), last.alias("far"), F.lit(0).alias("range")
+    )
+    size = 1
+    while 2 * size <= width - anchor:
+        size *= 2
+    found = None
+    while size and not rows.isEmpty():
+        halves = rows.withColumn("range", F.explode(F.array(2 * F.col("range"), 2 * F.col("range") + 1)))
+        low, high = size * F.col("range"), size * F.col("range") + size - 1
+        cut = halves.withColumn("near", F.greatest("near", low)).withColumn("far", F.least("far", high)).filter("near <= far")
+        core = F.substring("content", F.col("place") - low + 1, F.lit(width - size + 1))
+        own = F.substring("content", F.col("place") - F.col("far") + 1, F.col("far") - F.col("near") + width)
+        cut = cut.withColumn("core", F.md5(F.concat(F.encode(F.concat_ws(":", "anchor", "range"), "utf-8"), core)))
+        cut = cut.withColumn("own", F.concat_ws(":", F.md5(own), "near", "far")).checkpoint()
+        groups = cut.groupBy("core").agg(F.sum("copies").alias("times"), F.min("own").alias("least"), F.max("own").alias("most"))
+        groups = groups.filter("times > 1").select("core", (F.col("least") != F.col("most")).alias("mixed"))
+        met = cut.join(groups, "core").checkpoint()
+        settled = met.filter("NOT mixed AND copies = 1").select(
+            "anchor", "segment", (F.col("place") - F.col("far")).alias("low"), (F.col("place") - F.col("near")).alias("high")
+        )
+        found = settled if found is None else found.unionByName(settled)
+        rows = met.filter("mixed").select("anchor", "segment", "copies", "place", "content", "near", "far", "range")
+        size //= 2
+    if found is None:
+        return contents.sparkSession.createDataFrame([], _FOUND)
+    return found
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, max_segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -225,18 +253,22 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ma
 
     Spans are (start, end) in bytes and may overlap.
     """
+    spark = docs.sparkSession
     rows = _all_segments(docs, width, anchor).checkpoint()
     often = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
     rows = rows.join(often, "anchor", "left_semi").checkpoint()
     different = (
         rows.groupBy("anchor", "segment")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "last")).alias("at"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "last", "place")).alias("at"))
         .checkpoint()
     )
+    release(spark)
     kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     wanted = different.join(kinds, "anchor").select("anchor", "segment", "copies", "at.*", (F.col("kinds") > max_segments).alias("crowded"))
     contents = _contents(docs, wanted, width).checkpoint()
-    partly = _by_suffix_arrays(contents, width).unionByName(_window_by_window(contents))
+    release(spark)
+    partly = _by_suffix_arrays(contents, width).unionByName(_by_halves(contents, width, anchor)).checkpoint()
+    release(spark)
     wholly = different.filter("copies > 1").select(
         "anchor", "segment", F.lit(0).alias("low"), (F.col("at.last") - F.col("at.first")).alias("high")
     )
@@ -274,8 +306,8 @@ def remove_repeats(
     two equal rows is the other's repeat; an empty table gives no rows; further columns are not read.
 
     What moves: 40 bytes for every 185 bytes of text or so, the different segments of repeated anchors, and
-    each text twice, to meet its segments and its spans. Nothing is gathered for an anchor with over
-    ``max_segments`` different segments but counts of its windows.
+    each text twice, to meet its segments and its spans. For an anchor with over ``max_segments`` different
+    segments nothing is gathered but counts.
     """
     use_shared_folder(docs.sparkSession)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
