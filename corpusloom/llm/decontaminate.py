@@ -195,6 +195,7 @@ def benchmark_hits(
     item_text_column: str = "text",
     window: int = WINDOW_WORDS,
     phrase_bytes: int = PHRASE_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` with all its columns, and _n_words, _spans (word positions, end exclusive, merged), _items (ids as text).
 
@@ -202,7 +203,8 @@ def benchmark_hits(
     windows of ``window`` words, or all its words as one if it has fewer. The benchmark is read in
     blocks of about ``phrase_bytes`` of text (one item at least), each sent to the tasks for a further
     pass over the same rows; no row is shuffled. Nulls and texts without words have no hits, items without
-    words no windows; repeated rows are each reported; empty tables give no rows or no hits.
+    words no windows; repeated rows are each reported; empty tables give no rows or no hits. With ``cut`` the
+    last pass takes the spans out of the text.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text"))
@@ -210,7 +212,7 @@ def benchmark_hits(
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     blocks = max(1, -(-total // phrase_bytes))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    kept = len(docs.columns)
+    kept, where = len(docs.columns), docs.columns.index(text_column)
     schema = T.StructType([*docs.schema.fields, *_ADDED.fields])
     found = docs.select(
         "*",
@@ -222,7 +224,7 @@ def benchmark_hits(
         rows = dealt.filter(F.col("block") == block).select("item", "text").collect()
         sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
 
-        def scan(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterable[pa.RecordBatch], sent=sent, cut=cut and block == blocks - 1) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value, window)
             for batch in batches:
                 at = 0
@@ -231,11 +233,16 @@ def benchmark_hits(
                     at += len(shard)
                     counts, spans, items = _hits(shard, phrases)
                     earlier = list(zip(rows.column(kept + 1).to_pylist(), rows.column(kept + 2).to_pylist()))
+                    merged = [_merged(s, e) for s, (e, _) in zip(spans, earlier)]
+                    columns = rows.columns[:kept]
+                    if cut and any(merged):
+                        texts = zip(columns[where].to_pylist(), merged)
+                        columns[where] = pa.array([cut_words(t, s) if s else t for t, s in texts], pa.string())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *rows.columns[:kept],
+                            *columns,
                             pa.array(counts, pa.int64()),
-                            pa.array([_merged(s, e) for s, (e, _) in zip(spans, earlier)], _SPANS),
+                            pa.array(merged, _SPANS),
                             pa.array([sorted({*i, *e}) for i, (_, e) in zip(items, earlier)], pa.list_(pa.string())),
                         ],
                         names=batch.schema.names,
@@ -270,19 +277,9 @@ def cut_words(text: str, spans: list[dict]) -> str:
     return b"".join([*kept, body[at:]]).decode()
 
 
-def remove_hits(found: DataFrame, *, text_column: str = "text") -> DataFrame:
-    """The documents of ``benchmark_hits`` without the spans that are hit; its three columns go again."""
-    kept = len(found.columns) - len(_ADDED)
-    where = found.columns.index(text_column)
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(where).to_pylist(), batch.column(kept + 1).to_pylist())
-            columns = batch.columns[:kept]
-            columns[where] = pa.array([cut_words(t, s) if s else t for t, s in pairs], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:kept])
-
-    return found.mapInArrow(scan, T.StructType(found.schema.fields[:kept]))
+def remove_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the spans that ``benchmark_hits`` finds; the options are its."""
+    return benchmark_hits(docs, benchmark, cut=True, **options).drop(*_ADDED.names)
 
 
 def contamination_digest(found: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
