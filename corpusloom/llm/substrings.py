@@ -110,7 +110,7 @@ def _all_segments(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for block in text_blocks([batch], "doc_id", "text", BLOCK_BYTES):
+            for block in text_blocks([batch], "row_key", "text", BLOCK_BYTES):
                 rows = batch.slice(at, len(block))
                 at += len(block)
                 found = segments(block, width, anchor)
@@ -118,15 +118,15 @@ def _all_segments(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found["anchor"]), pa.array(found["segment"]), rows.column(0).take(which), rows.column(2).take(which)]
                     + [pa.array(found[c].astype(np.int32)) for c in ("first", "last", "place")],
-                    names=["anchor", "segment", "doc_id", "text_key", "first", "last", "place"],
+                    names=["anchor", "segment", "row_key", "text_key", "first", "last", "place"],
                 )
 
-    return docs.mapInArrow(scan, "anchor long, segment long, doc_id long, text_key long, first int, last int, place int")
+    return docs.select("row_key", "text", "text_key").mapInArrow(scan, "anchor long, segment long, row_key long, text_key long, first int, last int, place int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The bytes of wanted segments."""
-    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "last", "place", "crowded")).alias("wanted"))
+    lists = wanted.groupBy("row_key", "text_key").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "last", "place", "crowded")).alias("wanted"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             if out:
                 yield _content_batch(out)
 
-    joined = docs.join(lists, ["doc_id", "text_key"]).select("text", "wanted")
+    joined = docs.join(lists, ["row_key", "text_key"]).select("text", "wanted")
     return joined.mapInArrow(scan, "anchor long, segment long, copies long, windows int, place int, content binary, crowded boolean")
 
 
@@ -198,6 +198,8 @@ def _by_suffix_arrays(contents: DataFrame, width: int) -> DataFrame:
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and held[-1][:2] == row[:2]:
+                    continue  # the same row again
                 if size >= SHARD_BYTES and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
@@ -207,7 +209,7 @@ def _by_suffix_arrays(contents: DataFrame, width: int) -> DataFrame:
             yield solve(held)
 
     plain = contents.filter("not crowded").select("anchor", "segment", "copies", "content")
-    return plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(scan, _FOUND)
+    return plain.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(scan, _FOUND)
 
 
 def _by_halves(contents: DataFrame, width: int, anchor: int) -> DataFrame:
@@ -249,7 +251,7 @@ def _by_halves(contents: DataFrame, width: int, anchor: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, max_segments: int = MAX_SEGMENTS) -> DataFrame:
-    """(doc_id, text_key, spans) of texts with repeats; ``docs`` has doc_id, text and text_key.
+    """(row_key, text_key, spans) of texts with repeats; ``docs`` has row_key, text and text_key, the keys never null.
 
     Spans are (start, end) in bytes and may overlap.
     """
@@ -259,7 +261,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ma
     rows = rows.join(often, "anchor", "left_semi").checkpoint()
     different = (
         rows.groupBy("anchor", "segment")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "last", "place")).alias("at"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "text_key", "first", "last", "place")).alias("at"))
         .checkpoint()
     )
     release(spark)
@@ -273,9 +275,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ma
         "anchor", "segment", F.lit(0).alias("low"), (F.col("at.last") - F.col("at.first")).alias("high")
     )
     spans = rows.join(partly.unionByName(wholly), ["anchor", "segment"]).select(
-        "doc_id", "text_key", F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + width).alias("end")).alias("span")
+        "row_key", "text_key", F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + width).alias("end")).alias("span")
     )
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("row_key", "text_key").agg(F.collect_set("span").alias("spans"))
 
 
 def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -303,7 +305,8 @@ def remove_repeats(
     A byte goes if it lies in a string of ``width`` bytes that also starts anywhere else, in the same text or
     another, overlaps included; strings are judged on the input, and none crosses texts. ``kept`` is the rest,
     joined; it may cut characters. A null counts as empty; texts shorter than ``width`` stay whole; each of
-    two equal rows is the other's repeat; an empty table gives no rows; further columns are not read.
+    two equal rows is the other's repeat; ids may be null or shared; an empty table gives no rows; further
+    columns are not read.
 
     What moves: 40 bytes for every 185 bytes of text or so, the different segments of repeated anchors, and
     each text twice, to meet its segments and its spans. For an anchor with over ``max_segments`` different
@@ -311,9 +314,11 @@ def remove_repeats(
     """
     use_shared_folder(docs.sparkSession)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+    keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
+    # rows are told by two hashes, as an id may be null; equal rows have equal spans
+    keyed = keyed.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64(F.lit("row"), "doc_id", "text"))
     spans = repeated_spans(keyed, width, anchor, max_segments)
-    joined = keyed.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, ["row_key", "text_key"], "left").select("doc_id", "text", "spans")
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,6 +54,20 @@ def test_supplied_documents(spark):
     compare(spark, [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()])
 
 
+@pytest.mark.parametrize("max_segments", [256, 1])
+def test_null_and_shared_ids(spark, max_segments):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(90)
+    rows = [(None, shared), (1, shared), (2, text(9) + shared[:70] + text(20)), (3, text(30) + shared[15:] + text(9))]
+    rows += [(None, text(60)), (None, shared[20:60]), (7, shared[40:] + text(9)), (7, text(40)), (None, shared), (None, None)]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], SCHEMA).repartition(3)
+    got = remove_repeats(docs, width=24, anchor=8, max_segments=max_segments).collect()
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got]
+    want = [(i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows], 24))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
