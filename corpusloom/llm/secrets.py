@@ -38,7 +38,10 @@ _ENCODINGS = (
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 _CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_CANDIDATE},}}"
+#: Parts of a run that no encoding holds, from the longest kind on.
+_PARTS = tuple(rf"[A-Za-z0-9{more}]{{{MIN_CANDIDATE},}}" for more in ("+/", "_-", ""))
 _BINS, _BINS_PER_DECADE = 2000, 20
+_FOUND = "array<struct<start:int,end:int,found:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -51,7 +54,7 @@ def matches(text: Column, pattern: str) -> Column:
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("size"), found.alias("found")
     )
     # the piece behind the last match has no match beside it
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("spans"))
     walked = F.aggregate(
         F.filter(lengths, lambda m: m["found"].isNotNull()),
         start,
@@ -156,15 +159,57 @@ def _battery(c: Column) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(uneven, runs, serial))
 
 
-def _candidates(text: Column) -> Column:
+def _piece(start: Column, end: Column, run: Column) -> Column:
+    found = run["found"].substr(start - run["start"] + 1, end - start)
+    return F.struct(start.alias("start"), end.alias("end"), found.alias("found"))
+
+
+def _beside(runs: Column, base: Column) -> Column:
+    """What the base spans leave of the runs."""
+
+    def parts(run: Column) -> Column:
+        walked = F.aggregate(
+            F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
+            F.struct(run["start"].alias("at"), F.array().cast(_FOUND).alias("parts")),
+            lambda done, b: F.struct(
+                F.greatest(done["at"], b["end"]).alias("at"),
+                F.when(b["start"] - done["at"] >= MIN_CANDIDATE, F.array_append(done["parts"], _piece(done["at"], b["start"], run)))
+                .otherwise(done["parts"])
+                .alias("parts"),
+            ),
+            lambda done: F.when(
+                run["end"] - done["at"] >= MIN_CANDIDATE, F.array_append(done["parts"], _piece(done["at"], run["end"], run))
+            ).otherwise(done["parts"]),
+        )
+        return walked
+
+    return F.when(F.size(base) == 0, runs).otherwise(F.flatten(F.transform(runs, parts)))
+
+
+def _split(runs: Column, alphabet) -> Column:
+    """Runs that an encoding holds, and of the others the parts between signs that do not go together."""
+
+    def parts(run: Column) -> Column:
+        inside = F.array_distinct(F.concat(*[matches(run["found"], p) for p in _PARTS]))
+        moved = F.transform(inside, lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["found"]))
+        return F.when(alphabet(run).isNull() & run["found"].rlike("[0-9]"), moved.cast(_FOUND)).otherwise(F.array(run).cast(_FOUND))
+
+    return F.flatten(F.transform(runs, parts))
+
+
+def _candidates(text: Column, base: Column | None = None) -> Column:
     """Tested candidates: array of (start, end, class, bin). The bin is the p-value on a logarithmic scale, rounded
     to the larger p-value; a class holds lengths up to a power of the square root of two.
 
-    Each step is an array of its own, so that nothing is computed twice within a candidate.
+    Candidates are the runs of token characters, or what base spans leave of them. A run that fits no encoding is
+    split where '+' or '/' meet '_' or '-'; parts may lie inside others. Each step is an array of its own, so that nothing is computed twice within a candidate.
     """
     alphabet = lambda s: F.coalesce(*[F.when(s["found"].rlike(p), F.lit(a)) for p, a in _ENCODINGS])
+    runs = matches(text, _CANDIDATE)
+    if base is not None:
+        runs = _beside(runs, base)
     found = F.transform(
-        matches(text, _CANDIDATE),
+        _split(runs, alphabet),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), alphabet(s).alias("alphabet")),
     )
     symbols = F.transform(
@@ -232,20 +277,20 @@ def secret_spans(
 ) -> DataFrame:
     """``docs`` with a column ``_spans``: array of (start, kind, end) of all secrets, by start, then kind.
 
-    Kinds are numbered as in ``KINDS``; places are code points, ends exclusive. A random candidate is added
-    where no base span overlaps it. All columns of ``docs`` stay as they are. Null and empty texts have no
+    Kinds are numbered as in ``KINDS``; places are code points, ends exclusive. Random candidates
+    are looked for in what the base spans leave of a run; of those inside one another the longest is added. All columns of ``docs`` stay as they are. Null and empty texts have no
     spans; repeated rows have each their own; an empty table gives no rows. The texts are read twice,
     once for the counts of p-values and once for the answer, and never shuffled.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    limits = rejection_bins(docs.select(_candidates(text).alias("candidates")), rate)
+    with_base = docs.withColumn("_base", base_spans(text))
+    limits = rejection_bins(with_base.select(_candidates(text, F.col("_base")).alias("candidates")), rate)
     bound = lambda c: F.coalesce(*[F.when(c["class"] == k, F.lit(v)) for k, v in sorted(limits.items())], F.lit(_BINS + 1))
-    with_base = docs.withColumn("_base", base_spans(text)).withColumn("_candidates", _candidates(text))
-    added = F.filter(
-        "_candidates",
-        lambda c: (c["bin"] < bound(c)) & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
-    return with_base.withColumn("_spans", F.array_sort(F.concat("_base", _plain(added, 3)))).drop("_candidates")
+    added = with_base.withColumn("_candidates", _candidates(text, F.col("_base")))
+    added = added.withColumn("_candidates", F.filter("_candidates", lambda c: c["bin"] < bound(c)))
+    inside = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (c["end"] - c["start"] < o["end"] - o["start"])
+    outer = F.filter("_candidates", lambda c: ~F.exists("_candidates", lambda o: inside(c, o)))
+    return added.withColumn("_spans", F.array_sort(F.concat("_base", _plain(outer, 3)))).drop("_candidates")
 
 
 def _written(spans: Column) -> Column:
