@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import text_blocks, two_columns
+from corpusloom.llm.batches import text_blocks, two_columns, use_shared_folder
 from corpusloom.llm.tokenize import word_tokens
 
 TOKENIZER = "word_bpe_49k.json"
@@ -124,10 +124,11 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Tokenising and packing meet in one shuffle of 40-byte rows. Null or empty texts are packed as
-    their end token; rows with the same id or text are packed each for itself; an empty table gives
-    no rows; further columns are not read.
+    Tokenising and packing meet in one shuffle of 40-byte rows, which are checkpointed to be counted. Null or
+    empty texts are packed as their end token; rows with the same id or text are packed each for itself; an
+    empty table gives no rows; further columns are not read.
     """
+    use_shared_folder(docs.sparkSession)
     pieces = token_pieces(
         docs,
         id_column=id_column,
@@ -135,6 +136,6 @@ def pack_documents(
         tokenizer=tokenizer,
         capacity=capacity,
         end_id=end_id,
-    )
-    groups = max(1, -(-docs.count() // group_pieces))
+    ).checkpoint()
+    groups = max(1, -(-pieces.count() // group_pieces))
     return pack(pieces, groups, capacity)

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from corpusloom.llm import packing
 from corpusloom.llm.packing import pack_documents, sum_of_squares
 from corpusloom.llm.tokenize import WordTokens
 
@@ -93,3 +94,12 @@ def test_rule_of_least_squares():
         assert squares(bin_) == min(map(squares, options))
         assert level.get(bin_, 0) == offset
         level[bin_] = offset + size
+
+
+def test_groups_are_counted_in_pieces(spark, monkeypatch):
+    seen = []
+    place = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda pieces, groups, capacity: seen.append(groups) or place(pieces, groups, capacity))
+    docs = spark.createDataFrame([(1, "some words of a long text " * 40)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, capacity=8, group_pieces=4).collect()
+    assert seen == [-(-len(rows) // 4)] and seen[0] > 1
