@@ -429,16 +429,15 @@ def clean_role_markup(spark, sf_dir):
 
 
 def clean_all_roles(spark, sf_dir):
-    """Every role in turn around the words of a document's first line, in three ways of writing."""
+    """Every role in turn around the words of a document, in three ways of writing."""
     number = F.col("doc_id").cast("long")
     role = F.array(*[F.lit(r) for r in ROLES])[F.pmod(number, F.lit(len(ROLES))).cast("int")]
     prefix = F.when(number % 2 == 0, "py:").otherwise("")
     before = F.when(number % 3 == 0, "`~").otherwise("`")
     after = F.when(number % 3 == 1, " <some.target>`").otherwise("`")
     word = F.concat(F.lit(":"), prefix, role, F.lit(":"), before, F.lit("$1"), after)
-    first = F.substring_index("text", "\n", 1)
-    marked = F.regexp_replace(first, F.lit(r"(?<![^ ])([\p{L}]+)(?![^ ])"), word)
-    return chunks(spark, sf_dir).select("doc_id", (F.length(marked) > F.length(first)).alias("marked"), clean_roles(marked).alias("text"))
+    marked = F.regexp_replace("text", F.lit(r"(?<![^ \n])([\p{L}]+)(?![^ \n])"), word)
+    return chunks(spark, sf_dir).select("doc_id", (F.length(marked) > F.length("text")).alias("marked"), clean_roles(marked).alias("text"))
 
 
 def _headed(spark, sf_dir, suffix: str, styles):

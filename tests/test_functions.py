@@ -8,6 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import workload
 from corpusloom.functions import ids, sse, text, vectors
 from corpusloom.functions.globs import matches_any_glob
 
@@ -135,3 +136,12 @@ def test_sse_stream(spark):
         ("retrieved", '{"chunks": []}'), ("token", "one\nmore"), ("token", " x"), ("done", ""),
     ]
     assert tuple(sse.answer_text(df, "id").first()) == (1, '{"chunks": []}', "one\nmore x")
+
+
+def test_all_roles_are_put_into_whole_texts_and_taken_out(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = workload.clean_all_roles(spark, sf).collect()
+    assert {r.doc_id: r.text for r in rows} == texts and any("\n" in t for t in texts.values())
+    for r in rows:
+        assert r.marked == any(w.isalpha() for line in texts[r.doc_id].split("\n") for w in line.split(" "))
