@@ -1,6 +1,7 @@
 """DuckDB statements of those queries that SQL can express.
 
-Trained models, token packing, wrappers, randomness tests and windows of 400 bytes at every place are left out: they
+Trained models, token packing, wrappers, randomness tests, eigenvectors, balanced samples and windows of 400 bytes at every
+place are left out: they
 are beyond SQL or too slow on whole tables, and the tests hold them against plain readings.
 """
 
@@ -117,9 +118,51 @@ UNION ALL
 SELECT conv_id, turn, 0, 'message', NULL, NULL, 0, true, '', '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}'
 FROM conversations WHERE role NOT IN ('user', 'assistant')"""
 
+def _crc_table() -> str:
+    """The remainders of all single bytes, by the rule of the checksum."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [value >> 1 ^ (0xEDB88320 if value & 1 else 0) for value in table]
+    return f"[{', '.join(map(str, table))}]::BIGINT[]"
+
+
+_SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc, run, count(*) AS c FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc,
+           unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) > 5 GROUP BY doc, run),
+coded AS (SELECT *, hex(encode(doc || ':' || run)) AS code FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(code) // 2), lambda i: ('0x' || code[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda h, b: xor(h >> 8, ({_crc_table()})[(xor(h, b) & 255) + 1]))) AS h FROM coded),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed)
+  WHERE length(word) > 5 GROUP BY word HAVING sum(c) > 4),
+gaps AS (
+  SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM gaps x JOIN gaps y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.a || g.b
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.a || g.b),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n,
+         CASE WHEN b.m >= 5 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.m) END AS form
+  FROM words w LEFT JOIN best b USING (word)),
+led(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT led.word, f.form FROM led JOIN formed f ON f.word = led.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n::BIGINT AS form_n
+FROM formed f JOIN led USING (word) JOIN formed r ON r.word = led.root WHERE r.form IS NULL"""
+
 SQL: dict[str, str] = {
     "op1_bayesian_minhash": _NEAR,
     "op4_fm_index_decontamination": _LEAKS,
     "op5_suffix_repetition": _REPETITION,
     "op9_tool_call_linking": _TOOLS,
+    "op11_trie_pair_spelling": _SPELLING,
 }

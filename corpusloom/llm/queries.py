@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, toxicity
+from corpusloom.llm import language, toxicity, whitening
 from corpusloom.llm.decontaminate import benchmark_hits, contamination_digest
+from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repetition import repetition_rules
 from corpusloom.llm.secrets import secret_digest
+from corpusloom.llm.spelling import spelling_variants
 from corpusloom.llm.substrings import remove_repeats
 from corpusloom.llm.toolcalls import EXCHANGE_SCHEMAS, exchanges, link_tool_calls
 from corpusloom.llm.wrappers import main_text
@@ -62,6 +64,20 @@ def op10_secret_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_trie_pair_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.whitening_digest(whitening.whiten(vectors, model), model)
+
+
+def op13_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("source", "times")
+
+
 QUERIES = {
     "op1_bayesian_minhash": op1_bayesian_minhash,
     "op2_host_wrappers": op2_host_wrappers,
@@ -73,4 +89,7 @@ QUERIES = {
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_secret_tests": op10_secret_tests,
+    "op11_trie_pair_spelling": op11_trie_pair_spelling,
+    "op12_qdwh_whitening": op12_qdwh_whitening,
+    "op13_cube_mixing": op13_cube_mixing,
 }
