@@ -123,14 +123,25 @@ def flight(chances: list[float], sizes: list[float], rng: random.Random) -> list
 
 
 def landing(chances: list[float], sizes: list[float]) -> list[float]:
-    """Chances rounded from the largest size down, each the way that brings the sum of sizes nearer to the expected one."""
+    """Chances rounded from the largest size down, each the way that brings the sum of sizes nearer to the expected one;
+    then, as long as it comes nearer still, one is turned round, or two for each other."""
     out = list(chances)
+    open_ones = sorted((i for i in range(len(out)) if 0 < out[i] < 1), key=lambda i: -sizes[i])
     excess = 0.0
-    for i in sorted(range(len(out)), key=lambda i: -sizes[i]):
-        if 0 < out[i] < 1:
-            up = abs(excess + (1 - out[i]) * sizes[i]) < abs(excess - out[i] * sizes[i])
-            excess += (float(up) - out[i]) * sizes[i]
-            out[i] = float(up)
+    for i in open_ones:
+        up = abs(excess + (1 - out[i]) * sizes[i]) < abs(excess - out[i] * sizes[i])
+        excess += (float(up) - out[i]) * sizes[i]
+        out[i] = float(up)
+    while open_ones:
+        turns = np.array([sizes[i] * (1 - 2 * out[i]) for i in open_ones])  # what turning each round adds
+        pairs = turns[:, None] + turns[None, :]
+        np.fill_diagonal(pairs, turns)
+        best = np.unravel_index(np.abs(excess + pairs).argmin(), pairs.shape)
+        if abs(excess + pairs[best]) > abs(excess) - _NEAR:
+            break
+        excess += pairs[best]
+        for k in set(best):
+            out[open_ones[k]] = 1 - out[open_ones[k]]
     return out
 
 
@@ -138,13 +149,14 @@ def settle(chances: list[float], sizes: list[float], last: bool, seed: str, rese
     """New chances of one group, given in a fixed order. The first ``reserve`` of each power of two of sizes are
     left for the last problem, so that it can make up for a large document; the last one settles all."""
     chances = list(chances)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    kinds = [int(size).bit_length() for size in sizes]
+    if not last:  # a group leaves at most a quarter, so that rounds end
+        reserve = min(reserve, len(sizes) // 4 // len(set(kinds)))
     left: dict[int, int] = {}
     flying = []
-    for i in order:
-        kind = int(sizes[i]).bit_length()
-        left[kind] = left.get(kind, 0) + 1
-        if left[kind] > reserve:
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        left[kinds[i]] = left.get(kinds[i], 0) + 1
+        if left[kinds[i]] > reserve:
             flying.append(i)
     moved = flight([chances[i] for i in flying], [sizes[i] for i in flying], random.Random(seed))
     for i, chance in zip(flying, moved):
@@ -204,8 +216,10 @@ def mix_sources(
     them does not matter; an empty table gives no rows; further columns are not read. The same rows give the same mix.
 
     What moves is a row of 40 bytes for each document. A source with any share of the rows is dealt by document into
-    groups of about ``group``, each of which leaves two documents and ``RESERVE`` for each power of two of sizes.
+    groups of about ``group``, each of which leaves two documents and up to ``RESERVE`` for each power of two of sizes.
     """
+    if group < 16:
+        raise ValueError("a group holds 16 documents at least")
     use_shared_folder(docs.sparkSession)
     # equal rows are counted first, so that no group is filled by one document
     kinds = _sized(docs, id_column, text_column, source_column).groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")).checkpoint()
