@@ -204,6 +204,10 @@ class Bm25Index:
             .mode("overwrite")
             .parquet(f"{path}/postings")
         )
+        self.write_figures(path)
+
+    def write_figures(self, path: str) -> None:
+        """The document frequencies by term bucket, and the figures of namespaces."""
         (
             _bucketed(self.frequencies)
             .repartition("term_bucket")

@@ -18,6 +18,7 @@ from corpusloom.functions.text import ROLES, clean_roles, tokenize
 from corpusloom.functions.vectors import mock_embedding
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_cost, token_fragments
+from corpusloom.operators.block_max import BlockMaxIndex, block_max_search
 from corpusloom.operators.chunking import code_chunks, doc_chunks
 from corpusloom.operators.contains import containing
 from corpusloom.operators.dense import dense_search
@@ -158,6 +159,14 @@ def bm25_topk_postings(spark, sf_dir):
     return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
 
 
+def bm25_topk_block_max(spark, sf_dir):
+    """The same over written lists of blocks, of which only those that can hold a hit are scored."""
+    path = scratch_path(spark, "blocks")
+    BlockMaxIndex.build(chunks(spark, sf_dir), block_docs=16).write(path)
+    hits = block_max_search(BlockMaxIndex.read(spark, path), requests(spark, sf_dir), POOL).hits
+    return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
+
+
 def bm25_topk_by_source(spark, sf_dir):
     """Every passage against every source as a namespace of its own."""
     names = table(spark, sf_dir, "documents").select("source").distinct()
@@ -616,6 +625,7 @@ QUERIES = {
         bm25_topk,
         bm25_topk_by_source,
         bm25_topk_postings,
+        bm25_topk_block_max,
         dense_topk,
         hybrid_fusion,
         cross_namespace_fusion,

@@ -259,6 +259,7 @@ SQL = {
     + "SELECT namespace, term, n, round(idf, 6) AS idf FROM idf",
     "bm25_topk": _with(*LEXICAL) + f"SELECT {_HIT} FROM bm25_hits",
     "bm25_topk_postings": _with(*LEXICAL) + f"SELECT {_HIT} FROM bm25_hits",
+    "bm25_topk_block_max": _with(*LEXICAL) + f"SELECT {_HIT} FROM bm25_hits",
     "bm25_topk_by_source": _with(
         CHUNKS.replace("lang AS namespace", "source AS namespace"),
         """requests AS (SELECT item_id AS query_id, text AS question,
