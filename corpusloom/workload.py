@@ -21,7 +21,7 @@ from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_co
 from corpusloom.operators.block_max import BlockMaxIndex, block_max_search
 from corpusloom.operators.chunking import code_chunks, doc_chunks
 from corpusloom.operators.contains import containing
-from corpusloom.operators.dense import dense_search
+from corpusloom.operators.dense import dense_search, dense_search_grid
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
 from corpusloom.operators.hydrate import chunk_summary, display_rows
 from corpusloom.operators.metrics import aggregate_metrics, mean_recall, query_metrics
@@ -182,6 +182,12 @@ def dense_topk(spark, sf_dir):
     return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
 
 
+def dense_topk_grid(spark, sf_dir):
+    """The same through the grid of blocks that batches of any size take."""
+    hits = dense_search_grid(vectors(spark, sf_dir), vector_requests(spark, sf_dir), POOL, docs_per_cell=64, queries_per_cell=32)
+    return hits.select("query_id", "namespace", "doc_id", _six("score"), _int("rank"))
+
+
 def _retrievers(spark, sf_dir):
     index = bm.Bm25Index.build(chunks(spark, sf_dir))
     return (
@@ -627,6 +633,7 @@ QUERIES = {
         bm25_topk_postings,
         bm25_topk_block_max,
         dense_topk,
+        dense_topk_grid,
         hybrid_fusion,
         cross_namespace_fusion,
         rrf_variadic,

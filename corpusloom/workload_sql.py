@@ -268,6 +268,7 @@ SQL = {
     )
     + f"SELECT {_HIT} FROM bm25_hits WHERE rank < 10",
     "dense_topk": _with(REQUESTS, DENSE) + f"SELECT {_HIT} FROM dense_hits",
+    "dense_topk_grid": _with(REQUESTS, DENSE) + f"SELECT {_HIT} FROM dense_hits",
     "hybrid_fusion": _with(*HYBRID) + f"SELECT {_HIT} FROM fused",
     "cross_namespace_fusion": _with(*HYBRID, CROSS) + f"SELECT {_HIT} FROM crossed",
     "rrf_variadic": _with(*HYBRID)
