@@ -59,6 +59,22 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:count], before[width - 1 : width - 1 + count])
 
 
+def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first of the smallest values of each ``width`` neighbours lies, whole values compared.
+
+    Value and place share one number, in which the value's last bits give way to the place, as many as the array
+    is long. Where two smallest values differ in those bits only, the place is looked up again, so that equal windows have
+    equal answers in arrays of any length.
+    """
+    bits = np.uint64(max(1, len(values).bit_length()))
+    places = np.arange(len(values), dtype=np.uint64)
+    found = sliding_minimum((values >> bits << bits) | places, width)
+    at = (found & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    for i in np.flatnonzero(values[at] != sliding_minimum(values, width)).tolist():
+        at[i] = i + int(values[i : i + width].argmin())
+    return at
+
+
 def _prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of hashes weighted by powers of an odd number, and the inverse powers."""
     powers = np.full(len(hashes) + 1, _STEP)
@@ -79,10 +95,7 @@ def segments(block: TextBlock, width: int, anchor: int) -> dict[str, np.ndarray]
     empty = {k: np.zeros(0, np.int64) for k in ("row", "anchor", "segment", "first", "last", "place")}
     if len(block.data) < width:
         return empty
-    bits = np.uint64(max(1, len(hashes).bit_length()))
-    places = np.arange(len(hashes), dtype=np.uint64)
-    least = sliding_minimum((hashes >> bits << bits) | places, width - anchor + 1)
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = leftmost_minima(hashes, width - anchor + 1)
     row = np.repeat(np.arange(len(block)), block.lengths)[: len(at)]
     inside = np.arange(len(at)) + width <= block.offsets[1:][row]
     start = np.flatnonzero(inside)
@@ -257,7 +270,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ma
     """
     spark = docs.sparkSession
     rows = _all_segments(docs, width, anchor).checkpoint()
-    often = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # checkpointed, so that both sides of the joins are plain shuffles, of which Spark splits those of a frequent anchor
+    often = rows.groupBy("anchor").count().filter("count > 1").select("anchor").checkpoint()
     rows = rows.join(often, "anchor", "left_semi").checkpoint()
     different = (
         rows.groupBy("anchor", "segment")
@@ -265,7 +279,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ma
         .checkpoint()
     )
     release(spark)
-    kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").checkpoint()
     wanted = different.join(kinds, "anchor").select("anchor", "segment", "copies", "at.*", (F.col("kinds") > max_segments).alias("crowded"))
     contents = _contents(docs, wanted, width).checkpoint()
     release(spark)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm.substrings import remove_repeats, repeated_starts, sliding_minimum
+from corpusloom.llm.substrings import leftmost_minima, remove_repeats, repeated_starts, sliding_minimum
 
 SCHEMA = "doc_id long, text string, spans string, n_bytes int"
 
@@ -79,3 +79,22 @@ def test_helpers():
         assert sliding_minimum(values, 7).tolist() == [values[i : i + 7].min() for i in range(n - 6)]
     parts = [b"abcdefgh", b"xxbcdefg", b"zzzzzz", b"yyyyy"]
     assert [r.tolist() for r in repeated_starts(parts, 5)] == [[1, 2], [2, 3], [0, 1], []]
+
+
+def test_minima_compare_whole_values():
+    """Values that differ in their last bits only, in arrays of many lengths: the place is that of the smallest."""
+    rng = np.random.default_rng(6)
+    for count in (5, 40, 3000):
+        values = (rng.integers(0, 3, count).astype(np.uint64) << np.uint64(40)) + rng.integers(0, 4, count).astype(np.uint64)
+        want = [i + int(values[i : i + 5].argmin()) for i in range(count - 4)]
+        assert leftmost_minima(values, 5).tolist() == want
+
+
+def test_long_text_beside_short_ones(spark):
+    """A text of 2 MB is a block of its own; passages that it shares with short texts go from both."""
+    rng = np.random.default_rng(9)
+    long = bytes(rng.integers(97, 123, 2 << 20).astype(np.uint8)).decode()
+    parts = [long[at : at + 450 + at % 97] for at in range(5000, len(long) - 1000, 150_001)]
+    rows = [(0, long), *((i + 1, f"start {i} {part} end {i}") for i, part in enumerate(parts)), (90, long[100:499]), (91, None)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (sum(map(len, parts)), len(parts)), **{i + 1: (len(part), 1) for i, part in enumerate(parts)}, 90: (0, 0), 91: (0, 0)}
