@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.config import SNIPPET_CHARS
 from corpusloom.operators.bounds import hint_small
 
+#: 1 MB of bits: of a million ids about one other in twenty passes, of a hundred thousand one in two thousand.
+FILTER_WORDS = 1 << 17
+
 
 def _text_or(name: str, default: str = "") -> Column:
     return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(default))
@@ -18,14 +21,39 @@ def _number_text(name: str) -> Column:
     return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("0")), F.lit(""))
 
 
+def _bits(keys: list[str], words: int) -> list[Column]:
+    """Two bits of a key, from the halves of its hash, in a table of ``words`` 64-bit words, a power of two."""
+    key = F.xxhash64(*keys)
+    return [half.bitwiseAND(F.lit(64 * words - 1)) for half in (key, F.shiftrightunsigned(key, 32))]
+
+
+def key_filter(wanted: DataFrame, keys: list[str], words: int = FILTER_WORDS) -> Column:
+    """A condition that every key of ``wanted`` meets, and few others: a bloom filter of fixed size, made by one
+    aggregation and read where the other table is scanned. More keys than it was made for only let more rows through."""
+    bits = wanted.select(F.explode(F.array(*_bits(keys, words))).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    set_words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(mask).alias("mask"))
+    every = wanted.sparkSession.range(words).withColumnRenamed("id", "word")
+    dense = every.join(set_words, "word", "left").select(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")).alias("entry"))
+    table = dense.agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["mask"])).scalar()
+    tests = [
+        F.call_function("shiftright", F.get(table, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        for bit in _bits(keys, words)
+    ]
+    return tests[0] & tests[1]
+
+
 def hydrate(ranked: DataFrame, chunks: DataFrame, small: bool) -> DataFrame:
     """Payload columns and the metadata map for ranked ids; ids without a chunk are dropped.
 
-    ``small`` says that the ranked side is bounded (queries x top_k was checked): then the chunk
-    table is joined where it lies, and its texts do not move.
+    Texts move for hits only. ``small`` says that the ranked side is bounded (queries x top_k was checked): then the chunk
+    table is joined where it lies. Otherwise the scan of the chunks keeps, by a filter of the ranked ids, the
+    hits and few others, which are shuffled to meet them; ``ranked`` is read twice.
     """
     wanted = ranked.select("query_id", "namespace", "doc_id", "score", "rank")
     keys = ["namespace", "doc_id"]
+    if not small:
+        chunks = chunks.where(key_filter(wanted, keys))
     found = chunks.join(hint_small(wanted, small), keys)
     metadata = F.create_map(
         F.lit("heading_path"), _text_or("heading_path"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from corpusloom.operators.requests import answerable
 
 @dataclass(frozen=True)
 class SearchResult:
-    """The stages of a search, all lazy: ids are ranked first, texts join last."""
+    """The stages of a search, all lazy: ids are ranked first, texts join last. A batch without bound keeps its ranked
+    ids with the executors until they are unpersisted."""
 
     bm25: DataFrame
     dense: DataFrame
@@ -49,6 +51,8 @@ def hybrid_search(
     fused = hybrid_fuse(bm25, dense)
     ranked = cross_namespace_fuse(fused, batch.df, top_k)
     small = batch.bounded and batch.rows.num_rows * top_k <= MAX_BROADCAST_ROWS
+    if not small:  # read twice: to filter the chunks, and to join them
+        ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     return SearchResult(bm25, dense, fused, ranked, hydrate(ranked, chunks, small))
 
 

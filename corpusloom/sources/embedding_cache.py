@@ -1,7 +1,9 @@
-"""Content-addressed embedding cache: a parquet table of (cache_key, vector)."""
+"""Content-addressed embedding cache: a table bucketed by key, one per model."""
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,37 +11,60 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import cache_key, model_tag
 
-_SCHEMA = "cache_key string, vector array<float>"
+BUCKETS = 64
 
 
 def fill_misses(texts: DataFrame, cached: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """(cache_key, vector) of the texts (cache_key, text) that the cache does not hold.
 
-    Equal texts are encoded once: they meet under one key before the encoder runs.
+    Equal texts are encoded once: they meet under one key before the encoder runs. A null text has no key and is
+    never encoded.
     """
-    wanted = texts.groupBy("cache_key").agg(F.first("text").alias("text"))
+    wanted = texts.where(F.col("cache_key").isNotNull()).groupBy("cache_key").agg(F.first("text").alias("text"))
     missing = wanted.join(cached, "cache_key", "left_anti")
     return missing.select("cache_key", embed(F.col("text")).alias("vector"))
 
 
 class EmbeddingCache:
-    """One table per model, so a changed model never returns stale vectors."""
+    """One table per model, so a changed model never returns stale vectors.
 
-    def __init__(self, spark: SparkSession, path: str, model_name: str) -> None:
-        self.spark, self.model_name = spark, model_name
-        self.path = f"{path.rstrip('/')}/{model_tag(model_name)}"
+    Rows are dealt to ``buckets`` files by their key and only added to; of rows with one key the last stored counts. As
+    the buckets are the partitions of a join by key, neither the join nor the choice of the last row moves the
+    table. The number of buckets is part of the folder's name: another number is another, empty cache.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, model_name: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.model_name, self.buckets = spark, model_name, buckets
+        self.path = f"{path.rstrip('/')}/{model_tag(model_name)}/{buckets}-buckets"
+        self._name = f"embedding_cache_{hashlib.sha256(self.path.encode()).hexdigest()[:20]}"
+
+    def _table(self) -> str:
+        """The table's name in this session's catalog; its rows live in the folder."""
+        location = self.path.replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self._name} (cache_key STRING, vector ARRAY<FLOAT>, stored_at BIGINT) USING parquet "
+            f"CLUSTERED BY (cache_key) INTO {self.buckets} BUCKETS LOCATION '{location}'"
+        )
+        return self._name
 
     def read(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(path):
-            return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(self.path)
+        """(cache_key, vector), one row for each key."""
+        rows = self.spark.table(self._table())
+        return rows.groupBy("cache_key").agg(F.max_by("vector", "stored_at").alias("vector"))
+
+    def store(self, rows: DataFrame) -> None:
+        """Add (cache_key, vector); a key that is there already has the new vector from now on. Rows without key go."""
+        keyed = rows.where(F.col("cache_key").isNotNull()).select("cache_key", F.col("vector").cast("array<float>").alias("vector"))
+        stamped = keyed.repartition(self.buckets, "cache_key").withColumn("stored_at", F.lit(time.time_ns()))
+        stamped.write.insertInto(self._table())
+
+    def lookup(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with ``embedding``, null where the cache has none; each chunk once."""
+        keyed = chunks.withColumn("cache_key", cache_key(F.col("text"), self.model_name))
+        return keyed.join(self.read().withColumnRenamed("vector", "embedding"), "cache_key", "left").drop("cache_key")
 
     def embed(self, chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
         """Add ``embedding`` to chunks with text: store the misses, then join all from the table."""
-        keyed = chunks.withColumn("cache_key", cache_key(F.col("text"), self.model_name))
-        new = fill_misses(keyed.select("cache_key", "text"), self.read(), embed)
-        new.write.mode("append").parquet(self.path)
-        vectors = self.read().withColumnRenamed("vector", "embedding")
-        return keyed.join(vectors, "cache_key", "left").drop("cache_key")
+        texts = chunks.select(cache_key(F.col("text"), self.model_name).alias("cache_key"), "text")
+        self.store(fill_misses(texts, self.read(), embed))
+        return self.lookup(chunks)

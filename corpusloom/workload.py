@@ -23,7 +23,7 @@ from corpusloom.operators.chunking import code_chunks, doc_chunks
 from corpusloom.operators.contains import containing
 from corpusloom.operators.dense import dense_search, dense_search_grid
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
-from corpusloom.operators.hydrate import chunk_summary, display_rows
+from corpusloom.operators.hydrate import chunk_summary, display_rows, hydrate
 from corpusloom.operators.metrics import aggregate_metrics, mean_recall, query_metrics
 from corpusloom.operators.ranking import top_k
 from corpusloom.operators.requests import answerable, split_valid, with_defaults
@@ -42,7 +42,7 @@ from corpusloom.plans.evaluate import dense_ranking
 from corpusloom.plans.search import hybrid_search, search_debug
 from corpusloom.session import scratch_path
 from corpusloom.sources.chunk_store import ChunkStore, as_stored, first_shas
-from corpusloom.sources.embedding_cache import fill_misses
+from corpusloom.sources.embedding_cache import EmbeddingCache, fill_misses
 from corpusloom.sources.golden import golden_namespaces
 
 NAMESPACES = ["de", "en", "es", "fr"]
@@ -236,6 +236,17 @@ def hybrid_search_hydrated(spark, sf_dir):
     )
 
 
+def hydration_by_filter(spark, sf_dir):
+    """Ranked ids hydrated as those of a batch without bound are: the scan of the chunks is filtered by them."""
+    ranked = _search(spark, sf_dir, 10).ranked.persist()
+    meta = F.col("metadata")
+    found = hydrate(ranked, chunks(spark, sf_dir), small=False)
+    return found.select(
+        "query_id", _int("rank"), _six("score"), "doc_id", "namespace", "path", "symbol",
+        "chunk_type", "text", *[meta[key].alias(key) for key in METADATA],
+    )
+
+
 def hybrid_search_debug(spark, sf_dir):
     debug = search_debug(_search(spark, sf_dir), vector_requests(spark, sf_dir))
 
@@ -435,6 +446,18 @@ def cache_fill(spark, sf_dir):
     return fill_misses(keyed, cached.select("cache_key"), lambda text: mock_embedding(text, 8))
 
 
+def cache_lookup(spark, sf_dir):
+    """Documents of one source without text, a cache that holds some texts twice, and an encoder for the rest."""
+    corpus = chunks(spark, sf_dir).select("doc_id", F.when(F.col("heading_path") != "src3", F.col("text")).alias("text"))
+    known = corpus.join(vectors(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    keyed = known.select(F.col("doc_id").cast("long").alias("number"), cache_key(F.col("text"), MODEL).alias("cache_key"))
+    cache = EmbeddingCache(spark, scratch_path(spark, "cache"), MODEL, buckets=8)
+    cache.store(keyed.select("cache_key", F.array(F.lit(1.0)).alias("vector")))
+    cache.store(keyed.where("number % 2 = 0").select("cache_key", F.array(F.lit(2.0)).alias("vector")))
+    found = cache.embed(corpus, lambda text: F.array(F.length(text).cast("float"), F.lit(0.5).cast("float")))
+    return found.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 def clean_role_markup(spark, sf_dir):
     """Documents with role markup put in, and taken out again."""
     marked = F.col("text")
@@ -443,18 +466,30 @@ def clean_role_markup(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", clean_roles(marked).alias("text"))
 
 
-def clean_all_roles(spark, sf_dir):
-    """Every role in turn around the words of a document, in three ways of writing."""
+def _all_roles(text):
+    """Every role in turn, by document, around the words of a text, in three ways of writing."""
     number = F.col("doc_id").cast("long")
     role = F.array(*[F.lit(r) for r in ROLES])[F.pmod(number, F.lit(len(ROLES))).cast("int")]
     prefix = F.when(number % 2 == 0, "py:").otherwise("")
     before = F.when(number % 3 == 0, "`~").otherwise("`")
     after = F.when(number % 3 == 1, " <some.target>`").otherwise("`")
     word = F.concat(F.lit(":"), prefix, role, F.lit(":"), before, F.lit("$1"), after)
-    marked = F.regexp_replace("text", F.lit(r"(?<![^ \n])([\p{L}]+)(?![^ \n])"), word)
+    return F.regexp_replace(text, F.lit(r"(?<![^ \n])([\p{L}]+)(?![^ \n])"), word)
+
+
+def clean_all_roles(spark, sf_dir):
+    """Whole texts with all roles put in, and taken out again."""
+    marked = _all_roles(F.col("text"))
     return chunks(spark, sf_dir).select("doc_id", (F.length(marked) > F.length("text")).alias("marked"), clean_roles(marked).alias("text"))
 
 
+def clean_role_words(spark, sf_dir):
+    """The same, with the number of letters that the markup of the whole text added."""
+    marked = _all_roles(F.col("text"))
+    added = (F.length(marked) - F.length("text")).cast("int")
+    return chunks(spark, sf_dir).select("doc_id", clean_roles(marked).alias("text"), added.alias("added"))
+
+
 def _headed(spark, sf_dir, suffix: str, styles):
     """Documents whose lines open with headings: a line's first letter decides the style."""
     text = F.col("text")
@@ -579,11 +614,11 @@ def holdout_rest(spark, sf_dir):
 
 
 def answerable_requests(spark, sf_dir):
-    """What follows the first line of a turn, asked of a namespace for users and of none for others; blanks go."""
-    rest = F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)")
+    """Whole turns, those of every third conversation blanked out, asked of a namespace for users and of none for others."""
+    blank = F.when(F.col("conv_id") % 3 == 0, F.regexp_replace("text", r"\S", "")).otherwise(F.col("text"))
     asked = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"),
-        rest.alias("question"),
+        blank.alias("question"),
         F.when(F.col("role") == "system", F.array().cast("array<string>")).otherwise(F.array(F.lit("en"))).alias("namespaces"),
     )
     return answerable(asked).select("query_id", "question")
@@ -638,6 +673,7 @@ QUERIES = {
         cross_namespace_fusion,
         rrf_variadic,
         hybrid_search_hydrated,
+        hydration_by_filter,
         hybrid_search_debug,
         api_summary,
         inspection_table,
@@ -654,6 +690,7 @@ QUERIES = {
         sync_restricted,
         sync_unreadable,
         clean_all_roles,
+        clean_role_words,
         holdout_rest,
         answerable_requests,
         cross_namespace_same_ids,
@@ -665,6 +702,7 @@ QUERIES = {
         cache_keys,
         mock_embeddings,
         cache_fill,
+        cache_lookup,
         clean_role_markup,
         md_chunks,
         rst_chunks,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.functions.text import ROLES
 from corpusloom.workload import MD_STYLES, QUOTAS, ROLE_SAMPLES, RST_STYLES
 
 TOKENS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda t: lower(t))"
@@ -285,6 +286,10 @@ SQL = {
              (row_number() OVER (PARTITION BY query_id, namespace ORDER BY score DESC, first) - 1)::INT AS rank
       FROM merged""",
     "hybrid_search_hydrated": _with(*SEARCH)
+    + """SELECT query_id, rank, round(score, 6) AS score, doc_id, namespace, path, symbol, chunk_type, text,
+             heading_path, '' AS language, commit_sha, start_line::VARCHAR AS start_line, end_line::VARCHAR AS end_line
+      FROM hydrated WHERE rank < 10""",
+    "hydration_by_filter": _with(*SEARCH)
     + """SELECT query_id, rank, round(score, 6) AS score, doc_id, namespace, path, symbol, chunk_type, text,
              heading_path, '' AS language, commit_sha, start_line::VARCHAR AS start_line, end_line::VARCHAR AS end_line
       FROM hydrated WHERE rank < 10""",
@@ -362,6 +367,11 @@ SQL = {
     "cache_fill": f"""SELECT 'embed:bge-base-en-v1.5:' || h AS cache_key, {_mock_vector("h", 8)} AS vector
       FROM (SELECT DISTINCT sha256(text) AS h FROM documents)
       WHERE h NOT IN (SELECT sha256(d.text) FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)""",
+    "cache_lookup": """WITH texts AS (SELECT doc_id, CASE WHEN source <> 'src3' THEN text END AS text FROM documents),
+      known AS (SELECT text, bool_or(doc_id % 2 = 0) AS again FROM texts JOIN embeddings ON vec_id = doc_id WHERE text IS NOT NULL GROUP BY text)
+      SELECT t.doc_id::VARCHAR AS doc_id, CASE WHEN t.text IS NULL THEN NULL WHEN k.again THEN [2.0::DOUBLE] WHEN k.text IS NOT NULL THEN [1.0::DOUBLE]
+             ELSE [length(t.text)::DOUBLE, 0.5::DOUBLE] END AS embedding
+      FROM texts t LEFT JOIN known k ON k.text = t.text""",
     "clean_role_markup": f"SELECT doc_id::VARCHAR AS doc_id, {_marked_roles()} AS text FROM documents",
     "md_chunks": _sections(MD_HEADINGS, ".md", MD_STYLES),
     "rst_chunks": _sections(RST_HEADINGS, ".rst", RST_STYLES),
@@ -425,9 +435,10 @@ SQL = {
       held AS (SELECT n.id FROM numbered n JOIN picks p USING (stratum)
                WHERE n.position = floor(p.i * (n.n / p.quota) + n.n / p.quota / 2))
       SELECT id, CASE WHEN id IN (SELECT id FROM held) THEN 'holdout' ELSE 'train' END AS part FROM numbered""",
-    "answerable_requests": """SELECT conv_id || '-' || turn AS query_id, substr(text, length(split_part(text, chr(10), 1)) + 2) AS question
-      FROM conversations
-      WHERE role <> 'system' AND regexp_matches(substr(text, length(split_part(text, chr(10), 1)) + 2), '\\S')""",
+    "answerable_requests": """SELECT query_id, question FROM (
+        SELECT conv_id || '-' || turn AS query_id, role, CASE WHEN conv_id % 3 = 0 THEN regexp_replace(text, '\\S', '', 'g') ELSE text END AS question
+        FROM conversations)
+      WHERE role <> 'system' AND regexp_matches(question, '\\S')""",
     "cross_namespace_same_ids": _with(*LEXICAL)
     + """SELECT query_id, namespace, doc_id, round(score, 6) AS score, place::INT AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, doc_id) - 1 AS place
@@ -445,6 +456,11 @@ SQL = {
         ON c.file_path = e.file_path""",
     "clean_all_roles": """SELECT doc_id::VARCHAR AS doc_id, regexp_matches(split_part(text, chr(10), 1), '(^| )\\p{L}+( |$)') AS marked,
              split_part(text, chr(10), 1) AS text FROM documents""",
+    "clean_role_words": f"""SELECT doc_id::VARCHAR AS doc_id, text,
+             (len(list_filter(string_split_regex(text, '[ \\n]'), lambda w: regexp_full_match(w, '\\p{{L}}+')))
+              * (CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 3 END + length({list(ROLES)}[(doc_id % {len(ROLES)} + 1)::INT])
+                 + CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 15 ELSE 1 END))::INT AS added
+      FROM documents""",
     "hard_negative_chunks": _with(*SEARCH, RELEVANT, NEGATIVES) + "SELECT * FROM negatives",
     "contrastive_triples": _with(*SEARCH, RELEVANT, NEGATIVES)
     + """SELECT q.query_id, q.question AS query, trim(c.text, ' ' || chr(9) || chr(10) || chr(13)) AS positive, n.text AS hard_negative
