@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -15,6 +16,8 @@ from corpusloom.llm.batches import use_shared_folder
 
 #: A string argument of this form stands for the result of another call of the conversation.
 _REFERENCE = re.compile(r"\$([A-Za-z0-9_.:-]+)")
+#: Levels of nesting that arguments and contents may have.
+MAX_DEPTH = 100
 _TYPES = {
     "object": dict,
     "array": list,
@@ -31,6 +34,38 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _same(a, b) -> bool:
+    """Equality of JSON values: 1 and 1.0 are the same number, and neither is true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def cleaned(value, faults: set[str], depth: int = 0):
+    """A parsed value that JSON and UTF-8 can hold: numbers beyond doubles and what is nested deeper than ``MAX_DEPTH``
+    become null, halves of surrogate pairs the replacement character; ``faults`` gets what was found."""
+    if depth > MAX_DEPTH:
+        faults.add(f"nested deeper than {MAX_DEPTH}")
+        return None
+    if isinstance(value, float) and not math.isfinite(value):
+        faults.add("number out of range")
+        return None
+    if isinstance(value, str):
+        if any("\ud800" <= c <= "\udfff" for c in value):
+            faults.add("half of a surrogate pair")
+            return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        return value
+    if isinstance(value, list):
+        return [cleaned(item, faults, depth + 1) for item in value]
+    if isinstance(value, dict):
+        return {cleaned(k, faults, depth): cleaned(item, faults, depth + 1) for k, item in value.items()}
+    return value
+
+
 def schema_errors(value, schema: dict, at: str = "arguments") -> list[str]:
     """What a value breaks of a JSON schema: type, enum, bounds, lengths, pattern, items, properties, required."""
     kinds = schema.get("type")
@@ -39,7 +74,7 @@ def schema_errors(value, schema: dict, at: str = "arguments") -> list[str]:
     if kinds and not fits:
         return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, known) for known in schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value):
@@ -87,7 +122,8 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
     """Items of a message: (kind, call_id, name, references, errors, body).
 
     An assistant's text may be {"content": ..., "tool_calls": [{"id", "name", "arguments"}, ...]}, arguments as an
-    object or as its JSON; a tool's {"tool_call_id": ..., "content": ...}. All other texts are messages as they are.
+    object or as its JSON; a tool's {"tool_call_id": ..., "content": ...}. All other texts are messages as they are. What
+    no JSON line can hold is replaced (see ``cleaned``) and, in a call, an error of it.
     """
     plain = [("message", None, None, [], [], canonical({"role": role, "content": text}))]
     if role not in ("assistant", "tool") or not text or not text.lstrip().startswith("{"):
@@ -96,16 +132,18 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         value = _strict(text)
     except (ValueError, RecursionError):
         return plain
+    calls = value.get("tool_calls")
+    value = cleaned({k: v for k, v in value.items() if k != "tool_calls"}, set())
     if role == "tool" and isinstance(value.get("tool_call_id"), str):
         return [("result", value["tool_call_id"], None, [], [], canonical(value.get("content")))]
-    calls = value.get("tool_calls")
     if role == "tool" or not isinstance(calls, list):
         return plain
     out = []
     if value.get("content"):
         out.append(("message", None, None, [], [], canonical({"role": role, "content": value["content"]})))
     for call in calls:
-        call = call if isinstance(call, dict) else {}
+        faults: set[str] = set()
+        call = cleaned(call, faults) if isinstance(call, dict) else {}
         errors = []
         call_id, name, arguments = call.get("id"), call.get("name"), call.get("arguments", {})
         if not isinstance(call_id, str):
@@ -113,13 +151,14 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
             call_id = None
         if isinstance(arguments, str):
             try:
-                arguments = _strict(arguments)
+                arguments = cleaned(_strict(arguments), faults)
             except (ValueError, RecursionError):
                 errors.append("arguments: not JSON")
         if not isinstance(name, str) or name not in schemas:
             errors.append("name: unknown")
-        elif not errors or errors[-1] != "arguments: not JSON":
+        elif "arguments: not JSON" not in errors:
             errors += schema_errors(arguments, schemas[name])
+        errors += [f"call: {fault}" for fault in sorted(faults)]
         name = name if isinstance(name, str) else None
         out.append(("call", call_id, name, sorted(set(_references(arguments))), errors, canonical({"name": name, "arguments": arguments})))
     return out
@@ -142,24 +181,65 @@ def _items(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return messages.mapInArrow(scan, _ITEMS)
 
 
+def _heads(single: DataFrame) -> DataFrame:
+    """(key, head, distance) of calls that wait for one other, given as (key, to): where their chain ends, by pointers that
+    reach twice as far each round. Chains that end nowhere, being cycles, are left out."""
+    pointers = single.select("key", "to", F.lit(1).cast("long").alias("distance")).checkpoint()
+    rounds = pointers.count().bit_length()
+    for _ in range(rounds):
+        onward = pointers.select(F.col("key").alias("to"), F.col("to").alias("beyond"), F.col("distance").alias("more"))
+        step = pointers.join(onward.hint("shuffle_hash"), "to", "left")
+        pointers = step.select(
+            "key",
+            F.coalesce("beyond", "to").alias("to"),
+            (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance"),
+            F.col("beyond").isNotNull().alias("moved"),
+        ).checkpoint()
+        if pointers.filter("moved").isEmpty():
+            break
+    ended = pointers.join(single.select(F.col("key").alias("to")), "to", "left_anti")
+    return ended.select("key", F.col("to").alias("head"), "distance")
+
+
 def topological_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, level): 0 for calls that wait for none, else one more than the highest level waited for; -1 on a cycle
     or behind one.
 
-    ``edges`` has (child, parent) of known calls. Each round settles all calls whose parents are settled, so there are
-    as many rounds as levels; settled calls and their edges leave the tables.
+    ``edges`` has (child, parent) of known calls. Calls that wait for one other form trees, whose depths take a number of
+    rounds that is the logarithm of the longest chain. What is left are calls that wait for several; of
+    these each round settles all whose own are settled.
     """
-    waiting = calls.select("key").distinct().checkpoint()
+    keys = calls.select("key").distinct().checkpoint()
     edges = edges.distinct().checkpoint()
-    done = []
-    while True:
-        ready = waiting.join(edges.select(F.col("child").alias("key")).distinct(), "key", "left_anti").checkpoint()
-        if ready.isEmpty():
+    counted = edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("to"))
+    counted = counted.select(F.col("child").alias("key"), "n", "to").checkpoint()
+    single = counted.filter("n = 1").select("key", "to")
+    trees = _heads(single).checkpoint()
+    fresh = keys.join(counted, "key", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done = [fresh]
+    several = counted.filter("n > 1").select("key")
+    # edges of these calls, each drawn to the head of what it waits for
+    drawn = edges.join(several.select(F.col("key").alias("child")), "child", "left_semi")
+    drawn = drawn.join(trees.withColumnRenamed("key", "parent"), "parent", "left")
+    drawn = drawn.select(
+        "child", F.coalesce("head", "parent").alias("head"), (F.coalesce("distance", F.lit(0)) + 1).alias("distance")
+    ).checkpoint()
+    reached = None
+    while not drawn.isEmpty():
+        arrived = drawn.join(fresh.withColumnRenamed("key", "head"), "head").select("child", (F.col("level") + F.col("distance")).alias("level"))
+        reached = arrived if reached is None else reached.unionAll(arrived)
+        reached = reached.groupBy("child").agg(F.max("level").alias("level")).checkpoint()
+        drawn = drawn.join(fresh.select(F.col("key").alias("head")), "head", "left_anti").select("child", "head", "distance").checkpoint()
+        fresh = reached.join(drawn.select("child").distinct(), "child", "left_anti").withColumnRenamed("child", "key").checkpoint()
+        reached = reached.join(fresh.select(F.col("key").alias("child")), "child", "left_anti")
+        if fresh.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(len(done))))
-        waiting = waiting.join(ready, "key", "left_anti").checkpoint()
-        edges = edges.join(ready.select(F.col("key").alias("parent")), "parent", "left_anti").select("child", "parent").checkpoint()
-    return reduce(DataFrame.unionAll, done, waiting.withColumn("level", F.lit(-1)))
+        done.append(fresh)
+    settled = reduce(DataFrame.unionAll, done).checkpoint()
+    behind = trees.join(settled.withColumnRenamed("key", "head"), "head").select("key", (F.col("level") + F.col("distance")).alias("level"))
+    settled = settled.unionAll(behind)
+    rest = keys.join(settled.select("key"), "key", "left_anti").withColumn("level", F.lit(-1).cast("long"))
+    return settled.unionAll(rest)
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -172,13 +252,16 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     level null. Errors of a call: its schema, ``id: repeated``, ``reference: <id> unknown``, ``reference: cycle``,
     ``result: missing``, ``result: repeated``, ``result: before the call``. ``line`` is canonical JSON.
 
-    Nulls and empty texts are messages with that content; a row that is repeated is repeated in the result, and makes
+    Nulls and empty texts are messages with that content; conversations without id are one; numbers beyond doubles, deep nesting and
+    halves of surrogate pairs are replaced, and in a call ``call: ...`` errors; a row that is repeated is repeated in the result, and makes
     its calls ``id: repeated``; an empty table gives no rows; further columns are not read. No conversation is
     gathered in one place: joins and combined counts by identifier do all.
     """
     use_shared_folder(messages.sparkSession)
     columns = [F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))]
-    items = _items(messages.select(*columns), schemas).withColumn("key", F.struct(F.coalesce("conv_id", F.lit(-1)).alias("c"), "call_id")).checkpoint()
+    items = _items(messages.select(*columns), schemas)
+    key = F.struct(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("none"), "call_id")
+    items = items.withColumn("key", key).checkpoint()
     calls = items.filter("kind = 'call'")
     results = items.filter("kind = 'result'")
     known = calls.filter("call_id IS NOT NULL").groupBy("key").agg(F.count("*").alias("same"))
@@ -187,14 +270,14 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.min(F.struct("turn", "item", "body")).alias("first"),
     )
     refs = calls.filter("call_id IS NOT NULL").select("key", F.explode("refs").alias("ref")).distinct()
-    refs = refs.select(F.col("key").alias("child"), F.struct(F.col("key.c").alias("c"), F.col("ref").alias("call_id")).alias("parent"))
+    refs = refs.select(F.col("key").alias("child"), F.struct(F.col("key.c").alias("c"), F.col("key.none").alias("none"), F.col("ref").alias("call_id")).alias("parent"))
     edges = refs.join(known.select(F.col("key").alias("parent")), "parent", "left_semi").select("child", "parent")
     missing = refs.join(known.select(F.col("key").alias("parent")), "parent", "left_anti")
     missing = missing.groupBy(F.col("child").alias("key")).agg(F.array_sort(F.collect_set("parent.call_id")).alias("missing"))
     levels = topological_levels(known, edges)
-    joined = (
-        calls.join(known, "key", "left").join(answers, "key", "left").join(missing, "key", "left").join(levels, "key", "left")
-    )
+    joined = calls
+    for side in (known, answers, missing, levels):  # one row for each identifier
+        joined = joined.join(side.hint("shuffle_hash"), "key", "left")
     note = lambda condition, text: F.when(condition, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
     errors = F.concat(
         "errors",

@@ -1,6 +1,9 @@
 import json
+import random
 
-from corpusloom.llm.toolcalls import canonical, link_tool_calls, schema_errors
+import pytest
+
+from corpusloom.llm.toolcalls import canonical, link_tool_calls, schema_errors, topological_levels
 
 SCHEMA = "conv_id long, turn long, role string, text string, level string, line int"
 TOOLS = {
@@ -82,3 +85,80 @@ def test_schema_rules():
     assert schema_errors({"k": True}, TOOLS["search"]) == ["arguments.q: missing", "arguments.k: not integer"]
     assert schema_errors([], TOOLS["search"]) == ["arguments: not object"]
     assert schema_errors({"op": "min"}, TOOLS["add"]) == ["arguments.op: not in enum"]
+
+
+def call_of(**call):
+    return json.dumps({"tool_calls": [call]})
+
+
+OPEN_SCHEMA = {"f": {"type": "object"}}
+
+
+def rows_of(spark, messages, schemas=OPEN_SCHEMA):
+    docs = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    return link_tool_calls(docs, schemas).collect()
+
+
+def test_what_json_cannot_hold_is_an_error_of_its_call(spark):
+    deep = "[" * 3000 + "]" * 3000
+    half = "[" * 400 + "]" * 400
+    texts = [
+        '{"tool_calls": [{"id": "a", "name": "f", "arguments": {"x": 1e999}}, {"id": "b", "name": "f", "arguments": {"x": 1}}]}',
+        '{"tool_calls": [{"id": "c", "name": "f", "arguments": {"x": "\\ud800"}}]}',
+        '{"tool_calls": [{"id": "d", "name": "f", "arguments": {"x": %s}}]}' % half,
+        '{"tool_calls": [{"id": "e", "name": "f", "arguments": "{\\"x\\": %s}"}]}' % deep,
+        '{"content": "\\udfff", "tool_calls": [{"id": "g\\ud800", "name": "f"}]}',
+        '{"tool_calls": [{"id": "h", "name": "f", "arguments": {"x": %s}}]}' % ("9" * 5000),
+    ]
+    results = [("tool", json.dumps({"tool_call_id": "b", "content": None}).replace("null", "-1e999")), ("tool", '{"tool_call_id": "c", "content": "\\udc00"}')]
+    rows = rows_of(spark, [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 10 + i, *r) for i, r in enumerate(results)])
+    errors = {r.call_id: r.errors for r in rows if r.kind == "call"}
+    assert "call: number out of range" in errors["a"] and errors["b"] == ""
+    assert "half of a surrogate pair" in errors["c"] and "nested deeper than 100" in errors["d"]
+    assert "nested deeper than 100" in errors["e"] and "g�" in errors
+    assert "h" not in errors  # more digits than a number may have: the text stays a message
+    for r in rows:
+        json.loads(r.line)
+        r.line.encode()
+
+
+def test_conversations_without_id_are_not_number_minus_one(spark):
+    text = call_of(id="a", name="f", arguments={})
+    answer = json.dumps({"tool_call_id": "a", "content": "x"})
+    rows = rows_of(spark, [(None, 0, "assistant", text), (-1, 0, "assistant", text), (0, 0, "assistant", text), (None, 1, "tool", answer)])
+    assert sorted((r.conv_id is None, r.conv_id or 0, r.n_results, r.errors) for r in rows if r.kind == "call") == [
+        (False, -1, 0, "result: missing"), (False, 0, 0, "result: missing"), (True, 0, 1, ""),
+    ]
+
+
+def test_enum_tells_true_from_one():
+    for known, value, fits in (([True], 1, False), ([1], True, False), ([1], 1.0, True), ([[1, {"a": False}]], [1, {"a": 0}], False), ([[1]], [1.0], True)):
+        assert (schema_errors(value, {"enum": known}) == []) == fits
+
+
+def slow_levels(nodes, edges):
+    parents = {n: {p for c, p in edges if c == n} for n in nodes}
+    level = {}
+    while True:
+        ready = [n for n in nodes if n not in level and parents[n] <= level.keys()]
+        if not ready:
+            return {n: level.get(n, -1) for n in nodes}
+        level |= {n: max((level[p] + 1 for p in parents[n]), default=0) for n in ready}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_equal_a_plain_reading(spark, seed):
+    rng = random.Random(seed)
+    nodes = list(range(60))
+    edges = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range((40, 60, 90, 50)[seed])) if seed == 3 or a > b}
+    found = topological_levels(
+        spark.createDataFrame([(n,) for n in nodes], "key int"), spark.createDataFrame(sorted(edges), "child int, parent int")
+    )
+    assert {r.key: r.level for r in found.collect()} == slow_levels(nodes, edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    count = 5000
+    keys = spark.range(count).withColumnRenamed("id", "key")
+    edges = spark.range(1, count).selectExpr("id AS child", "id - 1 AS parent")
+    assert topological_levels(keys, edges).where("key <> level").count() == 0
