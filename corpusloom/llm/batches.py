@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,27 @@ def text_blocks(
             first = last
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def apart(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(others, text) of ``docs``, so that columns an operator adds meet no other names, and the way back to its columns."""
+    others = [c for c in docs.columns if c != text_column]
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
+    packed = docs.select(F.struct(F.lit(0).alias("none"), *fields).alias("others"), F.col(f"`{text_column}`").alias("text"))
+
+    def back(found: DataFrame) -> DataFrame:
+        places = {c: F.col("others")[f"c{i}"] for i, c in enumerate(others)} | {text_column: F.col("text")}
+        return found.select(*[places[c].alias(c) for c in docs.columns])
+
+    return packed, back
+
+
 def two_columns(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Only what an operator reads, so that the scan is pruned and other columns cannot clash."""
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))

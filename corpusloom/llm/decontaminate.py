@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.batches import TextBlock, text_blocks
+from corpusloom.llm.batches import TextBlock, apart, text_blocks
 from corpusloom.llm.suffix import suffix_array
 
 WINDOW_WORDS = 10
@@ -277,9 +277,11 @@ def cut_words(text: str, spans: list[dict]) -> str:
     return b"".join([*kept, body[at:]]).decode()
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the spans that ``benchmark_hits`` finds; the options are its."""
-    return benchmark_hits(docs, benchmark, cut=True, **options).drop(*_ADDED.names)
+def remove_hits(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without the spans that ``benchmark_hits`` finds; the options are its. Rows, and other columns of any
+    name, stay as they are; null texts stay null; empty tables give no rows or cut nothing."""
+    packed, back = apart(docs, text_column)
+    return back(benchmark_hits(packed, benchmark, cut=True, **options))
 
 
 def contamination_digest(found: DataFrame, *, id_column: str = "doc_id") -> DataFrame:

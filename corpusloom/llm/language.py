@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.batches import text_blocks, two_columns
+from corpusloom.llm.batches import text_blocks, two_columns, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -168,11 +168,12 @@ def fit(
 
 
 def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "text") -> DataFrame:
-    """``docs`` with all its columns, and ``_lang_pred`` and ``_lang_score``; see ``identify``."""
+    """``docs`` with all its columns, and ``_lang_pred`` and ``_lang_score``, names it must not have; see ``identify``."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
     letters = F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
     kept = len(docs.columns)
-    rows = docs.withColumn("_text", F.col(text_column).cast("string")).withColumn("_letters", letters)
+    own_text = unused(docs, "_text")
+    rows = docs.select("*", F.col(text_column).cast("string").alias(own_text), letters.alias(unused(docs, "_letters")))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
@@ -180,7 +181,7 @@ def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "te
         for batch in batches:
             has_letters = np.asarray(batch.column(kept + 1).to_pylist(), bool)
             at = 0
-            for block in text_blocks([batch], "_text", "_text", BLOCK_BYTES):
+            for block in text_blocks([batch], own_text, own_text, BLOCK_BYTES):
                 own = has_letters[at : at + len(block)]
                 names, score = np.full(len(block), UNKNOWN, object), np.zeros(len(block))
                 if net and own.any():

@@ -349,7 +349,8 @@ def near_duplicates(
     (a text of fewer words is one shingle). ``component_id`` is the smallest doc_id that can be reached.
     A text without words, or null, has no shingles and is linked with nothing. Repeated rows are rows
     with equal sets; an id that comes back with another text is judged text by text, and links of either
-    text hold for the id. An empty table gives no rows; further columns are not read. ``percent`` is 80
+    text hold for the id. A row without id belongs to the component of an id with an equal set, if there is one, and is
+    kept only otherwise. An empty table gives no rows; further columns are not read. ``percent`` is 80
     or more.
 
     A link at the threshold is missed with a chance of about 4 in a million (bands and posterior); no link
@@ -396,5 +397,5 @@ def near_duplicates(
     found = rows.join(named, ["set_a", "set_b"], "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
     )

@@ -96,8 +96,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece a sequence and an offset in it.
 
-    Pieces are dealt by a hash of their document and number into ``groups`` equal groups, each packed by one
-    task; inside a group the longest come first, so short ones fill what they leave. Sequence numbers
+    Pieces, of which the table must be a checkpoint, are dealt by their place in it into ``groups`` equal groups, whatever
+    ids they have, each packed by one task; inside a group the longest come first, so short ones fill what they leave. Sequence numbers
     are unique across groups, not consecutive.
     """
 
@@ -108,7 +108,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         rows["offset"] = offsets
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(place, _PACKED)
 
 

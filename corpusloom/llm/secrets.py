@@ -13,6 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import apart
+
 # Fixed values of the base rules.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -315,9 +317,11 @@ def secret_digest(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
 
 
 def mask_secrets(docs: DataFrame, *, text_column: str = "text", mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``mask``; overlapping spans become one."""
-    found = secret_spans(docs, text_column=text_column)
-    text = F.col(text_column)
+    """``docs`` with every secret in the text replaced by ``mask``; overlapping spans become one. Null and empty texts
+    stay, and so do all other columns, whatever their names; repeated rows are each masked; an empty table gives no rows."""
+    packed, back = apart(docs, text_column)
+    found = secret_spans(packed)
+    text = F.col("text")
     walked = F.aggregate(
         "_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -329,4 +333,4 @@ def mask_secrets(docs: DataFrame, *, text_column: str = "text", mask: str = MASK
         ),
     )
     clean = F.concat(walked["out"], text.substr(walked["at"] + 1, F.length(text)))
-    return found.withColumn(text_column, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_base", "_spans")
+    return back(found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)))

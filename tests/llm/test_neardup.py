@@ -111,3 +111,10 @@ def test_signature_estimates_similarity():
     sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, len(texts[0]), len(texts[1])]))
     true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
     assert abs((signature(sets[0]) == signature(sets[1])).mean() - true) < 0.12
+
+
+def test_rows_without_id(spark):
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, text("a")), (None, text("b")), (5, text("b")), (None, None), (7, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(docs).collect()))
+    assert got == [(-1, -1, True), (-1, -1, True), (-1, 5, False), (5, 5, True), (7, 7, True)]

@@ -103,3 +103,12 @@ def test_groups_are_counted_in_pieces(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "some words of a long text " * 40)], "doc_id long, text string")
     rows = packing.pack_documents(docs, capacity=8, group_pieces=4).collect()
     assert seen == [-(-len(rows) // 4)] and seen[0] > 1
+
+
+def test_rows_without_id_are_dealt_to_all_groups(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 300 + [(i, "the same text") for i in range(100)], "doc_id long, text string")
+    rows = packing.pack_documents(docs.repartition(8), capacity=64, group_pieces=40).collect()
+    groups = {}
+    for r in rows:
+        groups[r.sequence_id % 10] = groups.get(r.sequence_id % 10, 0) + r.length
+    assert len(rows) == 400 and len(groups) == 10 and max(groups.values()) < 3 * min(groups.values())
