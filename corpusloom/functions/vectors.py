@@ -63,6 +63,32 @@ def model_embedding(
     return encode(text)
 
 
+def embedding_or_error(text: Column, load_model: Callable[[], EncoderModel], batch_size: int = 32) -> Column:
+    """(vector, error) of each text: a text that the model fails on costs its own row, not the job.
+
+    A batch that fails is encoded text by text. A model that cannot be loaded fails the task.
+    """
+
+    @F.pandas_udf("vector array<float>, error string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load_model()
+        options = {"batch_size": batch_size, "normalize_embeddings": True, "show_progress_bar": False, "convert_to_numpy": True}
+
+        def tried(texts: list[str]) -> list[tuple]:
+            try:
+                return [(vector, None) for vector in np.asarray(model.encode(texts, **options), dtype=np.float32)]
+            except Exception as problem:
+                if len(texts) == 1:
+                    return [(None, f"{type(problem).__name__}: {problem}")]
+                return [row for one in texts for row in tried([one])]
+
+        for texts in batches:
+            rows = tried(texts.tolist()) if len(texts) else []
+            yield pd.DataFrame(rows, columns=["vector", "error"], index=texts.index)
+
+    return encode(text)
+
+
 def get_embedder(
     settings: Settings | None = None, load_model: Callable[[], EncoderModel] | None = None
 ) -> Callable[[Column], Column]:

@@ -162,21 +162,30 @@ def wire_format(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\n"), lines, F.lit("\n\n"))
 
 
-def _ask(load_client: Callable[[], AnswerClient]):
+def _ask(load_client: Callable[[], AnswerClient], keep_errors: bool):
+    def reply(client: AnswerClient, messages) -> tuple:
+        fragments, usage = [], (None, None)
+        plain = [{"role": m["role"], "content": m["content"]} for m in messages]
+        for fragment, counted in client.stream(plain):
+            if fragment:
+                fragments.append(fragment)
+            usage = counted or usage
+        return fragments, *usage, None
+
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = None
         for frame in frames:
             out = []
             for query_id, messages in zip(frame["query_id"], frame["messages"], strict=True):
                 client = client or load_client()
-                fragments, usage = [], (None, None)
-                plain = [{"role": m["role"], "content": m["content"]} for m in messages]
-                for fragment, counted in client.stream(plain):
-                    if fragment:
-                        fragments.append(fragment)
-                    usage = counted or usage
-                out.append((query_id, fragments, *usage))
-            columns = ["query_id", "fragments", "prompt_tokens", "completion_tokens"]
+                try:
+                    out.append((query_id, *reply(client, messages)))
+                except Exception as problem:
+                    if not keep_errors:
+                        raise
+                    out.append((query_id, None, None, None, f"{type(problem).__name__}: {problem}"))
+                    client = None  # the next request has a new client
+            columns = ["query_id", "fragments", "prompt_tokens", "completion_tokens", "error"]
             answer = pd.DataFrame(out, columns=columns)
             yield answer.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
@@ -184,22 +193,37 @@ def _ask(load_client: Callable[[], AnswerClient]):
 
 
 def generate_answers(
-    prompted: DataFrame, load_client: Callable[[], AnswerClient], settings: Settings | None = None
+    prompted: DataFrame,
+    load_client: Callable[[], AnswerClient],
+    settings: Settings | None = None,
+    keep_errors: bool = False,
 ) -> DataFrame:
-    """(query_id, fragments, prompt_tokens, completion_tokens, model, costs) from a real client.
+    """(query_id, fragments, prompt_tokens, completion_tokens, error, model, costs) from a real client.
 
     Usage comes with the last fragment; without it the token and cost columns stay null. A failing
-    service raises and fails the task, which Spark tries again.
+    service raises and fails the task, which Spark tries again; with ``keep_errors`` a request that fails has its error
+    and no fragments, and the others are answered.
     """
     settings = settings or get_settings()
     query_type = prompted.schema["query_id"].dataType.simpleString()
     answered = prompted.select("query_id", "messages").mapInPandas(
-        _ask(load_client),
-        f"query_id {query_type}, fragments array<string>, prompt_tokens long, completion_tokens long",
+        _ask(load_client, keep_errors),
+        f"query_id {query_type}, fragments array<string>, prompt_tokens long, completion_tokens long, error string",
     )
     return token_cost(answered.withColumn("model", F.lit(settings.answer_model)))
 
 
+def answer_usage(answers: DataFrame) -> DataFrame:
+    """One row per model: requests, failed ones, answers without usage, tokens and costs."""
+    failed = F.col("error").isNotNull()
+    return answers.groupBy("model").agg(
+        F.count("*").alias("requests"),
+        F.count_if(failed).alias("failed"),
+        F.count_if(~failed & F.col("prompt_tokens").isNull()).alias("without_usage"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "input_cost", "output_cost")],
+    )
+
+
 def get_answerer(
     settings: Settings | None = None, load_client: Callable[[], AnswerClient] | None = None
 ) -> Callable[[DataFrame, DataFrame], DataFrame]:

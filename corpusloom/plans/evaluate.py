@@ -40,6 +40,40 @@ class EvalReport:
         return self.aggregate["recall_at_10"] >= min_recall
 
 
+@dataclass(frozen=True)
+class Searched:
+    """Hits of the questions that could be answered, and (query_id, error) of the others."""
+
+    hits: DataFrame
+    failures: DataFrame
+
+
+def score_apart(queries: DataFrame, searched: Searched, relevant: DataFrame) -> DataFrame:
+    """Metrics of every query, in one plan; those that failed are ``skipped`` and bear their ``error``."""
+    failed = searched.failures.groupBy("query_id").agg(F.min("error").alias("error"))
+    scored = query_metrics(queries, searched.hits, relevant).join(failed, "query_id", "left")
+    return scored.withColumn("skipped", F.col("error").isNotNull())
+
+
+def evaluate_apart(search: Callable[[DataFrame], Searched], items: DataFrame) -> tuple[EvalReport, DataFrame | None]:
+    """(report, per-query rows) of a search that tells by row which questions it could not answer.
+
+    One job, however many fail, and no list of questions on the driver; the rows hold each error. What is not the
+    fault of a question, such as a lost store, is raised.
+    """
+    total = items.count()
+    if total == 0:
+        return EvalReport(0, error="dataset empty or not found"), None
+    queries = golden_queries(items)
+    per_query = score_apart(queries, search(queries), golden_relevant(items)).persist()
+    row = aggregate_metrics(per_query).first().asDict()
+    means = {name: value for name, value in row.items() if "_at_" in name}
+    report = EvalReport(total, row["evaluated"], row["skipped"], means)
+    if not report.evaluated:
+        report.error = per_query.agg(F.min("error")).first()[0]
+    return report, per_query
+
+
 def _search_apart(search: Callable[[DataFrame], DataFrame], queries: DataFrame) -> tuple[list[DataFrame], dict[str, str]]:
     """Persisted hits of the queries that can be answered, and why others cannot.
 
@@ -106,6 +140,25 @@ def hybrid_searcher(
     return search
 
 
+def guarded_searcher(
+    chunks: DataFrame,
+    index: Bm25Index,
+    embed_or_error: Callable[[Column], Column],
+    top_k: int = 10,
+    settings: Settings | None = None,
+    vectors: DataFrame | None = None,
+) -> Callable[[DataFrame], Searched]:
+    """Hybrid search of the questions that can be embedded; ``embed_or_error`` gives (vector, error) of a text."""
+
+    def search(queries: DataFrame) -> Searched:
+        made = queries.withColumn("_made", embed_or_error(F.col("question"))).persist()
+        asked = made.where(F.col("_made.error").isNull()).withColumn("vector", F.col("_made.vector")).drop("_made")
+        failures = made.where(F.col("_made.error").isNotNull()).select("query_id", F.col("_made.error").alias("error"))
+        return Searched(hybrid_search(chunks, index, asked, top_k, settings, vectors).hydrated, failures)
+
+    return search
+
+
 def dense_ranking(
     chunks: DataFrame,
     queries: DataFrame,

@@ -2,7 +2,7 @@
 
 Spark's own file listing hides names that start with ``_`` or ``.``, which would lose every
 ``__init__.py``. So the tree is walked and read by tasks through Arrow's file systems (local,
-HDFS, object stores); only directory names of the top level pass through the driver.
+HDFS, object stores); only counts pass through the driver.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.globs import matches_any_glob
 from corpusloom.functions.text import has_suffix
+from corpusloom.session import scratch_path
 
 _READ_ROWS = 64
+#: Tasks for each core that list the directories of a level.
+_LISTING_TASKS = 4
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -42,40 +45,44 @@ def _real_path(system: fs.FileSystem, path: str) -> str:
     return path
 
 
-def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of each directory, not of those below it; links to directories are neither."""
     for frame in frames:
-        for uri, recursive in zip(frame["uri"], frame["recursive"], strict=True):
+        for uri in frame["uri"]:
             system, path = _open(uri)
-            stack = [path]
-            while stack:
-                found = []
-                for info in system.get_file_info(fs.FileSelector(stack.pop())):
-                    if info.type == fs.FileType.File:
-                        found.append((info.path, _real_path(system, info.path)))
-                    elif info.type == fs.FileType.Directory and recursive:
-                        if _real_path(system, info.path) == info.path or "://" in uri:
-                            stack.append(info.path)
-                yield pd.DataFrame(found, columns=["listed", "absolute"])
+            prefix = uri[: -len(path)] if "://" in uri else ""
+            found = []
+            for info in system.get_file_info(fs.FileSelector(path)):
+                real = _real_path(system, info.path)
+                if info.type == fs.FileType.File:
+                    found.append((info.path, real, None))
+                elif info.type == fs.FileType.Directory and real == info.path:
+                    found.append((None, None, prefix + info.path))
+            yield pd.DataFrame(found, columns=["listed", "absolute", "uri"])
 
 
 def list_files(spark: SparkSession, source: str, suffixes: Iterable[str]) -> DataFrame:
     """(listed, absolute) of every file below ``source`` with one of the suffixes.
 
-    The top level is read here; each of its directories is walked by a task of its own, which
-    streams its rows. Links to directories are not followed, links to files are resolved.
+    The tree is listed level by level. The directories found on a level are dealt anew to all tasks, so one deep
+    directory is shared by all of them; each level is written to the shared folder, and only the number of
+    its directories reaches the driver. Links to directories are not followed, links to files are resolved.
     """
     system, path = _open(source)
-    path = _real_path(system, path)
-    prefix = source[: -len(_open(source)[1])] if "://" in source else ""
-    infos = system.get_file_info(fs.FileSelector(path))
-    seeds = [(prefix + path, False)] + [
-        (prefix + info.path, True)
-        for info in infos
-        if info.type == fs.FileType.Directory and _real_path(system, info.path) == info.path
-    ]
-    roots = spark.createDataFrame(seeds, "uri string, recursive boolean").repartition(len(seeds))
-    found = roots.mapInPandas(_walk, "listed string, absolute string")
-    return found.where(has_suffix(F.col("listed"), tuple(suffixes)))
+    prefix = source[: -len(path)] if "://" in source else ""
+    folder = scratch_path(spark, "listing")
+    level, count = 0, 1
+    frontier = spark.createDataFrame([(prefix + _real_path(system, path),)], "uri string")
+    while count:
+        dealt = frontier.repartition(min(count, _LISTING_TASKS * spark.sparkContext.defaultParallelism))
+        entries = dealt.mapInPandas(_list, "listed string, absolute string, uri string")
+        entries.write.parquet(f"{folder}/level={level}")
+        found = spark.read.schema("listed string, absolute string, uri string").parquet(f"{folder}/level={level}")
+        frontier = found.where(F.col("uri").isNotNull()).select("uri")
+        level, count = level + 1, frontier.count()
+    levels = [f"{folder}/level={n}" for n in range(level)]
+    files = spark.read.schema("listed string, absolute string").parquet(*levels).where(F.col("listed").isNotNull())
+    return files.where(has_suffix(F.col("listed"), tuple(suffixes)))
 
 
 def relative_files(

@@ -7,6 +7,7 @@ its whole tables.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from corpusloom.functions.globs import matches_any_glob
 from corpusloom.functions.ids import cache_key, point_id
 from corpusloom.functions.sse import stream_events
 from corpusloom.functions.text import ROLES, clean_roles, tokenize
-from corpusloom.functions.vectors import mock_embedding
+from corpusloom.functions.vectors import embedding_or_error, mock_embedding
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_cost, token_fragments
 from corpusloom.operators.block_max import BlockMaxIndex, block_max_search
@@ -38,7 +39,7 @@ from corpusloom.operators.training import (
     with_stratum,
 )
 from corpusloom.plans.answer import answer
-from corpusloom.plans.evaluate import dense_ranking
+from corpusloom.plans.evaluate import Searched, dense_ranking, score_apart
 from corpusloom.plans.search import hybrid_search, search_debug
 from corpusloom.session import scratch_path
 from corpusloom.sources.chunk_store import ChunkStore, as_stored, first_shas
@@ -319,6 +320,26 @@ def evaluation_means(spark, sf_dir):
     )
 
 
+class _Moody:
+    """An encoder that fails on every question whose length is divisible by five."""
+
+    def encode(self, sentences, **options):
+        if any(len(s) % 5 == 0 for s in sentences):
+            raise ValueError("cannot encode")
+        return np.ones((len(sentences), 2))
+
+
+def evaluation_with_skips(spark, sf_dir):
+    """Means over the questions that the encoder can take; the others are skipped by row, in the same job."""
+    asked = vector_requests(spark, sf_dir)
+    made = asked.withColumn("error", embedding_or_error(F.col("question"), _Moody)["error"]).persist()
+    corpus = chunks(spark, sf_dir)
+    found = hybrid_search(corpus, bm.Bm25Index.build(corpus), made.where("error IS NULL").drop("error"), 10, vectors=vectors(spark, sf_dir))
+    searched = Searched(found.hydrated, made.where("error IS NOT NULL").select("query_id", "error"))
+    scored = score_apart(asked, searched, relevant_chunks(spark, sf_dir))
+    return aggregate_metrics(scored).select("items", "evaluated", "skipped", *[_six(c) for c in METRICS])
+
+
 def dense_evaluation(spark, sf_dir):
     corpus = chunks(spark, sf_dir).join(
         vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id"
@@ -683,6 +704,7 @@ QUERIES = {
         relevant_chunks,
         retrieval_metrics,
         evaluation_means,
+        evaluation_with_skips,
         dense_evaluation,
         model_comparison,
         sync_plain,

@@ -334,6 +334,11 @@ SQL = {
     + """SELECT count(*) AS items, count(*) AS evaluated, 0::BIGINT AS skipped, round(avg(recall_at_5), 6) AS recall_at_5,
              round(avg(recall_at_10), 6) AS recall_at_10, round(avg(mrr_at_10), 6) AS mrr_at_10,
              round(avg(precision_at_5), 6) AS precision_at_5 FROM metrics""",
+    "evaluation_with_skips": _with(*SEARCH, RELEVANT, METRICS)
+    + """SELECT count(*) AS items, count(*) FILTER (NOT skip) AS evaluated, count(*) FILTER (skip) AS skipped,
+             round(avg(recall_at_5) FILTER (NOT skip), 6) AS recall_at_5, round(avg(recall_at_10) FILTER (NOT skip), 6) AS recall_at_10,
+             round(avg(mrr_at_10) FILTER (NOT skip), 6) AS mrr_at_10, round(avg(precision_at_5) FILTER (NOT skip), 6) AS precision_at_5
+      FROM (SELECT m.*, length(q.question) % 5 = 0 AS skip FROM metrics m JOIN requests q USING (query_id))""",
     "dense_evaluation": _with(CHUNKS, REQUESTS, DENSE, RELEVANT, _RECALL.format(m="given", scores="dense_scores"))
     + "SELECT count(*) AS evaluated, round(coalesce(avg(recall), 0), 6) AS recall FROM recalls_given",
     "model_comparison": _with(
