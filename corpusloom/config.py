@@ -46,11 +46,7 @@ class Settings:
     answer_model: str = ""
     answer_temperature: float = 0.2
     answer_max_tokens: int = 1024
-    system_prompt: str = (
-        "Below are excerpts of documents and code, each headed by its source in brackets. Base the answer on these "
-        "excerpts alone and name the source of each statement as it stands in the brackets. Where they do not "
-        "settle the question, reply that they do not; never guess names of functions or options."
-    )
+    system_prompt: str = ""  # what an answer model is told, the user's to write
 
     bm25_k1: float = 1.5
     bm25_b: float = 0.75

@@ -24,7 +24,8 @@ _SHOWN_ERRORS = 100
 
 @dataclass
 class IngestReport:
-    """Counters of one run. ``errors`` shows the first failures; the store keeps all of them."""
+    """Counters of one run. ``errors`` shows the first failures; the store keeps all of them, and ``unloadable_files`` lists
+    those of a dry run."""
 
     namespace: str
     files_seen: int = 0
@@ -88,6 +89,14 @@ def _summarise(report: IngestReport, rows: DataFrame, path: str) -> None:
         report.errors = [row["error"] for row in shown.collect()]
 
 
+def unloadable_files(spark: SparkSession, source: str) -> DataFrame:
+    """(path, error) of every file with a known suffix that cannot be read or cut: all that a dry run only counts beyond
+    the first ``_SHOWN_ERRORS``."""
+    listed = list_files(spark, source, SUFFIXES)
+    files = listed.select(F.col("listed").alias("path"), "absolute").repartition("path")
+    return _cut(files).where(F.col("error").isNotNull()).select("path", "error")
+
+
 def ingest(
     spark: SparkSession,
     namespace: str,

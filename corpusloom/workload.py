@@ -7,6 +7,8 @@ its whole tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from corpusloom.functions.vectors import embedding_or_error, mock_embedding
 from corpusloom.operators import bm25 as bm
 from corpusloom.operators.answers import PRICES, mock_answers, prompts, token_cost, token_fragments
 from corpusloom.operators.block_max import BlockMaxIndex, block_max_search
-from corpusloom.operators.chunking import code_chunks, doc_chunks
+from corpusloom.operators.chunking import chunk_files, code_chunks, doc_chunks
 from corpusloom.operators.contains import containing
 from corpusloom.operators.dense import dense_search, dense_search_grid
 from corpusloom.operators.fusion import cross_namespace_fuse, hybrid_fuse, rrf
@@ -532,6 +534,17 @@ def whole_file_chunks(spark, sf_dir):
     return doc_chunks(_headed(spark, sf_dir, ".txt", []))
 
 
+def mixed_file_chunks(spark, sf_dir):
+    """One table of files of four kinds, cut by their suffix: by document headed prose, plain text and code."""
+    number = F.regexp_extract("path", r"^\d+", 0).cast("long")
+    remarks = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))  # a source without definitions
+    commented = _headed(spark, sf_dir, ".py", []).withColumn("text", remarks)
+    kinds = [_headed(spark, sf_dir, ".md", MD_STYLES), _headed(spark, sf_dir, ".rst", RST_STYLES), _headed(spark, sf_dir, ".txt", []), commented]
+    files = reduce(DataFrame.unionByName, [kind.where(number % 4 == i) for i, kind in enumerate(kinds)])
+    columns = ["path", "chunk_type", "language", "symbol", "heading_path", "level", "start_line", "end_line", "text"]
+    return chunk_files(files).select(*columns)
+
+
 def py_ast_chunks(spark, sf_dir):
     """User turns rendered as Python sources; other turns are no valid source."""
     source = F.concat(
@@ -729,6 +742,7 @@ QUERIES = {
         md_chunks,
         rst_chunks,
         whole_file_chunks,
+        mixed_file_chunks,
         py_ast_chunks,
         glob_filter,
         prompt_context,

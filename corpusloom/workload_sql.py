@@ -200,6 +200,16 @@ def _sections(headings: str, suffix: str, styles) -> str:
     )
 
 
+def _of_kind(sql: str, number: int) -> str:
+    """Chunks of the documents whose number gives this remainder, as those of prose files."""
+    return f"""SELECT path, 'doc' AS chunk_type, NULL::VARCHAR AS language, symbol, heading_path, level, start_line, end_line, text
+      FROM ({sql}) WHERE regexp_extract(path, '^\\d+')::BIGINT % 4 = {number}"""
+
+
+_WHOLE_FILES = """SELECT path, stem AS symbol, stem AS heading_path, 1 AS level, 1 AS start_line,
+             greatest(1, len(lines))::INT AS end_line, source AS text FROM split"""
+
+
 def _mock_vector(text: str, dim: int) -> str:
     def word(i: int) -> str:
         at = 8 * i + 1
@@ -383,6 +393,16 @@ SQL = {
     "whole_file_chunks": _with(_headed(".txt", []))
     + """SELECT path, stem AS symbol, stem AS heading_path, 1 AS level, 1 AS start_line,
              greatest(1, len(lines))::INT AS end_line, source AS text FROM split""",
+    "mixed_file_chunks": " UNION ALL ".join(
+        [
+            _of_kind(_sections(MD_HEADINGS, ".md", MD_STYLES), 0),
+            _of_kind(_sections(RST_HEADINGS, ".rst", RST_STYLES), 1),
+            _of_kind(_with(_headed(".txt", [])) + _WHOLE_FILES, 2),
+            """SELECT doc_id || '.py', 'code', 'python', doc_id::VARCHAR, NULL, NULL, 1, (len(text) - len(replace(text, chr(10), '')) + 1)::INT,
+                     '# ' || replace(text, chr(10), chr(10) || '# ')
+              FROM documents WHERE doc_id % 4 = 3""",
+        ]
+    ),
     "py_ast_chunks": """WITH turns AS (
         SELECT 'c/' || conv_id || '/' || turn || '.py' AS path, turn, conv_id, role, text,
                len(text) - len(replace(text, chr(10), '')) AS breaks,
