@@ -115,13 +115,14 @@ def test_deleted_files_leave_the_store(spark, tmp_path):
     assert (reports[-1].files_deleted, reports[-1].files_indexed) == (1, 1)
 
 
-def test_all_unreadable_files_of_a_dry_run_are_listed(spark, tmp_path):
-    from corpusloom.plans.ingest import ingest, unloadable_files
+def test_all_unreadable_files_of_a_dry_run_are_listed(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import ingest as plan
 
-    for i in range(130):
-        (tmp_path / f"bad{i}.py").write_text("def (")
     (tmp_path / "good.py").write_text("x = 1\n")
-    report = ingest(spark, "ns", str(tmp_path), dry_run=True)
+    real = plan.list_files
+    gone = spark.createDataFrame([(f"bad{i}.py", str(tmp_path / f"bad{i}.py")) for i in range(130)], "listed string, absolute string")
+    monkeypatch.setattr(plan, "list_files", lambda *a: real(*a).unionByName(gone))
+    report = plan.ingest(spark, "ns", str(tmp_path), dry_run=True)
     assert report.error_count == 130 and len(report.errors) == 100
-    found = unloadable_files(spark, str(tmp_path)).collect()
-    assert len({r.path for r in found}) == 130 and all("bad" in r.error for r in found)
+    found = plan.unloadable_files(spark, str(tmp_path)).collect()
+    assert {r.path for r in found} == {f"bad{i}.py" for i in range(130)} and all("bad" in r.error for r in found)
