@@ -15,7 +15,7 @@ from corpusloom.functions.vectors import get_embedder
 from corpusloom.operators.chunking import chunk_files
 from corpusloom.operators.sync import ADD, DELETE, ERROR, UPDATE, sync_counts, sync_diff
 from corpusloom.sources.chunk_store import ChunkStore
-from corpusloom.sources.embedding_cache import EmbeddingCache
+from corpusloom.sources.embedding_cache import EmbeddingCache, embed_with_cache
 from corpusloom.sources.files import git_shas, list_files, read_files, relative_files, source_exists
 
 SUFFIXES = DOC_SUFFIXES + CODE_SUFFIXES
@@ -171,7 +171,7 @@ def ingest(
         if embed is None:
             embed = get_embedder(settings)
         if cache is not None:
-            rows = cache.embed(payload_rows(cut, namespace, None), embed)
+            rows = embed_with_cache(payload_rows(cut, namespace, None), embed, cache)
         else:
             rows = payload_rows(cut, namespace, embed)
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def fill_misses(texts: DataFrame, cached: DataFrame, embed: Callable[[Column], C
     return missing.select("cache_key", embed(F.col("text")).alias("vector"))
 
 
+def embed_with_cache(chunks: DataFrame, embed: Callable[[Column], Column], cache: EmbeddingCache | None) -> DataFrame:
+    """Chunks with ``embedding``, from the cache where there is one that can be reached, else straight from the encoder.
+
+    Either way a null text has no embedding. A cache that is down costs time, never the run.
+    """
+    if cache is not None and cache.reachable():
+        return cache.embed(chunks, embed)
+    return chunks.withColumn("embedding", F.when(F.col("text").isNotNull(), embed(F.coalesce("text", F.lit("")))))
+
+
 class EmbeddingCache:
     """One table per model, so a changed model never returns stale vectors.
 
@@ -38,6 +50,19 @@ class EmbeddingCache:
         self.path = f"{path.rstrip('/')}/{model_tag(model_name)}/{buckets}-buckets"
         self._name = f"embedding_cache_{hashlib.sha256(self.path.encode()).hexdigest()[:20]}"
 
+    def reachable(self) -> bool:
+        """Whether the cache's folder is there or can be made; if not, a warning says why."""
+        try:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if system.exists(path) or system.mkdirs(path):
+                return True
+            reason = "the folder cannot be made"
+        except Py4JJavaError as problem:
+            reason = str(problem.java_exception)
+        logging.getLogger(__name__).warning("no embedding cache at %s (%s): embedding without", self.path, reason)
+        return False
+
     def _table(self) -> str:
         """The table's name in this session's catalog; its rows live in the folder."""
         location = self.path.replace("'", "\\'")
