@@ -40,6 +40,8 @@ _DROPPED_NAMES = re.compile(
     r"|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar\w*|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Numbers of classes and ids that stand for a page; single digits stand for places, such as columns.
+_NUMBERS = re.compile(r"\d{2,}")
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 #: Opening one of these ends an open paragraph; elements end their own kind.
 _ENDS_PARAGRAPH = _BLOCKS - {"br", "html", "head", "body", "title", "summary"}
@@ -76,12 +78,14 @@ class Element:
 
 
 def element(tag: str, attributes: str) -> Element:
-    """An element's key is its tag with class and id; whether its contents are kept follows from these and its role."""
+    """An element's key is its tag with class and id, numbers in them made alike, as they tell pages and not places;
+    whether its contents are kept follows from these and its role."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = " ".join(filter(None, (found.get("class"), found.get("id"))))
     dropped = tag in _DROPPED or found.get("role", "").lower() in _DROPPED_ROLES
     dropped |= bool(names) and tag not in ("html", "body", "article", "main") and bool(_DROPPED_NAMES.search(names))
     key = tag + "".join("." + c for c in found.get("class", "").split()) + ("#" + found["id"] if found.get("id") else "")
+    key = _NUMBERS.sub("0", key)
     if found.get("role", "").lower() == "main":
         key = "main"
     return Element(tag, key.replace(" ", ""), dropped)
@@ -248,10 +252,14 @@ def region(wrapper: Wrapper) -> str:
             names = re.sub(r"[.#]", " ", key[len(tag) :])
             stack.append((key, tag in _DROPPED or (tag not in ("html", "body", "article", "main") and bool(_DROPPED_NAMES.search(names)))))
     tag_of = lambda key: re.split(r"[.#]", key, maxsplit=1)[0]
+    max_mass = lambda keys: sum(masses[k] for k in keys if depths[k] == min(depths[o] for o in keys))
     for wanted in ("article", "main"):
         found = [k for k in masses if tag_of(k) == wanted and 2 * masses[k] >= total]
         if found:
             return min(found, key=lambda k: (depths[k], -masses[k], k))
+        alike = [k for k in masses if tag_of(k) == wanted]
+        if 2 * max_mass(alike) >= total > 0:
+            return min(alike, key=lambda k: (-masses[k], depths[k], k))  # one of several templates of the host
     large = [k for k in masses if tag_of(k) in ("div", "section", "td") and masses[k] >= REGION_SHARE * total]
     return max(large, key=lambda k: (depths[k], k)) if large else ""
 
@@ -259,9 +267,12 @@ def region(wrapper: Wrapper) -> str:
 def extract(page: str, key: str) -> str:
     """Blocks of the page's region, one to a line: character references decoded, white space made one space.
 
-    The region is every outermost element with the key; a page without it gives the whole body.
+    The region is every outermost element with the key; in a page of another template, without it, every outermost
+    article or main, if that is what the key's element is; else the whole body.
     """
-    for attempt in ([key, ""] if key else [""]):
+    tag = re.split(r"[.#]", key, maxsplit=1)[0]
+    for attempt in [*([key] if key else []), *([tag] if tag in ("article", "main") and tag != key else []), ""]:
+        by_tag = attempt == tag != key
         blocks: list[str] = []
         parts: list[str] = []
         seen = not attempt
@@ -284,7 +295,7 @@ def extract(page: str, key: str) -> str:
                 flush()
             step = 1 if kind == "open" else -1
             dropped += step * top.dropped
-            if attempt and top.key == attempt:
+            if attempt and (top.tag if by_tag else top.key) == attempt:
                 depth += step
                 seen = True
         flush()

@@ -82,3 +82,21 @@ def test_wrappers_do_not_depend_on_the_partitioning(spark):
 
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_two_templates_and_ids_of_pages(spark):
+    """News pages are fewer than blog pages, and each page has a number in its ids: every page gives its own article."""
+    menu = "<ul><li>start</li><li>about us and more words than usual in a menu</li></ul>"
+    blog = lambda i: f'<body>{menu}<article id="post-{100 + i}" class="blog entry-{100 + i}"><p>blog {i} {"word " * 40}</p></article><p>end of all pages</p></body>'
+    news = lambda i: f'<body>{menu}<article class="news"><p>news {i} {"text " * 40}</p></article><p>end of all pages</p></body>'
+    rows = [(i, f"http://two.example/{i}", blog(i) if i % 5 < 3 else news(i), "t", 1) for i in range(30)]
+    for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect():
+        kind, word = ("blog", "word") if r.page_id % 5 < 3 else ("news", "text")
+        assert r.text == f"{kind} {r.page_id} " + " ".join([word] * 40)
+
+
+def test_many_templates_of_which_none_is_common(spark):
+    page = lambda i: f'<body><p>menu</p><article class="{"abcdefg"[i % 7]}"><p>own {i} {"word " * 30}</p></article><p>end</p></body>'
+    rows = [(i, f"http://many.example/{i}", page(i), "t", 1) for i in range(28)]
+    for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.text == f"own {r.page_id} " + " ".join(["word"] * 30)
