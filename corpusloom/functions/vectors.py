@@ -89,6 +89,17 @@ def embedding_or_error(text: Column, load_model: Callable[[], EncoderModel], bat
     return encode(text)
 
 
+def _model_by_name(settings: Settings) -> Callable[[], EncoderModel]:
+    def load() -> EncoderModel:
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(settings.dense_model_name)
+        model.max_seq_length = settings.max_seq_length
+        return model
+
+    return load
+
+
 def get_embedder(
     settings: Settings | None = None, load_model: Callable[[], EncoderModel] | None = None
 ) -> Callable[[Column], Column]:
@@ -97,14 +108,17 @@ def get_embedder(
     if settings.use_mock_embeddings:
         return lambda text: mock_embedding(text, settings.dense_dim)
 
-    def load_by_name() -> EncoderModel:
-        from sentence_transformers import SentenceTransformer
+    return lambda text: model_embedding(text, load_model or _model_by_name(settings), settings.embed_batch_size)
 
-        model = SentenceTransformer(settings.dense_model_name)
-        model.max_seq_length = settings.max_seq_length
-        return model
 
-    return lambda text: model_embedding(text, load_model or load_by_name, settings.embed_batch_size)
+def get_embedder_or_error(
+    settings: Settings | None = None, load_model: Callable[[], EncoderModel] | None = None
+) -> Callable[[Column], Column]:
+    """The same strategy as (vector, error) of each text; mock vectors never fail."""
+    settings = settings or get_settings()
+    if settings.use_mock_embeddings:
+        return lambda text: F.struct(mock_embedding(text, settings.dense_dim).alias("vector"), F.lit(None).cast("string").alias("error"))
+    return lambda text: embedding_or_error(text, load_model or _model_by_name(settings), settings.embed_batch_size)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -36,7 +36,7 @@ class EvalReport:
         if min_recall is None:
             return True
         if self.evaluated == 0:
-            return not self.reasons and self.error is None
+            return not self.reasons and not self.skipped and self.error is None
         return self.aggregate["recall_at_10"] >= min_recall
 
 
