@@ -39,6 +39,46 @@ def by_namespace(batch: pa.RecordBatch, known, width: int) -> Iterator[tuple[str
         start = end
 
 
+def cuts(sizes: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring items, begin and end, of at most ``bound`` in all; a larger item is a range of its own."""
+    ends = np.cumsum(sizes)
+    ranges, at = [], 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + bound, side="right")))
+        ranges.append((at, end))
+        at = end
+    return ranges
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of sorted rows with the starts of their runs of equal keys, none of which is cut between two tables."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        table = table.combine_chunks()
+        starts = _run_starts(table, keys)
+        last = starts[-1] if len(starts) else 0
+        held = table.slice(last)
+        if last:
+            yield table.slice(0, last), starts[:-1]
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def _run_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    if not table.num_rows:
+        return np.zeros(0, np.int64)
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for key in keys:
+        column = table.column(key)
+        differs = pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1))
+        new[1:] |= differs.to_numpy(zero_copy_only=False) if isinstance(differs, pa.Array) else differs.to_numpy()
+    return np.flatnonzero(new)
+
+
 class PartialTopK:
     """Running cut-offs of one task: a score below the current k-th best is not passed on."""
 
@@ -62,6 +102,12 @@ class PartialTopK:
         np.maximum(floors, cut, out=floors)
         return kept
 
+    def kept(self, namespace: str, slots: np.ndarray, scores: np.ndarray, positive_only: bool = False) -> np.ndarray:
+        """Mask of the surviving cells of a (rows in their order x slots) block."""
+        floors = self._floors.setdefault(namespace, np.full(len(slots), -np.inf))
+        kept = self._first_k(np.floor(scores * float(10**ORDER_DIGITS) + 0.5), floors)
+        return kept & (scores > 0) if positive_only else kept
+
     def rows(
         self,
         namespace: str,
@@ -71,11 +117,7 @@ class PartialTopK:
         positive_only: bool = False,
     ) -> pa.RecordBatch:
         """Surviving cells of a (documents in id order x slots) block."""
-        floors = self._floors.setdefault(namespace, np.full(len(slots), -np.inf))
-        kept = self._first_k(np.floor(scores * float(10**ORDER_DIGITS) + 0.5), floors)
-        if positive_only:
-            kept &= scores > 0
-        docs, columns = np.nonzero(kept)
+        docs, columns = np.nonzero(self.kept(namespace, slots, scores, positive_only))
         return pa.RecordBatch.from_arrays(
             [
                 self._query_ids.take(pa.array(slots[columns])),

@@ -24,20 +24,24 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import Settings, get_settings
 from corpusloom.functions.text import term_counts, tokenize
 from corpusloom.operators.batches import QueryBatch, as_batch
-from corpusloom.operators.blocks import PartialTopK, by_namespace, id_array
+from corpusloom.operators.blocks import PartialTopK, by_namespace, cuts, id_array
 from corpusloom.operators.bounds import MAX_BROADCAST_ROWS, count_up_to, hint_small
 from corpusloom.operators.ranking import by_score, top_k
 
 TERM_BUCKETS = 64
 MAX_PUSHED_VALUES = 1000
 MAX_BLOCK_WEIGHTS = 500_000
+#: Tokens that are scored at a time; a longer document is a slice of its own.
+SLICE_TOKENS = 1 << 18
+#: (document, term, query) entries that are added up at a time; a document with more is taken alone.
+MAX_ENTRIES = 1 << 19
 _TOTALS = ""
 
 
@@ -286,7 +290,7 @@ def query_weights(
 
 
 def _block_scorer(sent: Broadcast, k: int, k1: float, b: float):
-    """Arrow batches of (doc_id, namespace, dl, tokens) to partial top-k rows.
+    """Arrow batches of (doc_id, namespace, dl, tokens) to partial top-k rows, in slices of bounded size.
 
     ``sent`` holds the query ids and per namespace: the query terms, avgdl, the query slots, and for each term
     code the run of (slot column, weight) entries that mention it.
@@ -296,7 +300,8 @@ def _block_scorer(sent: Broadcast, k: int, k1: float, b: float):
         query_ids, weights = sent.value
         best = PartialTopK(query_ids, k)
         for batch in batches:
-            for namespace, part in by_namespace(batch, weights, len(query_ids)):
+            slices = (batch.slice(at, end - at) for at, end in cuts(batch.column("dl").to_numpy(), SLICE_TOKENS))
+            for namespace, part in (found for rows in slices for found in by_namespace(rows, weights, len(query_ids))):
                 vocabulary, avgdl, slots, first, length, columns, values = weights[namespace]
                 tokens = part.column("tokens").combine_chunks()
                 codes = pc.index_in(tokens.flatten(), vocabulary)
@@ -310,16 +315,20 @@ def _block_scorer(sent: Broadcast, k: int, k1: float, b: float):
                 doc, code = np.divmod(pairs, len(vocabulary))
                 saturation = tf / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
 
-                repeats = length[code]
-                entry = np.repeat(first[code] - np.cumsum(repeats) + repeats, repeats)
-                entry += np.arange(len(entry))
-                cells = np.repeat(doc, repeats) * len(slots) + columns[entry]
-                scores = np.bincount(
-                    cells,
-                    np.repeat(saturation, repeats) * values[entry],
-                    minlength=part.num_rows * len(slots),
-                )
-                scores = scores.astype(np.float64).reshape(part.num_rows, len(slots))
+                entries = np.bincount(doc, length[code], minlength=part.num_rows).astype(np.int64)
+                scores = np.empty((part.num_rows, len(slots)))
+                for at, end in cuts(entries, MAX_ENTRIES):  # whole documents, so that no sum changes its order
+                    own = slice(*np.searchsorted(doc, (at, end)))
+                    repeats = length[code[own]]
+                    entry = np.repeat(first[code[own]] - np.cumsum(repeats) + repeats, repeats)
+                    entry += np.arange(len(entry))
+                    cells = np.repeat(doc[own] - at, repeats) * len(slots) + columns[entry]
+                    added = np.bincount(
+                        cells,
+                        np.repeat(saturation[own], repeats) * values[entry],
+                        minlength=(end - at) * len(slots),
+                    )
+                    scores[at:end] = added.reshape(end - at, len(slots))
                 doc_ids = part.column("doc_id").combine_chunks()
                 yield best.rows(namespace, slots, doc_ids, scores, positive_only=True)
 

@@ -45,8 +45,8 @@ def containing(texts: DataFrame, passages: DataFrame, passage_bytes: int = PASSA
                 automaton.make_automaton()
             for batch in batches if of_passage else ():
                 row, query = [], []
-                for i, text in enumerate(batch.column(len(kept)).to_pylist()):
-                    for passage in {p for _, p in automaton.iter(text or "")}:
+                for i, text in enumerate(batch.column(len(kept))):
+                    for passage in {p for _, p in automaton.iter(text.as_py() or "")}:
                         row += [i] * len(of_passage[passage])
                         query += of_passage[passage]
                 ids = sent.value.column("query_id").combine_chunks().take(pa.array(query, pa.int64()))

@@ -242,3 +242,40 @@ def test_hybrid_search_end_to_end(spark, tables):
     assert [h["doc_id"] for h in debug["q1"]["dense_top"]] == near
     assert [h["doc_id"] for h in debug["q1"]["rrf_top"]] == [d for d, _ in final]
     assert debug["q6"]["bm25_top"] == []
+
+
+def test_scoring_takes_documents_in_slices(spark, monkeypatch):
+    """What a task holds at a time is bounded, whatever the size of an Arrow batch; hits stay the same."""
+    seen = []
+
+    def cuts(sizes, bound):
+        found = blocks.cuts(sizes, bound)
+        seen.append(max((int(sum(sizes[a:b])) for a, b in found if b - a > 1), default=0) <= bound)
+        return found
+
+    import pyarrow as pa
+
+    from corpusloom.operators import blocks
+
+    monkeypatch.setattr(bm, "SLICE_TOKENS", 30)
+    monkeypatch.setattr(bm, "MAX_ENTRIES", 4)
+    monkeypatch.setattr(bm, "cuts", cuts)
+    weights = {"a": (pa.array(["blue", "red"]), 4.0, np.array([0, 1]), np.array([0, 2]), np.array([2, 1]), np.array([0, 1, 0]), np.array([1.0, 2.0, 0.5]))}
+
+    class Sent:
+        value = (pa.array(["p", "q"]), weights)
+
+    texts = [["red", "blue"] * (i % 7) + ["grey"] * (i % 5) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([f"{i:03}" for i in range(60)]), pa.array(["a"] * 60), pa.array([len(t) for t in texts], pa.int32()), pa.array(texts, pa.list_(pa.string()))],
+        names=["doc_id", "namespace", "dl", "tokens"],
+    )
+    parts = list(bm._block_scorer(Sent, 60, 1.2, 0.75)([batch]))
+    got = {(q, d): s for part in parts for q, _, d, s in zip(*(c.to_pylist() for c in part.columns))}
+    assert len(parts) > 5 and all(seen) and len(seen) > len(parts)
+    want = {}
+    for i, text in enumerate(texts):
+        for term, query, weight in (("blue", "p", 1.0), ("blue", "q", 2.0), ("red", "p", 0.5)):
+            if tf := text.count(term):
+                want[query, f"{i:03}"] = want.get((query, f"{i:03}"), 0) + weight * tf / (tf + 1.2 * (0.25 + 0.75 * len(text) / 4.0))
+    assert got == pytest.approx(want)
