@@ -162,12 +162,13 @@ def _bucketed(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """Tokens or postings, document frequencies and per-namespace figures."""
+    """Tokens or postings, document frequencies and per-namespace figures; ``totals`` are what a written index has its figures from."""
 
     frequencies: DataFrame
     means: DataFrame
     tokens: DataFrame | None = None
     postings: DataFrame | None = None
+    totals: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame) -> Bm25Index:
@@ -176,7 +177,8 @@ class Bm25Index:
         statistics = term_statistics(tokens)
         frequencies = document_frequencies(statistics)
         means = mean_idf(frequencies, namespace_stats(statistics))
-        return cls(frequencies, means, tokens=tokens)
+        totals = tokens.groupBy("namespace").agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+        return cls(frequencies, means, tokens=tokens, totals=totals)
 
     def term_rows(self) -> DataFrame:
         return self.postings if self.postings is not None else term_frequencies(self.tokens)
@@ -187,6 +189,7 @@ class Bm25Index:
         kept = {
             name: part.persist(level) if part is not None else None
             for name, part in vars(self).items()
+            if name != "totals"
         }
         return Bm25Index(**kept)
 
@@ -198,28 +201,41 @@ class Bm25Index:
     def write(self, path: str, salts: int = 8) -> None:
         """Store the index inverted: partitions by namespace and term bucket, files by term.
 
-        A search opens only the buckets of its own terms (``pruned``). The salt spreads the postings of a frequent term over several files.
+        A search opens only the buckets of its own terms (``pruned``). The salt spreads the postings of a frequent term over several files;
+        adaptive execution splits what is still larger than its advisory size, so a task sorts no more of a larger corpus.
         """
         (
             _bucketed(self.term_rows())
-            .repartition("namespace", "term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+            .withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+            .hint("rebalance", "namespace", "term_bucket", "_salt")
             .sortWithinPartitions("namespace", "term_bucket", "term")
+            .drop("_salt")
             .write.partitionBy("namespace", "term_bucket")
             .mode("overwrite")
             .parquet(f"{path}/postings")
         )
-        self.write_figures(path)
+        self.write_figures(path, _bucketed(self.term_rows()), F.count("*"))
 
-    def write_figures(self, path: str) -> None:
-        """The document frequencies by term bucket, and the figures of namespaces."""
+    def write_figures(self, path: str, rows: DataFrame, documents: Column) -> None:
+        """The document frequencies by term bucket, and the figures of namespaces.
+
+        Frequencies are added up from the term column of the written ``rows``, ``documents`` counting the chunks of a
+        term, so the words of the corpus are not counted a second time.
+        """
+        read = rows.sparkSession.read
+        frequencies, means = _bucketed(self.frequencies), self.means
+        if self.totals is not None:
+            stored = read.schema(rows.schema).parquet(f"{path}/postings")
+            frequencies = stored.groupBy("namespace", "term", "term_bucket").agg(documents.alias("n"))
         (
-            _bucketed(self.frequencies)
-            .repartition("term_bucket")
+            frequencies.hint("rebalance", "term_bucket")
             .write.partitionBy("term_bucket")
             .mode("overwrite")
             .parquet(f"{path}/frequencies")
         )
-        self.means.write.mode("overwrite").parquet(f"{path}/means")
+        if self.totals is not None:
+            means = mean_idf(read.schema(frequencies.schema).parquet(f"{path}/frequencies"), self.totals)
+        means.write.mode("overwrite").parquet(f"{path}/means")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Bm25Index:

@@ -279,3 +279,24 @@ def test_scoring_takes_documents_in_slices(spark, monkeypatch):
             if tf := text.count(term):
                 want[query, f"{i:03}"] = want.get((query, f"{i:03}"), 0) + weight * tf / (tf + 1.2 * (0.25 + 0.75 * len(text) / 4.0))
     assert got == pytest.approx(want)
+
+
+def test_written_index_is_split_by_size_and_keeps_its_figures(spark, tmp_path):
+    """No task sorts all of a frequent bucket; the figures are those of the corpus."""
+    rows = [(str(i), "a", "red " * (i % 3 + 1) + f"w{i}") for i in range(400)] + [("x", "b", "--")]
+    index = bm.Bm25Index.build(spark.createDataFrame(rows, "doc_id string, namespace string, text string"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256")
+        index.write(str(tmp_path), salts=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = spark.read.parquet(f"{tmp_path}/postings").where("term = 'red'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+    stored = bm.Bm25Index.read(spark, str(tmp_path))
+
+    def same(a, b, *columns):
+        return sorted(a.select(*columns).collect()) == sorted(b.select(*columns).collect())
+
+    assert same(stored.frequencies, index.frequencies, "namespace", "term", "n")
+    assert same(stored.means.where("namespace = 'a'"), index.means, "namespace", "n_docs", "avgdl")
