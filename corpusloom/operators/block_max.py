@@ -8,8 +8,13 @@ blocks whose ceiling reaches the k-th score found. Hits and scores are those of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,11 +22,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, get_settings
 from corpusloom.operators.batches import QueryBatch, as_batch
+from corpusloom.operators.blocks import MAX_CELLS, PartialTopK, cuts, id_array, whole_runs
 from corpusloom.operators.bm25 import (
     MAX_BLOCK_WEIGHTS,
+    MAX_ENTRIES,
+    SLICE_TOKENS,
     Bm25Index,
     _bucketed,
     _most_terms,
+    _packed_weights,
     query_terms,
     query_weights,
 )
@@ -33,7 +42,11 @@ BLOCK_DOCS = 64
 _CLASSES = 4
 #: Lengths of a namespace are taken to fill about so many classes evenly.
 _FILLED = 8
+#: Documents that one task cuts into lists, and postings of one task of a search.
+_TASK_DOCS = 4096
+_TASK_POSTINGS = 1 << 18
 _GROUP = ["query_id", "namespace"]
+_BLOCK = ["namespace", "block"]
 _SLACK = 1e-9
 
 
@@ -44,29 +57,33 @@ class BlockMaxIndex:
     lists: DataFrame
     frequencies: DataFrame
     means: DataFrame
+    totals: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, block_docs: int = BLOCK_DOCS) -> BlockMaxIndex:
         index = Bm25Index.build(chunks)
-        largest = index.tokens.groupBy("namespace").count().agg(F.max("count")).first()[0] or 0
+        sizes = index.tokens.groupBy("namespace").count().agg(F.max("count"), F.sum("count")).first()
+        largest, docs = (size or 0 for size in sizes)
         parts = max(1, -(-largest // (block_docs * _FILLED)))
         length = F.floor(_CLASSES * F.log2(F.col("dl") + 1)).cast("long")
         block = length * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-        rows = _bucketed(index.term_rows().withColumn("block", block))
-        lists = rows.groupBy("namespace", "term_bucket", "term", "block").agg(
-            F.count("*").alias("n"),
-            F.max("tf").alias("max_tf"),
-            F.min("dl").alias("min_dl"),
-            F.collect_list(F.struct("doc_id", "dl", "tf")).alias("postings"),
+        rows = index.tokens.select("doc_id", "namespace", "dl", "tokens", block.alias("block"))
+        whole = rows.repartition(max(1, -(-docs // _TASK_DOCS)), *_BLOCK).sortWithinPartitions(*_BLOCK)
+        doc_type = rows.schema["doc_id"].dataType.simpleString()
+        lists = whole.mapInArrow(
+            _cut_lists,
+            f"namespace string, term string, block long, n long, max_tf int, min_dl int, postings array<struct<doc_id: {doc_type}, dl: int, tf: int>>",
         )
-        return cls(lists, _bucketed(index.frequencies), index.means)
+        return cls(_bucketed(lists), _bucketed(index.frequencies), index.means, index.totals)
 
     def write(self, path: str, salts: int = 1) -> None:
-        """Partitions by namespace and term bucket, each in ``salts`` files, rows in the order of terms and blocks."""
-        dealt = self.lists.repartition("namespace", "term_bucket", F.pmod(F.xxhash64("block"), F.lit(salts)))
-        ordered = dealt.sortWithinPartitions("namespace", "term_bucket", "term", "block")
+        """Partitions by namespace and term bucket, each in ``salts`` files or, where adaptive execution splits what is larger
+        than its advisory size, more; rows in the order of terms and blocks."""
+        salted = self.lists.withColumn("_salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+        dealt = salted.hint("rebalance", "namespace", "term_bucket", "_salt")
+        ordered = dealt.sortWithinPartitions("namespace", "term_bucket", "term", "block").drop("_salt")
         ordered.write.partitionBy("namespace", "term_bucket").mode("overwrite").parquet(f"{path}/postings")
-        Bm25Index(self.frequencies, self.means).write_figures(path)
+        Bm25Index(self.frequencies, self.means, totals=self.totals).write_figures(path, self.lists, F.sum("n"))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> BlockMaxIndex:
@@ -77,6 +94,45 @@ class BlockMaxIndex:
         return Bm25Index(self.frequencies, self.means, postings=self.lists)
 
 
+def _cut_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of whole blocks of documents (doc_id, namespace, dl, tokens, block), in the order of blocks."""
+    for table, starts in whole_runs(batches, _BLOCK):
+        ends = np.append(starts[1:], table.num_rows)
+        lengths = table.column("dl").to_numpy()
+        for at, end in cuts(np.add.reduceat(lengths, starts, dtype=np.int64), SLICE_TOKENS):
+            rows = table.slice(starts[at], ends[end - 1] - starts[at]).combine_chunks()
+            words = pc.list_flatten(rows.column("tokens")).combine_chunks().dictionary_encode()
+            if not len(words):
+                continue
+            terms, dl = words.dictionary, rows.column("dl").to_numpy()
+            block = np.repeat(np.arange(end - at), (ends - starts)[at:end])
+            owner = np.repeat(np.arange(len(dl)), dl)
+            pairs, tf = np.unique(owner * len(terms) + words.indices.to_numpy(), return_counts=True)
+            doc, code = np.divmod(pairs, len(terms))
+            lists = block[doc] * len(terms) + code
+            order = lists.argsort(kind="stable")
+            doc, code, tf, lists = doc[order], code[order], tf[order], lists[order]
+            first = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+            offsets = np.append(first, len(doc))
+            own = pa.array(doc[first])
+            postings = pa.StructArray.from_arrays(
+                [rows.column("doc_id").combine_chunks().take(pa.array(doc)), pa.array(dl[doc].astype(np.int32)), pa.array(tf.astype(np.int32))],
+                names=["doc_id", "dl", "tf"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("namespace").combine_chunks().take(own),
+                    terms.take(pa.array(code[first])),
+                    rows.column("block").combine_chunks().take(own),
+                    pa.array(np.diff(offsets)),
+                    pa.array(np.maximum.reduceat(tf, first).astype(np.int32)),
+                    pa.array(np.minimum.reduceat(dl[doc], first).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), postings),
+                ],
+                names=["namespace", "term", "block", "n", "max_tf", "min_dl", "postings"],
+            )
+
+
 @dataclass(frozen=True)
 class BlockMaxSearch:
     """The blocks that are scored first, those that still may hold a hit, and the hits.
@@ -129,6 +185,182 @@ def _scores(lists: DataFrame, weights: DataFrame, blocks: DataFrame, keys: list[
     return postings.groupBy(*_GROUP, "doc_id").agg(score.alias("score")).where("score > 0")
 
 
+def _entries(code: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row with a term the runs of its queries: row, and place among the entries of ``_packed_weights``."""
+    repeats = length[code]
+    entry = np.repeat(first[code] - np.cumsum(repeats) + repeats, repeats) + np.arange(int(repeats.sum()))
+    return np.repeat(np.arange(len(code)), repeats), entry
+
+
+@dataclass(frozen=True)
+class _InTasks:
+    """The steps of a search whose weights are shipped: tasks get whole blocks, their lists of the asked terms in order.
+
+    A task works on (blocks x queries) and (documents x queries) of bounded size, so what it holds and what it sends
+    on does not grow with the corpus.
+    """
+
+    query_ids: pa.Array
+    weights: dict[str, tuple]
+    k: int
+    k1: float
+    b: float
+
+    def _parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table, np.ndarray, np.ndarray]]:
+        """(namespace, lists of some whole blocks, number of each list's block, blocks)."""
+        for table, starts in whole_runs(batches, _BLOCK):
+            names = table.column("namespace").take(pa.array(starts)).to_pylist()
+            ends = np.append(starts[1:], table.num_rows)
+            sizes = np.add.reduceat(table.column("n").to_numpy(), starts)
+            new = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+            for low, high in zip(new, [*new[1:], len(names)], strict=True):
+                if names[low] not in self.weights:
+                    continue
+                # no more documents than postings, and no more entries than postings x queries
+                bound = max(1, min(MAX_CELLS, 8 * MAX_ENTRIES) // max(1, len(self.weights[names[low]][2])))
+                for at, end in cuts(sizes[low:high], bound):
+                    at, end = low + at, low + end
+                    rows = table.slice(starts[at], ends[end - 1] - starts[at]).combine_chunks()
+                    number = np.repeat(np.arange(end - at), (ends - starts)[at:end])
+                    yield names[low], rows, number, rows.column("block").to_numpy()[starts[at:end] - starts[at]]
+
+    def _saturation(self, tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+        return tf / (tf + self.k1 * (1 - self.b + self.b * dl / avgdl))
+
+    def _codes(self, namespace: str, rows: pa.Table) -> np.ndarray:
+        """Places of the terms in the vocabulary; every row has one that is asked for."""
+        return pc.index_in(rows.column("term").combine_chunks(), self.weights[namespace][0]).to_numpy()
+
+    def _ceilings(self, namespace: str, rows: pa.Table, number: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ceilings and matches of (blocks x queries), as ``_ceilings`` has them."""
+        _, avgdl, slots, first, length, columns, values = self.weights[namespace]
+        row, entry = _entries(self._codes(namespace, rows), first, length)
+        counts = values[entry] > 0
+        row, entry = row[counts], entry[counts]
+        n, tf, dl = (rows.column(c).to_numpy() for c in ("n", "max_tf", "min_dl"))
+        cells = number[row] * len(slots) + columns[entry]
+        shape = len(blocks), len(slots)
+        ceilings = np.bincount(cells, self._saturation(tf, dl, avgdl)[row] * values[entry], minlength=shape[0] * shape[1])
+        matched = np.zeros(shape[0] * shape[1], np.int64)
+        np.maximum.at(matched, cells, n[row])
+        return ceilings.astype(np.float64).reshape(shape), matched.reshape(shape)
+
+    def leading(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(query_id, namespace, block, ceiling, matched) that can be among the ``k`` highest ceilings."""
+        best = PartialTopK(self.query_ids, self.k)
+        for namespace, rows, number, blocks in self._parts(batches):
+            slots = self.weights[namespace][2]
+            ceilings, matched = self._ceilings(namespace, rows, number, blocks)
+            at, column = np.nonzero(best.kept(namespace, slots, ceilings, positive_only=True))
+            yield self._blocks(namespace, slots[column], blocks[at], ceilings[at, column], matched[at, column])
+
+    def _blocks(self, namespace: str, slots: np.ndarray, blocks: np.ndarray, ceilings: np.ndarray, matched: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(np.full(len(slots), namespace, dtype=object), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [self.query_ids.take(pa.array(slots)), names, pa.array(blocks), pa.array(ceilings), pa.array(matched)],
+            names=["query_id", "namespace", "block", "ceiling", "matched"],
+        )
+
+    def _wanted(self, namespace: str, blocks: np.ndarray, known: dict[tuple[str, int], list[int]]) -> np.ndarray:
+        """Mask of (blocks x queries): the pairs in ``known``, which has the slots of some blocks."""
+        slots = self.weights[namespace][2]
+        mask = np.zeros((len(blocks), len(slots)), bool)
+        for i, block in enumerate(blocks.tolist()):
+            if (namespace, block) in known:
+                mask[i, np.searchsorted(slots, known[namespace, block])] = True
+        return mask
+
+    def _reached(self, namespace: str, rows: pa.Table, number: np.ndarray, blocks: np.ndarray, known: dict, floors: dict[str, np.ndarray]):
+        """Ceilings, matches and the mask of what is not ``known`` and can hold a hit above the floors."""
+        ceilings, matched = self._ceilings(namespace, rows, number, blocks)
+        floor = floors[namespace][self.weights[namespace][2]]
+        mask = (ceilings > 0) & (ceilings * (1 + _SLACK) + 2 * _SLACK >= floor) & ~self._wanted(namespace, blocks, known)
+        return ceilings, matched, mask
+
+    def rest(self, batches: Iterator[pa.RecordBatch], known: dict, floors: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """(query_id, namespace, block, ceiling, matched) of blocks that can hold a hit besides the known ones."""
+        for namespace, rows, number, blocks in self._parts(batches):
+            ceilings, matched, mask = self._reached(namespace, rows, number, blocks, known, floors)
+            at, column = np.nonzero(mask)
+            yield self._blocks(namespace, self.weights[namespace][2][column], blocks[at], ceilings[at, column], matched[at, column])
+
+    def scores(self, batches: Iterator[pa.RecordBatch], known: dict, floors: dict[str, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+        """Partial top-k rows of the known blocks; with floors, of the others that can hold a hit."""
+        best = PartialTopK(self.query_ids, self.k)
+        for namespace, rows, number, blocks in self._parts(batches):
+            if floors is None:
+                mask = self._wanted(namespace, blocks, known)
+            else:
+                mask = self._reached(namespace, rows, number, blocks, known, floors)[2]
+            scored = np.flatnonzero(mask.any(axis=1)[number])
+            if not len(scored):
+                continue
+            _, avgdl, slots, first, length, columns, values = self.weights[namespace]
+            code = self._codes(namespace, rows)[scored]
+            lists = rows.column("postings").combine_chunks().take(pa.array(scored))
+            owner = np.repeat(np.arange(len(scored)), np.asarray(lists.value_lengths()))
+            postings = lists.flatten()
+            ids = postings.field("doc_id").dictionary_encode(null_encoding="encode")
+            tf, dl = (postings.field(c).to_numpy() for c in ("tf", "dl"))
+            order = pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            # a document is told by its id and block
+            pairs, doc = np.unique(place[ids.indices.to_numpy()] * len(blocks) + number[scored][owner], return_inverse=True)
+            saturation = self._saturation(tf, dl, avgdl)
+            scores = np.zeros(len(pairs) * len(slots))
+            for at, end in cuts(length[code[owner]], MAX_ENTRIES):
+                row, entry = _entries(code[owner[at:end]], first, length)
+                cells = doc[at:end][row] * len(slots) + columns[entry]
+                scores += np.bincount(cells, saturation[at:end][row] * values[entry], minlength=len(scores))
+            scores = np.where(mask[pairs % len(blocks)], scores.reshape(len(pairs), len(slots)), 0.0)
+            doc_ids = ids.dictionary.take(pa.array(order[pairs // len(blocks)]))
+            yield best.rows(namespace, slots, doc_ids, scores, positive_only=True)
+
+
+def _search_in_tasks(stored: Bm25Index, weights: DataFrame, keys: list[str], batch: QueryBatch, k: int, settings: Settings) -> BlockMaxSearch:
+    """The search of a batch whose weights, and so the blocks to score first, are few enough to ship."""
+    spark = stored.postings.sparkSession
+    found = weights.select("query_id", "namespace", "term", "weight", "avgdl").toArrow().to_pandas()
+    ids = found["query_id"].drop_duplicates()
+    query_type = weights.schema["query_id"].dataType
+    packed = _packed_weights(found, pd.Series(range(len(ids)), index=ids.array))
+    sent = spark.sparkContext.broadcast(_InTasks(id_array(ids.to_list(), query_type), packed, k, settings.bm25_k1, settings.bm25_b))
+
+    terms = weights.select(*keys).distinct()
+    lists = stored.postings.join(F.broadcast(terms), keys, "left_semi")
+    total = stored.frequencies.join(F.broadcast(terms), keys, "left_semi").agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // _TASK_POSTINGS))
+
+    def whole(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select("namespace", "term", "block", "n", *columns).repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK)
+
+    block_type = f"query_id {query_type.simpleString()}, namespace string, block long, ceiling double, matched long"
+    doc_type = stored.postings.schema["postings"].dataType.elementType["doc_id"].dataType.simpleString()
+    hit_type = f"query_id {query_type.simpleString()}, namespace string, doc_id {doc_type}, score double"
+    order = [by_score("score"), F.col("doc_id")]
+
+    bounds = whole(lists, "max_tf", "min_dl")
+    best = bounds.mapInArrow(lambda batches: sent.value.leading(batches), block_type)
+    first = _promising(best, k).persist(StorageLevel.MEMORY_AND_DISK)
+    slots = dict(zip(ids, range(len(ids)), strict=True))
+    known: dict[tuple[str, int], list[int]] = {}
+    for query_id, namespace, block in zip(*(c.to_pylist() for c in first.select(*_GROUP, "block").toArrow().columns), strict=True):
+        known.setdefault((namespace, block), []).append(slots[query_id])
+    shipped = spark.sparkContext.broadcast(known)
+    chosen = whole(lists.join(F.broadcast(first.select(*_BLOCK).distinct()), _BLOCK, "left_semi"), "max_tf", "min_dl", "postings")
+    leading = top_k(chosen.mapInArrow(lambda batches: sent.value.scores(batches, shipped.value), hit_type), _GROUP, order, k)
+    leading = leading.persist(StorageLevel.MEMORY_AND_DISK)
+    # a k-th score is a floor; a query with fewer hits has none, and all its blocks are scored
+    floors = {namespace: np.full(len(ids), -np.inf) for namespace in packed}
+    for row in leading.where(F.col("rank") == k - 1).select(*_GROUP, "score").collect():
+        floors[row["namespace"]][slots[row["query_id"]]] = row["score"]
+    rest = bounds.mapInArrow(lambda batches: sent.value.rest(batches, shipped.value, floors), block_type).select(*_GROUP, "block")
+    others = whole(lists, "max_tf", "min_dl", "postings").mapInArrow(lambda batches: sent.value.scores(batches, shipped.value, floors), hit_type)
+    hits = top_k(leading.drop("rank").unionByName(others), _GROUP, order, k)
+    return BlockMaxSearch(first, rest, hits, (first, leading))
+
+
 def block_max_search(
     index: BlockMaxIndex,
     queries: DataFrame | QueryBatch,
@@ -145,6 +377,8 @@ def block_max_search(
     weights, rows = query_weights(stored, batch, settings)
     small = rows <= MAX_BROADCAST_ROWS
     keys = [c for c in ("namespace", "term", "term_bucket") if c in weights.columns]
+    if batch.bounded and rows <= MAX_BLOCK_WEIGHTS:
+        return _search_in_tasks(stored, weights, keys, batch, k, settings)
     lists = stored.postings
     order = [by_score("score"), F.col("doc_id")]
 

@@ -84,3 +84,18 @@ def test_blank_questions_and_empty_corpus(spark):
     assert block_max_search(index, queries).hits.count() == 0
     empty = BlockMaxIndex.build(spark.createDataFrame([], CHUNKS))
     assert block_max_search(empty, queries).hits.count() == 0
+
+
+def test_lists_of_whole_blocks_are_cut_in_their_tasks(spark):
+    """One list per term and block though a batch is taken in slices; a batch whose weights are shipped groups no postings."""
+    rows = skewed(120)
+    index = BlockMaxIndex.build(spark.createDataFrame(rows, CHUNKS), block_docs=4)
+    lists = index.lists.persist()
+    assert lists.count() == lists.select("namespace", "term", "block").distinct().count()
+    want = {(d, w): text.split().count(w) for d, _, text in rows for w in set(text.split())}
+    got = {(p["doc_id"], r["term"]): p["tf"] for r in lists.collect() for p in r["postings"]}
+    assert got == want
+    for row in lists.collect():
+        assert (row["n"], row["max_tf"], row["min_dl"]) == (len(row["postings"]), max(p["tf"] for p in row["postings"]), min(p["dl"] for p in row["postings"]))
+    assert "ObjectHashAggregate" not in index.lists._jdf.queryExecution().executedPlan().toString()
+    lists.unpersist()
