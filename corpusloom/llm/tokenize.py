@@ -6,13 +6,12 @@ at ASCII white space and each distinct word is encoded once in a Python worker.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 
-import numpy as np
-
 from corpusloom.llm.batches import one_thread
 
-#: Bounds the memory of a worker: beyond it the word table starts anew.
+#: Bounds the memory of a worker: beyond it the word table starts anew, and beyond twice as many that of words without punctuation.
 MAX_WORDS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -44,14 +43,15 @@ class WordTokens(dict):
         if b"<|" not in text:  # special tokens are found before letters are lowered
             text = text.translate(_LOWER)
         words = text.split()
-        if len(self) + len(self._cores) > 2 * MAX_WORDS:
+        if len(self) > MAX_WORDS:
             self.clear()
+        if len(self._cores) > 2 * MAX_WORDS:
             self._cores.clear()
         return b"".join(map(self.__getitem__, words))
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(_PUNCTUATION)
-        if core and len(core) < len(word) and b"<|" not in word and core.decode()[-1].isalpha():
+        if len(core) < len(word) and core and b"<|" not in word and (core[-1:].isalpha() or core.decode()[-1].isalpha()):
             ids = self._core(core) + self._core(word[len(core) :])
         else:
             ids = self._core(word)
@@ -61,15 +61,16 @@ class WordTokens(dict):
     def _core(self, word: bytes) -> bytes:
         ids = self._cores.get(word)
         if ids is None:
-            text = word.decode()
-            plain = text.isalpha() and (
-                text.isascii() or (text.lower() == text and unicodedata.is_normalized("NFC", text))
-            )
-            if plain:  # one word for the model, nothing to normalise or split
-                found = [t.id for t in self._model.tokenize(word.decode("latin-1").translate(self._letters))]
+            if word.isalpha():  # ASCII letters stand for themselves in the vocabulary
+                found = [t.id for t in self._model.tokenize(word.decode())]
             else:
-                found = self._tokenizer.encode(text, add_special_tokens=False).ids
-            ids = self._cores[word] = np.array(found, "<u4").tobytes()
+                text = word.decode()
+                if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+                    # one word for the model, nothing to normalise or split
+                    found = [t.id for t in self._model.tokenize(word.decode("latin-1").translate(self._letters))]
+                else:
+                    found = self._tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self._cores[word] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
 
