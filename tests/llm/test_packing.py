@@ -112,3 +112,16 @@ def test_rows_without_id_are_dealt_to_all_groups(spark):
     for r in rows:
         groups[r.sequence_id % 10] = groups.get(r.sequence_id % 10, 0) + r.length
     assert len(rows) == 400 and len(groups) == 10 and max(groups.values()) < 3 * min(groups.values())
+
+
+def test_word_cores_outlive_the_word_table(monkeypatch):
+    from corpusloom.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "MAX_WORDS", 8)
+    tokens = tokenize.word_tokens("word_bpe_49k.json")
+    tokens.clear()
+    tokens._cores.clear()
+    first = tokens.ids(b"alpha. alpha, alpha! alpha? alpha; alpha: alpha) alpha] alpha}")
+    assert tokens.ids(b"") == b"" and not tokens
+    assert b"alpha" in tokens._cores
+    assert tokens.ids(b"alpha. alpha, alpha! alpha? alpha; alpha: alpha) alpha] alpha}") == first
