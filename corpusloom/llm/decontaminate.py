@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.batches import TextBlock, apart, text_blocks
+from corpusloom.llm.batches import TextBlock, apart, giving_back, text_blocks
 from corpusloom.llm.suffix import suffix_array
 
 WINDOW_WORDS = 10
@@ -248,7 +248,7 @@ def benchmark_hits(
                         names=batch.schema.names,
                     )
 
-        found = found.mapInArrow(scan, schema)
+        found = found.mapInArrow(giving_back(scan), schema)
     return found
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.batches import text_blocks, two_columns, unused
+from corpusloom.llm.batches import giving_back, text_blocks, two_columns, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -172,14 +172,17 @@ def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(net)
     letters = F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
     kept = len(docs.columns)
-    own_text = unused(docs, "_text")
-    rows = docs.select("*", F.col(text_column).cast("string").alias(own_text), letters.alias(unused(docs, "_letters")))
+    own_text, rows = text_column, docs
+    if dict(docs.dtypes).get(text_column) != "string":  # a text that is one already travels once
+        own_text = unused(docs, "_text")
+        rows = docs.withColumn(own_text, F.col(text_column).cast("string"))
+    rows = rows.select("*", letters.alias(unused(docs, "_letters")))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         tables = net.tables() if net else None
         for batch in batches:
-            has_letters = np.asarray(batch.column(kept + 1).to_pylist(), bool)
+            has_letters = np.asarray(batch.column(batch.num_columns - 1).to_pylist(), bool)
             at = 0
             for block in text_blocks([batch], own_text, own_text, BLOCK_BYTES):
                 own = has_letters[at : at + len(block)]
@@ -199,7 +202,7 @@ def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "te
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(giving_back(scan), schema)
 
 
 def identify(

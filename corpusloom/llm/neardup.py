@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import release, text_blocks, two_columns, use_shared_folder
+from corpusloom.llm.batches import giving_back, release, text_blocks, two_columns, use_shared_folder
 from corpusloom.llm.words import _multipliers, hash_spans, hash_windows, mix, word_spans
 
 SHINGLE_WORDS = 4
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "set_a", "set_b", "signature"],
             )
 
-    return docs.mapInArrow(scan, "doc_id long, n long, set_a long, set_b long, signature binary")
+    return docs.mapInArrow(giving_back(scan), "doc_id long, n long, set_a long, set_b long, signature binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.ids, pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     rows = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return rows.select("doc_id", "text").mapInArrow(scan, "node long, shingles binary").filter(F.length("shingles") > 0)
+    return rows.select("doc_id", "text").mapInArrow(giving_back(scan), "node long, shingles binary").filter(F.length("shingles") > 0)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _open_members(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tile: i
             yield from rows.select([*range(6)]).filter(pa.array(wanted)).to_batches()
 
     kinds = "key long, low int, high int, part int, node long, component long"
-    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node").mapInArrow(scan, kinds)
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node").mapInArrow(giving_back(scan), kinds)
 
 
 def _links_in_tiles(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _links_in_tiles(members: DataFrame, docs: DataFrame, percent: int) -> DataFr
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node").mapInArrow(scan, "a long, b long")
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "node").mapInArrow(giving_back(scan), "a long, b long")
 
 
 def _whole_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:

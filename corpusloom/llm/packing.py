@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import text_blocks, two_columns, use_shared_folder
-from corpusloom.llm.tokenize import word_tokens
+from corpusloom.llm.batches import giving_back, text_blocks, two_columns, use_shared_folder
+from corpusloom.llm.tokenize import KEPT, word_tokens
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -55,7 +55,7 @@ def token_pieces(
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return two_columns(docs, id_column, text_column).mapInArrow(cut, _PIECES)
+    return two_columns(docs, id_column, text_column).mapInArrow(giving_back(cut, KEPT), _PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

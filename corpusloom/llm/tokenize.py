@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 import unicodedata
 
-from corpusloom.llm.batches import one_thread
+from corpusloom.llm.batches import keep, one_thread
 
 #: Bounds the memory of a worker: beyond it the word table starts anew, and beyond twice as many that of words without punctuation.
 MAX_WORDS = 200_000
@@ -74,15 +74,17 @@ class WordTokens(dict):
         return ids
 
 
-_LOADED: dict[str, WordTokens] = {}
+#: The name under which a worker keeps word tables.
+KEPT = "word tables"
 
 
 def word_tokens(name: str) -> WordTokens:
-    """The word table of a tokenizer file of this worker, kept from task to task."""
-    if name not in _LOADED:
+    """The word table of a tokenizer file of this worker, kept from task to task until another operator's tasks run in it."""
+    loaded = keep(KEPT, dict)
+    if name not in loaded:
         one_thread()
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _LOADED[name] = WordTokens(Tokenizer.from_file(public_tokenizers.path(name)))
-    return _LOADED[name]
+        loaded[name] = WordTokens(Tokenizer.from_file(public_tokenizers.path(name)))
+    return loaded[name]
