@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm.substrings import leftmost_minima, remove_repeats, repeated_starts, sliding_minimum
+from corpusloom.llm.substrings import leftmost_minima, meeting_parts, remove_repeats, repeated_starts, sliding_minimum
 
 SCHEMA = "doc_id long, text string, spans string, n_bytes int"
 
@@ -81,6 +81,28 @@ def test_helpers():
     assert [r.tolist() for r in repeated_starts(parts, 5)] == [[1, 2], [2, 3], [0, 1], []]
 
 
+def test_suffix_arrays_get_what_can_share_a_window():
+    """Of segments around one anchor, those go on that share a window; of unlike ones nothing does."""
+    rng = random.Random(8)
+    text = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    width, anchor, key = 80, 8, b"ANCHORED"
+    place = width - anchor
+    sides = [(text(place), text(place)) for _ in range(60)]
+    unlike = [(7, 100 + i, 1, place, left + key + right) for i, (left, right) in enumerate(sides)]
+    assert meeting_parts(unlike, width, anchor) == []
+    for _ in range(200):  # neighbours that agree on a few bytes before and after the anchor
+        before, after = rng.randint(0, place), rng.randint(0, place)
+        left, right = text(place), text(place)
+        rows = [(7, i, c, place, (text(place - before) + left[place - before :]) + key + right[:after] + text(place - after)) for i, c in enumerate((1, 1, 2))]
+        rows += rng.sample(unlike, 3)
+        want = {s: starts.tolist() for (_, s, *_), starts in zip(rows, repeated_starts([r[4] for r in rows], width))}
+        parts = meeting_parts(rows, width, anchor)
+        got = {s: (first + starts).tolist() for (*_, s, _, first, _), starts in zip(parts, repeated_starts([p[4] for p in parts], width) if parts else [])}
+        assert [got.get(s, []) for s in want] == list(want.values())
+    known = [(7, i, 2, place, text(9) + sides[0][0][9:] + key + sides[0][1]) for i in range(3)]
+    assert meeting_parts(known, width, anchor) == []  # all windows of a segment that comes twice are repeated
+
+
 def test_minima_compare_whole_values():
     """Values that differ in their last bits only, in arrays of many lengths: the place is that of the smallest."""
     rng = np.random.default_rng(6)
