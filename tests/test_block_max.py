@@ -99,3 +99,53 @@ def test_lists_of_whole_blocks_are_cut_in_their_tasks(spark):
         assert (row["n"], row["max_tf"], row["min_dl"]) == (len(row["postings"]), max(p["tf"] for p in row["postings"]), min(p["dl"] for p in row["postings"]))
     assert "ObjectHashAggregate" not in index.lists._jdf.queryExecution().executedPlan().toString()
     lists.unpersist()
+
+
+def test_disk_follows_the_texts(spark, tmp_path, monkeypatch):
+    """What a written index and its search hold on disk, with nothing given back meanwhile, is about the size of the texts."""
+    from corpusloom.operators import block_max
+
+    monkeypatch.setattr(block_max, "release", lambda spark: None, raising=False)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    rows = [(str(i), "ab"[i % 2], " ".join(words[int(len(words) * rng.random() ** 3)] for _ in range(150))) for i in range(3000)]
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        found = (files.apply(i) for i in range(files.size()))
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle")}
+
+    chunks = spark.createDataFrame(rows, CHUNKS).persist()
+    chunks.count()
+    before = shuffled()
+    BlockMaxIndex.build(chunks, block_docs=16).write(str(tmp_path))
+    queries = spark.createDataFrame([(f"q{i}", " ".join(words[i::100]), ["a", "b"]) for i in range(20)], ASKED)
+    found = block_max_search(BlockMaxIndex.read(spark, str(tmp_path)), queries, 10)
+    got = as_hits(found.hits)
+    moved = sum(size for name, size in shuffled().items() if name not in before)
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    found.release()
+    want = as_hits(bm.bm25_search(bm.Bm25Index.build(chunks), queries, 10))
+    assert {key: d for key, (d, _) in got.items()} == {key: d for key, (d, _) in want.items()}
+    chunks.unpersist()
+    text = sum(len(t) for _, _, t in rows)
+    assert moved + stored < 1.3 * text, (moved / text, stored / text)
+
+
+def test_repeated_ids_and_slices_of_a_segment(spark, tmp_path, monkeypatch):
+    """Rows of one id and length are one document, also where a segment is cut in many slices; texts without words have no lists."""
+    from corpusloom.operators import block_max
+
+    rows = [(str(i % 40) if i % 7 else None, "ab"[i % 2], f"red {'blue ' * (i % 3)}w{i % 5}") for i in range(120)] + [("x", "a", " . "), ("y", "a", "")]
+    monkeypatch.setattr(block_max, "SLICE_TOKENS", 8)
+    index = BlockMaxIndex.build(spark.createDataFrame(rows, CHUNKS), block_docs=2)
+    index.write(str(tmp_path))
+    index = BlockMaxIndex.read(spark, str(tmp_path))
+    lists = index.lists.collect()
+    assert len(lists) == len({(r["namespace"], r["term"], r["block"]) for r in lists})
+    assert sum(r["n"] for r in lists) == sum(len(set(t.split())) for _, _, t in rows[:120])
+    queries = spark.createDataFrame([("q", "blue w3", ["a", "b"])], ASKED)
+    hits = block_max_search(index, queries, 200).hits.collect()
+    documents = {(n, i, len(t.split())) for i, n, t in rows[:120] if {"blue", "w3"} & set(t.split())}
+    assert len(hits) == len(documents)
