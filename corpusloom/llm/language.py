@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +22,27 @@ SAMPLE_PER_LANGUAGE = 3000
 STEPS = 400
 BATCH = 128
 UNKNOWN = "und"
+#: Fewer labelled windows are too few to tell what is none of their languages.
+LEAST_WINDOWS = 100
+#: First letters of some scripts, and what texts without words are made of.
+SCRIPTS = (0x391, 0x410, 0x531, 0x5D0, 0x621, 0x905, 0x995, 0xE01, 0x10D0, 0x1200, 0x3041, 0x30A1, 0x4E00, 0xAC00)
+SYMBOLS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", bytes(range(33, 127)))
 #: Texts whose windows are cut at a time.
 BLOCK_BYTES = 1 << 20
 
 
 @dataclass
 class ByteNetwork:
-    """Byte embeddings, filters of several widths over them, their largest value in a window, softmax."""
+    """Byte embeddings, filters of several widths over them, their largest value in a window, softmax. A class without a
+    name is that of no language; ``sample`` are the windows and labels of the fit."""
 
-    languages: list[str]
+    languages: list[str | None]
     embedding: np.ndarray
     filters: list[np.ndarray]  # one (width, embedding, filters) each
     bias: np.ndarray
     dense: np.ndarray
     offset: np.ndarray
+    sample: tuple[np.ndarray, np.ndarray] | None = None
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """What two bytes add to every filter as its first two bytes, and as its third and fourth."""
@@ -63,7 +70,7 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> ByteNetwork:
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str | None], steps: int = STEPS, seed: int = 7) -> ByteNetwork:
     """Fit all weights together with Adam on the cross entropy. Windows are cut to random lengths for short texts."""
     rng = np.random.default_rng(seed)
     net = ByteNetwork(
@@ -127,6 +134,54 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tu
     return windows, rows
 
 
+def no_language(windows: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Counter-examples of windows: their letters exchanged by one key or each for itself, or written in letters of another
+    script, or runs of symbols of their length."""
+    rng = np.random.default_rng(seed)
+    lower = np.arange(256)
+    lower[65:91] += 32
+    found = np.zeros_like(windows)
+    for i, window in enumerate(windows):
+        data = lower[window[: np.count_nonzero(window)]]
+        letter = (data >= 97) & (data <= 122) | (data >= 128)
+        kind = rng.integers(4)
+        if kind == 0:
+            key = np.concatenate([np.arange(97), 97 + rng.permutation(26), np.arange(123, 128), 97 + rng.integers(0, 26, 128)])
+            text = np.where(letter, key[data], data)
+        elif kind == 1:
+            text = np.where(letter, 97 + rng.integers(0, 26, len(data)), data)
+        elif kind == 2:
+            key = rng.choice(SCRIPTS) + rng.integers(0, rng.integers(6, 60), 256)
+            text = np.frombuffer("".join(map(chr, np.where(letter, key[data], data))).encode(), np.uint8)[: windows.shape[1]]
+        else:
+            symbols = np.frombuffer(SYMBOLS[rng.integers(len(SYMBOLS))], np.uint8)
+            text = symbols[rng.integers(0, len(symbols), len(data))]
+        found[i, : len(text)] = text
+    return found
+
+
+def with_no_language(net: ByteNetwork | None) -> ByteNetwork | None:
+    """The network trained anew on its sample with a class for what is none of its languages, as large as that of each;
+    the same network where the sample has too few windows to tell."""
+    if net is None or net.sample is None or len(net.sample[0]) < LEAST_WINDOWS:
+        return net
+    windows, labels = net.sample
+    even = _evenly(labels, len(net.languages))
+    some = np.random.default_rng(5).permutation(even)[: max(LEAST_WINDOWS, len(even) // len(net.languages))]
+    others = no_language(windows[some])
+    windows, labels = np.concatenate([windows, others]), np.append(labels, np.full(len(others), len(net.languages)))
+    languages = [*net.languages, None]
+    even = _evenly(labels, len(languages))
+    return train(windows[even], labels[even], languages)
+
+
+def _evenly(labels: np.ndarray, count: int) -> np.ndarray:
+    """Places of the labels, each label's repeated to the number of the commonest."""
+    order = np.argsort(labels, kind="stable")
+    sizes = np.bincount(labels, minlength=count)
+    return np.concatenate([np.resize(part, int(sizes.max())) for part in np.split(order, np.cumsum(sizes)[:-1]) if len(part)])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -161,15 +216,14 @@ def fit(
         cut = row["text"].encode()[:WINDOW]
         windows[i, : len(cut)] = np.frombuffer(cut, np.uint8)
     labels = np.array([languages.index(r["lang"]) for r in rows], np.int64)
-    order = np.argsort(labels, kind="stable")
-    sizes = np.bincount(labels, minlength=len(languages))
-    even = np.concatenate([np.resize(part, int(sizes.max())) for part in np.split(order, np.cumsum(sizes)[:-1]) if len(part)])
-    return train(windows[even], labels[even], languages)
+    even = _evenly(labels, len(languages))
+    return replace(train(windows[even], labels[even], languages), sample=(windows, labels))
 
 
 def classify(docs: DataFrame, net: ByteNetwork | None, *, text_column: str = "text") -> DataFrame:
-    """``docs`` with all its columns, and ``_lang_pred`` and ``_lang_score``, names it must not have; see ``identify``."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    """``docs`` with all its columns, and ``_lang_pred`` and ``_lang_score``, names it must not have; see ``identify``. A text
+    that a network ``with_no_language`` finds to have none has a null ``_lang_pred``."""
+    sent = docs.sparkSession.sparkContext.broadcast(net and replace(net, sample=None))
     letters = F.coalesce(F.col(text_column).cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
     kept = len(docs.columns)
     own_text, rows = text_column, docs

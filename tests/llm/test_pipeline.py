@@ -1,4 +1,6 @@
+import random
 import re
+import zlib
 
 import pytest
 import sys
@@ -132,3 +134,27 @@ def test_clashing_columns_and_empty_tables(spark, count):
             assert out.columns == docs.columns
             assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
         assert bool(rows) == bool(count)
+
+
+WORDS = {
+    "en": "the of and to in that was his with as had for she they this have from which one were would there been what will when who out".split(),
+    "de": "der die und den von das nicht ist mit sich des auf eine auch werden wird dem haben nach einer durch wurde zwischen über können schon".split(),
+}
+
+
+def test_texts_of_no_learned_language_go_and_the_others_get_theirs(spark):
+    """Garbage and other scripts go, labelled or not; a text without a label gets the language that is identified."""
+    rng = random.Random(4)
+    prose = lambda lang: " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(8, 60))).capitalize() + "."
+    rows = [(i, prose(lang), lang) for i, lang in enumerate(["en", "de"] * 150)]
+    rows += [(1000 + i, prose(lang), None) for i, lang in enumerate(["en", "de"] * 20)]
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    none = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4, "すべての人間は、生まれながらにして自由であり、" * 6]
+    none += [" ".join(letters(rng.randrange(3, 9)) for _ in range(50)), "".join(rng.choices("0123456789abcdef", k=400))]
+    rows += [(2000 + i, text, None) for i, text in enumerate(none)]
+    rows += [(next(i for i in range(3000, 4000) if zlib.crc32(b"%d" % i) % 3 == 1), none[2][::-1], "en")]  # one that is not learned
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = {r.doc_id: r for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert sorted(got) == [i for i, _, _ in rows if i < 2000]
+    assert all(got[i].lang == x and got[i].text == t for i, t, x in rows[:300])
+    assert [got[1000 + i].lang for i in range(40)] == ["en", "de"] * 20
